@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import html, packing, quality, sharding, toxicity
 
-QUERIES = {"op1_divergence": quality.op1_divergence}
+QUERIES = {"op1_divergence": quality.op1_divergence, "op3_byte_shards": sharding.op3_byte_shards, "op5_main_text": html.op5_main_text, "op6_toxicity": toxicity.op6_toxicity, "op7_config_packing": packing.op7_config_packing}
 
 ORACLE: dict[str, str] = {}
