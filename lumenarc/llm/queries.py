@@ -1,9 +1,20 @@
-"""The queries of this subpackage and, where SQL can express them, their SQL."""
+"""The queries of this subpackage and, where SQL can express them, their SQL (none of them: hashing, models and tokenizers are beyond it; tests compare with brute force)."""
 
 from __future__ import annotations
 
-from . import html, packing, quality, sharding, toxicity
+from . import brown, edits, html, leaks, packing, quality, sharding, simhash, substrings, toxicity
 
-QUERIES = {"op1_divergence": quality.op1_divergence, "op3_byte_shards": sharding.op3_byte_shards, "op5_main_text": html.op5_main_text, "op6_toxicity": toxicity.op6_toxicity, "op7_config_packing": packing.op7_config_packing}
+QUERIES = {
+    "op1_divergence": quality.op1_divergence,
+    "op2_brown": brown.op2_brown,
+    "op3_byte_shards": sharding.op3_byte_shards,
+    "op4_edit_counts": edits.op4_edit_counts,
+    "op5_main_text": html.op5_main_text,
+    "op6_toxicity": toxicity.op6_toxicity,
+    "op7_config_packing": packing.op7_config_packing,
+    "op8_substring_dedup": substrings.op8_substring_dedup,
+    "op9_decontaminate": leaks.op9_decontaminate,
+    "op10_simhash": simhash.op10_simhash,
+}
 
 ORACLE: dict[str, str] = {}
