@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import activity
+from . import activity, graphs
 
 QUERIES, ORACLE = {}, {}
-for module in (activity,):
+for module in (activity, graphs):
     QUERIES |= module.QUERIES
     ORACLE |= module.ORACLE
