@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import activity, graphs
+from . import activity, archive, entities, graphs, searches
 
 QUERIES, ORACLE = {}, {}
-for module in (activity, graphs):
+for module in (activity, archive, entities, graphs, searches):
     QUERIES |= module.QUERIES
     ORACLE |= module.ORACLE
