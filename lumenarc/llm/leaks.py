@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import small_batches, table, text_of
 
-MAX_EDITS, REPETITIONS, SAMPLED, BLOCK_BYTES, SPARE = 0.2, 24, 4, 8 << 20, 3
+MAX_EDITS, REPETITIONS, SAMPLED, BLOCK_BYTES, SPARE = 0.2, 32, 3, 8 << 20, 3
 EDGE = ".,;:!?\"'()[]{}"
 
 
