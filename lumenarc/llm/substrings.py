@@ -1,7 +1,7 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut into sentences, and those after about one word in CUT_EVERY, chosen by the word's hash: a passage without sentence ends, or
-one that begins inside a sentence, is cut alike wherever it stands. From every sentence on, the shortest run with SPAN sentences and MIN_WORDS words at least
+A text is cut into sentences, and those after every word of certain lengths: a passage without sentence ends, or one that
+begins inside a sentence, is cut alike wherever it stands. From every sentence on, the shortest run with SPAN sentences and MIN_WORDS words at least
 is hashed (96 bits over lower-case words). A span that occurs at several places of the corpus is kept at the first (smallest doc_id, text hash, position);
 sentences that a later occurrence covers are removed.
 
@@ -14,8 +14,9 @@ Defined results: a null or empty text has no sentences and stays as it is; an em
 from __future__ import annotations
 
 import re
-import zlib
+import struct
 from collections.abc import Iterator
+from itertools import accumulate, compress, islice
 
 import pyarrow as pa
 import xxhash
@@ -23,43 +24,44 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import small_batches, stash, table, text_of
 
-SPAN, MIN_WORDS, CUT_EVERY = 2, 20, 10
-ENDS = re.compile(r"[.!?]+[\"')\]]*\s+|\s*\n\s*")
-WORD = re.compile(r"\S+\s*")
+SPAN, MIN_WORDS = 2, 20
+#: A text is cut after words (with their punctuation) of these lengths, about one word in ten of European prose.
+CUT_LENGTHS = frozenset((9, 10, 13))
+#: Begins with one character class, which the regular-expression engine skips to.
+ENDS = re.compile(r"[.!?\n](?:(?<=\n)|[\"')\]]*\s)\s*")
+HASH = struct.Struct(">qi")
 
 
-def sentences(text: str, cut_every: int = CUT_EVERY) -> list[str]:
+def sentences(text: str) -> list[str]:
     """Parts that together are the text, each with the white space behind it."""
-    found, at = [], 0
-    for m in ENDS.finditer(text):
-        if m.end() > at:
-            found.append(text[at : m.end()])
-            at = m.end()
-    if at < len(text):
-        found.append(text[at:])
+    sizes = list(map(len, text.split(" ")))
+    ends = islice(accumulate(sizes, lambda at, n: at + 1 + n, initial=0), 1, None)  # each behind the word's space
+    at = {m.end() for m in ENDS.finditer(text)}
+    at.update(compress(ends, map(CUT_LENGTHS.__contains__, sizes)))
+    edges = sorted(x for x in at if 0 < x < len(text))
     out: list[str] = []
-    for s in found:
-        begin = 0
-        for m in WORD.finditer(s):
-            if zlib.crc32(m[0].strip().lower().encode("utf-8", "replace")) % cut_every == 0 and m.end() < len(s):
-                out.append(s[begin : m.end()])
-                begin = m.end()
-        out.append(s[begin:])
+    for x, y in () if not text else zip([0, *edges], [*edges, len(text)], strict=True):
+        part = text[x:y]
+        if not out or not part.isspace():
+            out.append(part)
+        else:
+            out[-1] += part
     return out
 
 
 def spans(text: str, span: int = SPAN, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
-    """(h1, h2, number of the first sentence, sentences) of the shortest run from each sentence on that is long enough."""
-    parts = [x.lower().split() for x in sentences(text)]
-    sizes, found, end, size = [len(p) for p in parts], [], 0, 0
+    """(h1, h2, number of the first sentence, sentences) of the shortest run from each sentence on that is long enough. A run's hash is that of its sentences' hashes."""
+    parts = [x.split() for x in sentences(text.lower())]
+    digests = [xxhash.xxh3_128_digest(" ".join(p).encode("utf-8", "replace")) for p in parts]
+    sizes, found, end, size = list(map(len, parts)), [], 0, 0
     for i in range(len(parts)):
         while end < len(parts) and (end - i < span or size < min_words):
             size += sizes[end]
             end += 1
         if end - i < span or size < min_words:
             break
-        h = xxhash.xxh3_128_intdigest(" ".join([w for p in parts[i:end] for w in p]).encode("utf-8", "replace"))
-        found.append(((h & (2**64 - 1)) - 2**63, (h >> 64 & (2**32 - 1)) - 2**31, i, end - i))
+        h = xxhash.xxh3_128_digest(b"".join(digests[i:end]))
+        found.append((*HASH.unpack_from(h), i, end - i))
         size -= sizes[i]
     return found
 
@@ -106,7 +108,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORD
     small_batches(docs.sparkSession)
     match = F.col(id_name).cast("long").eqNullSafe(F.col("dedup_id")) & (F.hash(text_of(text_name)) == F.col("dedup_th"))
     joined = docs.join(gone, match, "left")
-    text = F.when(F.col("dedup_removed").isNull(), F.col(text_name)).otherwise(cleaned(F.col(text_name), F.col("dedup_removed")))
+    text = F.when(F.col("dedup_removed").isNull(), F.col(text_name)).otherwise(cleaned(F.when(F.col("dedup_removed").isNotNull(), F.col(text_name)), F.col("dedup_removed")))
     return joined.select(*(text.alias(c) if c == text_name else F.col(f"`{c}`") for c in docs.columns), "dedup_removed", "dedup_firsts")
 
 
