@@ -17,6 +17,7 @@ without labels of both classes every score is the share of toxic labels.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -89,19 +90,21 @@ def fit(rows: list[tuple[str, int]], buckets: int = BUCKETS, dim: int = DIM, win
         return Model(np.zeros(1, np.float32), 0.0, 1.0, 0.0, float(y_all.mean()) if len(rows) else 0.0)
     rng = np.random.default_rng(seed)
     ids: dict[str, int] = {}
-    windows, owner = [], []
+    windows, owner = array("i"), array("i")
     for d, (text, _) in enumerate(rows):
         w = [ids.setdefault(x, len(ids)) for x in words_of(text)]
-        for i in range(0, max(len(w) - window, 0) + 1, window):
-            part = w[i : i + window] if i + 2 * window <= len(w) else w[i:]
-            for j in range(0, len(part), window):
-                some = part[j : j + window]
-                windows.append(some + [-1] * (window - len(some)))
-                owner.append(d)
-    lists = [grams(w, buckets) for w in ids]
-    sizes = np.array([len(g) for g in lists])
-    flat, starts = np.array([x for g in lists for x in g]), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    windows, owner = np.array(windows, dtype=np.int64).reshape(-1, window), np.array(owner, dtype=np.int64)
+        for i in range(0, len(w), window):
+            some = w[i : i + window]
+            windows.extend(some + [-1] * (window - len(some)))
+            owner.append(d)
+    packed, sizes = array("i"), array("i")  # four bytes a bucket: lists would take a driver's memory
+    for w in ids:
+        g = grams(w, buckets)
+        packed.extend(g)
+        sizes.append(len(g))
+    flat, sizes = np.frombuffer(packed, dtype=np.int32), np.frombuffer(sizes, dtype=np.int32).astype(np.int64)
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    windows, owner = np.frombuffer(windows, dtype=np.int32).reshape(-1, window), np.frombuffer(owner, dtype=np.int32).astype(np.int64)
     held = rng.random(len(rows)) < 0.25  # for the logistic curve
     emb = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     out = rng.uniform(-1, 1, (2, dim)).astype(np.float32)
