@@ -91,7 +91,8 @@ class Items:
                     low += 1
                 if high - low + 1 < need or len({c for _, c in hits[low : high + 1]}) < need:
                     continue
-                starts = np.arange(max(0, hits[high][0] - m - d + 1, tried + 1), hits[low][0] + 1)
+                # A window that ends with this hit holds `need` hits, so it begins at the need-th last one at the latest.
+                starts = np.arange(max(0, hits[high][0] - m - d + 1, tried + 1), hits[high - need + 1][0] + 1)
                 if not len(starts):
                     continue
                 tried = int(starts[-1])
