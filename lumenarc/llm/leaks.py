@@ -53,7 +53,9 @@ class Items:
             for w in rare:
                 self.signed[self.codes[w]].append(len(self.items) - 1)
         longest = 3 * max([1, *(len(x[1]) for x in self.items)])
-        self.bits = rng.integers(0, 2, (repetitions, longest, len(self.codes) + 1), dtype=np.int64)
+        # Whether a walk moves on is a pairwise independent bit of (repetition, step, word), so no table grows with steps times words.
+        self.factor, self.addend = (rng.integers(0, 1 << 64, (longest, repetitions, 1), dtype=np.uint64) for _ in range(2))
+        self.marks = rng.integers(0, 1 << 64, len(self.codes) + 1, dtype=np.uint64)
         for x in self.items:
             x[5] = self.keys(x[1], np.zeros(1, dtype=np.int64), len(x[1]), x[4])[:, :, 0]
         self.is_signed = np.zeros(len(self.codes) + 1, dtype=bool)
@@ -62,15 +64,18 @@ class Items:
     def keys(self, codes: np.ndarray, starts: np.ndarray, m: int, picks: np.ndarray) -> np.ndarray:
         """[repetition, sample, start]: what each walk over the m words (and beyond) from each start emits at its sampled steps; -1 behind the end."""
         out = np.full((*picks.shape, len(starts)), -1, dtype=np.int64)
-        for r in range(self.repetitions):
-            at, k = starts.copy(), 0
-            for j in range(int(picks[r, -1]) + 1):
-                inside = (at < len(codes)) & (at - starts < m)
-                now = np.where(inside, codes[np.minimum(at, len(codes) - 1)], -1)
-                while k < picks.shape[1] and picks[r, k] == j:
-                    out[r, k] = now
-                    k += 1
-                at = at + np.where(inside, self.bits[r, j, np.maximum(now, 0)], 1)
+        due = defaultdict(list)
+        for (r, k), j in np.ndenumerate(picks):
+            due[int(j)].append((r, k))
+        last = len(codes) - 1
+        stop = np.minimum(starts + m, len(codes))
+        at = np.repeat(starts[None, :], self.repetitions, axis=0)
+        for j in range(int(picks.max()) + 1):
+            inside = at < stop
+            now = codes[np.minimum(at, last)]
+            for r, k in due.get(j, ()):
+                out[r, k] = np.where(inside[r], now[r], -1)
+            at = at + (((self.marks[now] * self.factor[j] + self.addend[j]) >> np.uint64(63)).astype(bool) | ~inside)
         return out
 
     def leaks(self, text: str) -> list[tuple[int, int, int, int]]:
