@@ -101,11 +101,17 @@ class Items:
                 if not len(starts):
                     continue
                 tried = int(starts[-1])
-                agree = (self.keys(codes, starts, m, picks) == keys[:, :, None]).all(1).any(0)
-                for s in starts[agree].tolist():
+                agree = (self.keys(codes, starts, m, picks) == keys[:, :, None]).all(1).sum(0)
+                # The likeliest windows first: nothing beats a window at distance 0.
+                for c in np.argsort(-agree, kind="stable")[: np.count_nonzero(agree)].tolist():
+                    s = int(starts[c])
                     distance, length = align(item, codes[s : s + m + d], d)
-                    if distance <= d and (best is None or distance < best[3]):
+                    if distance <= d and (best is None or (distance, s) < (best[3], best[1])):
                         best = (item_id, s, length, distance)
+                    if distance == 0:
+                        break
+                if best and best[3] == 0:
+                    break
             if best:
                 found.append(best)
         return found
