@@ -101,6 +101,25 @@ def test_shards_are_contiguous_and_gapless(spark, texts):
         assert [r.slot for r in rows if r.shard == s] == list(range(sum(r.shard == s for r in rows)))
 
 
+def test_ids_are_those_of_the_tokenizer_file(texts):
+    from array import array
+
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokens.default_path())
+    plain.encode_special_tokens = True
+    enc, rng = tokens.Encoder(tokens.default_path()), np.random.default_rng(4)
+    assert enc.ranked is not None
+    letters = list("abcdeEst '\n\t\r.,!019\u00e9\u2013\u00df\u00c0\u00ad\u00b2\u00aa\u00a0\u017f\u0100\u4e2d\u0663\U0001f600") + ["the", "'ll", "<|endoftext|>"]
+    made = ["".join(rng.choice(letters, rng.integers(0, 60))) for _ in range(3000)]
+    each = [f % c for i in range(0x250) if not tokens.OTHERS.search(c := chr(i)) and c != "%" for f in ("a%sb", "1%s1", " %s", "%s ", "'%s", "..%s")]
+    for t in [*texts.values(), *made, *each]:
+        want = array("I", plain.encode(t, add_special_tokens=False).ids).tobytes()
+        assert enc.ids(t) == want
+        parts, ids = enc.parts(t)
+        assert "".join(parts) == t and b"".join(ids) == want
+
+
 def test_edits_count_like_a_new_encoding():
     enc = tokens.Encoder(tokens.default_path())
     rng = np.random.default_rng(3)
