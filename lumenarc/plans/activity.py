@@ -79,10 +79,10 @@ def stm5_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
 
 
-@query(sql("ev", "select user_id, entity_id, min(event_id) event_id from ev where event_type = 'purchase' and user_id % 3 = 0 group by 1, 2 union all select user_id, entity_id, min(event_id) from ev where event_type = 'purchase' and user_id % 3 <> 0 group by 1, 2"))
+@query(sql("ev", "select user_id, entity_id, coalesce(min(event_id) filter (value < 20), min(event_id)) event_id from ev where event_type = 'purchase' group by 1, 2"))
 def dml6_insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     votes = events(spark, sf_dir).filter("event_type = 'purchase'").select("user_id", "entity_id", "event_id")
-    old = votes.filter("user_id % 3 = 0").groupBy("user_id", "entity_id").agg(F.min("event_id").alias("event_id"))
+    old = events(spark, sf_dir).filter("event_type = 'purchase' and value < 20").groupBy("user_id", "entity_id").agg(F.min("event_id").alias("event_id"))
     return A.insert_if_absent(old, votes, ["user_id", "entity_id"], "event_id")
 
 
@@ -93,10 +93,10 @@ def srt5_popular_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.orderBy(F.col("views").desc_nulls_last(), "id").offset(25).limit(50)
 
 
-@query(sql("ev docs", "select entity_id, n from (select * from (select entity_id, count(*) n, 0 as s from ev where event_type = 'signup' and entity_id < 40 group by 1) union all select id, 0, 1 from docs where id < 100 and id not in (select entity_id from ev where event_type = 'signup' and entity_id < 40)) order by s, n desc, entity_id limit 60"))
+@query(sql("ev docs", "select entity_id, n from (select * from (select entity_id, count(*) n, 0 as s from ev where event_type = 'signup' group by 1 order by n desc, entity_id limit 20) union all select id, 0, 1 from docs where id not in (select entity_id from (select entity_id, count(*) n from ev where event_type = 'signup' group by 1 order by n desc, entity_id limit 20))) order by s, n desc, entity_id limit 60"))
 def set2_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = A.counts_for(events(spark, sf_dir).filter("event_type = 'signup' and entity_id < 40"), "entity_id")
-    rest = documents(spark, sf_dir).filter("id < 100").select(F.col("id").alias("entity_id"), F.lit(0).cast("long").alias("n"))
+    first = A.counts_for(events(spark, sf_dir).filter("event_type = 'signup'"), "entity_id").orderBy(F.desc("n"), "entity_id").limit(20)
+    rest = documents(spark, sf_dir).select(F.col("id").alias("entity_id"), F.lit(0).cast("long").alias("n"))
     return A.with_padding(first, rest, "entity_id", [F.desc("n"), "entity_id"], 60).drop("segment")
 
 

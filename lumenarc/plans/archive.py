@@ -95,11 +95,11 @@ def doc1_rule_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), R.first_label(text, RULES, "other").alias("kind"), F.size(R.all_labels(text, RULES)).alias("labels"))
 
 
-@query("select doc_id id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{2,8}'))), ',') places from documents where doc_id < 300")
+@query("select doc_id id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[A-Z][a-z]{2,8}'))), ',') places from documents")
 def doc6_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOC-6 with a pattern parameter."""
     found = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]{2,8}"), F.lit(0)))
-    return table(spark, sf_dir, "documents").filter("doc_id < 300").select(F.col("doc_id").alias("id"), F.array_join(F.array_sort(found), ",").alias("places"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.array_join(F.array_sort(found), ",").alias("places"))
 
 
 PAGES = "pg as (select doc_id, row_number() over (partition by doc_id order by i) page, trim(s) content from (select doc_id, unnest(string_split(text, chr(10))) s, generate_subscripts(string_split(text, chr(10)), 1) i from documents) where length(trim(s)) >= 20)"

@@ -63,11 +63,11 @@ def er14_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.lookup(mentions, people, "mention").select(F.col("mid").alias("id"), "person_id")
 
 
-@query("select coalesce(o.c_name, n.s_name) as name, coalesce(nullif(n.seg, ''), o.c_mktsegment) segment from (select c_name, c_mktsegment from customer where c_custkey <= 500) o full join (select upper(c_name) s_name, case when c_custkey % 3 = 0 then '' else 'NEW' end seg from customer where c_custkey between 300 and 900) n on lower(c_name) = lower(s_name)")
+@query("select coalesce(o.c_name, n.s_name) as name, coalesce(nullif(n.seg, ''), o.c_mktsegment) segment from (select c_name, c_mktsegment from customer where c_acctbal < 5000) o full join (select upper(c_name) s_name, case when c_mktsegment = 'BUILDING' then '' else 'NEW' end seg from customer where c_acctbal >= 1000) n on lower(c_name) = lower(s_name)")
 def dml1_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer")
-    old = c.filter("c_custkey <= 500").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
-    new = c.filter("c_custkey between 300 and 900").select(F.upper("c_name").alias("name"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise("NEW").alias("segment"))
+    old = c.filter("c_acctbal < 5000").select(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment"))
+    new = c.filter("c_acctbal >= 1000").select(F.upper("c_name").alias("name"), F.when(F.col("c_mktsegment") == "BUILDING", "").otherwise("NEW").alias("segment"))
     return M.upsert(old, new, "name", ["segment"])
 
 
@@ -90,11 +90,11 @@ def dml4_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", "person_id_1", "person_id_2", "connection_type", "strength", F.size("document_ids").cast("long").alias("n_documents"))
 
 
-@query(sql("timeline", "select id, array_to_string(list_filter(person_ids, lambda x: x % 4 <> 0), ',') people from timeline"))
+@query(sql("timeline", "select id, array_to_string(list_filter(person_ids, lambda x: not list_contains(gone, x)), ',') people from timeline, (select coalesce(list(s_suppkey), []) gone from supplier where s_acctbal < 0)"))
 def dml5_delete_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bindings import timeline
 
-    gone = table(spark, sf_dir, "supplier").filter("s_suppkey % 4 = 0").select("s_suppkey")
+    gone = table(spark, sf_dir, "supplier").filter("s_acctbal < 0").select("s_suppkey")
     return M.delete_members(timeline(spark, sf_dir), "id", "person_ids", gone).select("id", F.array_join(F.col("person_ids").cast("array<string>"), ",").alias("people"))
 
 

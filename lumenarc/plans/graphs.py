@@ -32,16 +32,16 @@ def jn4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.neighbours(edges(spark, sf_dir)).groupBy("person_id").agg(F.count("*").alias("n"), F.sum("strength").alias("total"))
 
 
-@query(sql("timeline persons", "select t.id, coalesce(string_agg(p.id || ':' || p.name, ',' order by i), '') people from timeline t left join (select id tid, unnest(person_ids) pid, generate_subscripts(person_ids, 1) i from timeline) on tid = t.id left join persons p on p.id = pid and p.id % 5 <> 0 group by 1"))
+@query(sql("timeline persons", "select t.id, coalesce(string_agg(p.id || ':' || p.name, ',' order by i), '') people from timeline t left join (select id tid, unnest(person_ids) pid, generate_subscripts(person_ids, 1) i from timeline) on tid = t.id left join (select s_suppkey id, s_name as name from supplier where s_acctbal >= 0) p on p.id = pid group by 1"))
 def jn5_event_people(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = persons(spark, sf_dir).filter("id % 5 <> 0")
+    known = table(spark, sf_dir, "supplier").filter("s_acctbal >= 0").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     found = G.resolve_ids(timeline(spark, sf_dir), "id", "person_ids", known, "id", "name")
     return found.select("id", F.array_join(F.transform("resolved", lambda x: F.concat_ws(":", x["id"].cast("string"), x["label"])), ",").alias("people"))
 
 
-@query(sql("edges persons", "select e.id from edges e where person_id_1 in (select id from persons where id % 3 <> 0) and person_id_2 in (select id from persons where id % 3 <> 0)"))
+@query(sql("edges persons", "select e.id from edges e where person_id_1 in (select s_suppkey from supplier where s_acctbal >= 0) and person_id_2 in (select s_suppkey from supplier where s_acctbal >= 0)"))
 def jn9_existing_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.existing_endpoints(edges(spark, sf_dir), persons(spark, sf_dir).filter("id % 3 <> 0")).select("id")
+    return G.existing_endpoints(edges(spark, sf_dir), table(spark, sf_dir, "supplier").filter("s_acctbal >= 0").select(F.col("s_suppkey").alias("id"))).select("id")
 
 
 @query(sql("edges", "select id, array_to_string(document_ids, ',') document_ids from edges where strength >= 3"))

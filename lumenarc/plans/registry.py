@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import activity, archive, entities, graphs, searches
+from . import activity, archive, entities, graphs, library, searches
 
 QUERIES, ORACLE = {}, {}
-for module in (activity, archive, entities, graphs, searches):
+for module in (activity, archive, entities, graphs, library, searches):
     QUERIES |= module.QUERIES
     ORACLE |= module.ORACLE
