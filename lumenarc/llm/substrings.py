@@ -83,9 +83,10 @@ def _span_rows(docs: DataFrame, span: int, min_words: int, id_name: str, text_na
 def repeated(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORDS, id_name: str = "doc_id", text_name: str = "text") -> DataFrame:
     """doc_id, th, removed (sorted numbers of sentences to remove) and first_doc_ids (documents that keep them); only documents that lose any."""
     rows = _span_rows(docs, span, min_words, id_name, text_name)
-    again = rows.groupBy("h1").agg(F.count("*").alias("times")).filter("times > 1").select("h1")
+    # Both sides of each join come from tables, not from an aggregation above the same shuffle: only then does Spark split a hot span's rows over tasks.
+    again = stash(rows.groupBy("h1").agg(F.count("*").alias("times")).filter("times > 1").select("h1"), "repeats")
     held = stash(rows.join(again, "h1", "left_semi"), "spans")
-    first = held.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "at")).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times")
+    first = stash(held.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "th", "at")).alias("first"), F.count("*").alias("times")).filter("times > 1").drop("times"), "firsts")
     same = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.th") == F.col("th")) & (F.col("first.at") == F.col("at"))
     later = held.join(first, ["h1", "h2"]).filter(~same).select("doc_id", "th", F.col("first.doc_id").alias("first_doc_id"), F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("sentence"))
     return later.groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("sentence")).alias("removed"), F.sort_array(F.collect_set("first_doc_id")).alias("first_doc_ids"))
