@@ -1,13 +1,13 @@
 """Benchmark decontamination: the CGK embedding, bit-sampling LSH and exact edit verification.
 
 Documents and items are sequences of words (lower case, edge punctuation off); a leak is a window of a document whose edit distance to a
-whole item, in words, is at most MAX_EDITS of the item's length. The CGK embedding walks over a window: each step emits the current word and moves
+whole item, in words, is at most MAX_EDITS of the item's length. What is only punctuation is no word, in documents as in items. The CGK embedding walks over a window: each step emits the current word and moves
 on or stays by a random bit of (step, word); windows at a small edit distance fall into step soon and differ in few of the
 3m positions. Each of REPETITIONS walks samples SAMPLED positions; windows that agree with the item there in one
 repetition are candidates, and a banded alignment decides.
 
-Walks start only where a lossless count allows a leak: of r rare words chosen from an item at most d are lost by d edits, so
-r - d of them must stand within a window's reach. Items go to the tasks in blocks of at most BLOCK_BYTES, each block
+Walks start only where a lossless count allows a leak: the rare words chosen from an item stand in it r times, repetitions included, and d edits
+lose at most d of these, so r - d must stand within a window's reach. Where d is the item's length or more, every start is tried. Items go to the tasks in blocks of at most BLOCK_BYTES, each block
 against all documents; documents aren't shuffled.
 
 Defined results: null texts have no words; items without words match nothing; equal rows are judged one by one; an empty benchmark leaves every document clean.
@@ -15,7 +15,7 @@ Defined results: null texts have no words; items without words match nothing; eq
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,8 +29,14 @@ MAX_EDITS, REPETITIONS, SAMPLED, BLOCK_BYTES, SPARE = 0.2, 32, 3, 8 << 20, 3
 EDGE = ".,;:!?\"'()[]{}"
 
 
-def words_of(text: str) -> list[str]:
-    return [w.strip(EDGE) for w in text.lower().split()]
+def words_of(text: str) -> tuple[list[str], list[int]]:
+    """The words without what is only punctuation, and the place of each among all that white space separates."""
+    words, places = [], []
+    for place, w in enumerate(text.lower().split()):
+        if w := w.strip(EDGE):
+            words.append(w)
+            places.append(place)
+    return words, places
 
 
 class Items:
@@ -42,16 +48,21 @@ class Items:
         rng = np.random.default_rng(seed)
         self.repetitions = repetitions
         for item_id, text in items:
-            words = [w for w in words_of(text or "") if w]
+            words, _ = words_of(text or "")
             if not words:
                 continue
             code = np.array([self.codes.setdefault(w, len(self.codes) + 1) for w in words], dtype=np.int64)
             d = int(max_edits * len(words))
-            rare = sorted(set(words), key=lambda w: (-len(w), w))[: d + SPARE]
+            times, rare, r = Counter(words), {}, 0
+            for w in sorted(times, key=lambda w: (-len(w), w)):
+                if r >= d + SPARE:
+                    break
+                rare[self.codes[w]] = times[w]
+                r += times[w]
             picks = np.sort(rng.integers(0, 3 * len(words), (repetitions, sampled)), axis=1)
-            self.items.append([item_id, code, d, len(rare) - d, picks, None])
-            for w in rare:
-                self.signed[self.codes[w]].append(len(self.items) - 1)
+            self.items.append([item_id, code, d, r - d, picks, None, rare])
+            for c in rare if r > d else ():
+                self.signed[c].append(len(self.items) - 1)
         longest = 3 * max([1, *(len(x[1]) for x in self.items)])
         # Whether a walk moves on is a pairwise independent bit of (repetition, step, word), so no table grows with steps times words.
         self.factor, self.addend = (rng.integers(0, 1 << 64, (longest, repetitions, 1), dtype=np.uint64) for _ in range(2))
@@ -60,6 +71,7 @@ class Items:
             x[5] = self.keys(x[1], np.zeros(1, dtype=np.int64), len(x[1]), x[4])[:, :, 0]
         self.is_signed = np.zeros(len(self.codes) + 1, dtype=bool)
         self.is_signed[list(self.signed)] = True
+        self.anywhere = [i for i, x in enumerate(self.items) if x[3] < 1]
 
     def keys(self, codes: np.ndarray, starts: np.ndarray, m: int, picks: np.ndarray) -> np.ndarray:
         """[repetition, sample, start]: what each walk over the m words (and beyond) from each start emits at its sampled steps; -1 behind the end."""
@@ -81,31 +93,23 @@ class Items:
     def leaks(self, text: str) -> list[tuple[int, int, int, int]]:
         """(item_id, first word, words, distance) of the best window of each item that the text holds."""
         get = self.codes.get
-        codes = np.array([get(w, 0) for w in words_of(text)], dtype=np.int64)
+        words, places = words_of(text)
+        codes = np.array([get(w, 0) for w in words], dtype=np.int64)
         spots: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for at in np.nonzero(self.is_signed[codes])[0].tolist() if len(codes) else ():
             for i in self.signed[int(codes[at])]:
                 spots[i].append((at, int(codes[at])))
         found = []
-        for i, hits in spots.items():
-            item_id, item, d, need, picks, keys = self.items[i]
-            m, low, best = len(item), 0, None
-            tried = -1
-            for high in range(len(hits)):
-                while hits[high][0] - hits[low][0] >= m + d:
-                    low += 1
-                if high - low + 1 < need or len({c for _, c in hits[low : high + 1]}) < need:
-                    continue
-                # A window that ends with this hit holds `need` hits, so it begins at the need-th last one at the latest.
-                starts = np.arange(max(0, hits[high][0] - m - d + 1, tried + 1), hits[high - need + 1][0] + 1)
-                if not len(starts):
-                    continue
-                tried = int(starts[-1])
-                agree = (self.keys(codes, starts, m, picks) == keys[:, :, None]).all(1).sum(0)
+        for i in [*spots, *(self.anywhere if len(codes) else ())]:
+            item_id, item, d, need, picks, keys, _ = self.items[i]
+            best = None
+            for starts in self.starts(i, spots[i]) if need > 0 else [np.arange(len(codes))]:
+                agree = (self.keys(codes, starts, len(item), picks) == keys[:, :, None]).all(1).sum(0)
                 # The likeliest windows first: nothing beats a window at distance 0.
-                for c in np.argsort(-agree, kind="stable")[: np.count_nonzero(agree)].tolist():
+                likely = np.argsort(-agree, kind="stable")
+                for c in likely[: np.count_nonzero(agree)].tolist() if need > 0 else likely.tolist():
                     s = int(starts[c])
-                    distance, length = align(item, codes[s : s + m + d], d)
+                    distance, length = align(item, codes[s : s + len(item) + d], d)
                     if distance <= d and (best is None or (distance, s) < (best[3], best[1])):
                         best = (item_id, s, length, distance)
                     if distance == 0:
@@ -113,9 +117,30 @@ class Items:
                 if best and best[3] == 0:
                     break
             if best:
-                found.append(best)
+                _, s, length, distance = best
+                found.append((item_id, places[s], places[s + length - 1] - places[s] + 1 if length else 0, distance))
         return found
 
+    def starts(self, i: int, hits: list[tuple[int, int]]) -> Iterator[np.ndarray]:
+        """The starts of windows that can hold item i by the count, each once. hits: (place, code) of its rare words in the document."""
+        _, item, d, need, _, _, rare = self.items[i]
+        reach, low, held, kept, tried = len(item) + d, 0, Counter(), 0, -1
+        for high, (at, code) in enumerate(hits):
+            held[code] += 1
+            kept += held[code] <= rare[code]
+            while at - hits[low][0] >= reach:
+                gone = hits[low][1]
+                kept -= held[gone] <= rare[gone]
+                held[gone] -= 1
+                low += 1
+            if kept < need:
+                continue
+            # A window that ends with this hit holds `need` hits, so it begins at the need-th last one at the latest.
+            some = np.arange(max(0, at - reach + 1, tried + 1), hits[high - need + 1][0] + 1)
+            if len(some):
+                tried = int(some[-1])
+                yield some
+
 
 def align(item: np.ndarray, window: np.ndarray, most: int) -> tuple[int, int]:
     """Edit distance of the item to the nearest prefix of the window, and that prefix's length; stops once it is above most."""

@@ -224,6 +224,34 @@ def test_leaks_against_brute_force(spark):
     assert leaks.keep_clean(docs, bench).count() == 2 and leaks.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_without_lone_punctuation():
+    made = leaks.Items([(1, "the cat , which ( sat ) ."), (2, "no no no no no"), (3, "x y z")])
+    assert made.leaks("so ( the cat , which ( sat ) . went") == [(1, 2, 6, 0)]
+    assert made.leaks("well , no , this holds the word once") == []
+    assert made.leaks("he said no no , no yes no !") == [(2, 2, 6, 1)]
+    assert made.leaks(", . !") == [] and made.leaks("") == []
+
+
+def test_leaks_with_words_added_and_lost():
+    rng = np.random.default_rng(17)
+    words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(500)]
+    items = [(i, " ".join(rng.choice(words, rng.integers(5, 40)))) for i in range(20)]
+    made, code = leaks.Items(items), {w: i for i, w in enumerate([*words, "changed", "added"])}
+    coded = [(i, np.array([code[w] for w in t.split()])) for i, t in items]
+    tried = found = false = 0
+    for n in range(60):
+        w, lost = items[n % 20][1].split(), n // 20
+        for _ in range(int(0.2 * len(w))):
+            at = int(rng.integers(0, len(w)))
+            w[at : at + (lost > 0)] = [["added"], ["changed"], []][lost]
+        whole = [*rng.choice(words, 30), *w, *rng.choice(words, 30)]
+        codes = np.array([code[x] for x in whole])
+        want = {i for i, c in coded if any(leaks.align(c, codes[s : s + len(c) + len(c) // 5], len(c) // 5)[0] <= len(c) // 5 for s in range(len(codes)))}
+        got = {x[0] for x in made.leaks(" ".join(whole))}
+        tried, found, false = tried + len(want), found + len(want & got), false + len(got - want)
+    assert tried >= 60 and found / tried >= 0.97 and false == 0
+
+
 def roots(values):
     parent = list(range(len(values)))
     def find(x):
