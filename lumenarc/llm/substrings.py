@@ -1,8 +1,9 @@
 """Substring dedup by sliding spans of sentences.
 
-A text is cut into sentences, and those after every word of certain lengths: a passage without sentence ends, or one that
-begins inside a sentence, is cut alike wherever it stands. From every sentence on, the shortest run with SPAN sentences and MIN_WORDS words at least
-is hashed (96 bits over lower-case words). A span that occurs at several places of the corpus is kept at the first (smallest doc_id, text hash, position);
+A text is cut into sentences and at newlines, and inside sentences after the word of least hash in every WINDOW words, sentence ends
+coming first: cuts depend on the words around them alone and are at most WINDOW words apart, so two copies of a passage of 50 words or more share a
+whole run whatever its words. From every cut on, the shortest run with SPAN sentences and MIN_WORDS words at least is hashed (96 bits over
+lower-case words), once with newlines as cuts and once without, so that a passage wrapped at other lines is found too. A span that occurs at several places of the corpus is kept at the first (smallest doc_id, text hash, position);
 sentences that a later occurrence covers are removed.
 
 Counting comes first, with partial sums on the map side, so only repeated spans are joined; the joins have one row a hash on one side, which
@@ -16,54 +17,77 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
-from itertools import accumulate, compress, islice
+from itertools import accumulate, pairwise
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import small_batches, stash, table, text_of
 
 SPAN, MIN_WORDS = 2, 20
-#: A text is cut after words (with their punctuation) of these lengths, about one word in ten of European prose.
-CUT_LENGTHS = frozenset((9, 10, 13))
-#: Begins with one character class, which the regular-expression engine skips to.
-ENDS = re.compile(r"[.!?\n](?:(?<=\n)|[\"')\]]*\s)\s*")
+#: In a passage of 50 words the first and the last common cut are 51 - 2 * WINDOW words apart at least, and a run takes MIN_WORDS - 1 + WINDOW at most.
+WINDOW = 10
+#: A word with the white space behind it; the first also with that before it.
+WORD = re.compile(r"\s*\S+\s*")
+END = re.compile(r"[.!?][\"')\]]*\Z")
 HASH = struct.Struct(">qi")
 
 
+class Ranks(dict):
+    """Hash of each word, 0 if it ends a sentence; emptied when it grows large."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1 << 18:
+            self.clear()
+        self[word] = rank = 0 if END.search(word) else 1 + xxhash.xxh32_intdigest(word.encode("utf-8", "replace"))
+        return rank
+
+
+RANKS = Ranks()
+
+
+def cuts(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The words in lower case, the numbers of words before each cut (0 and all included), and those cuts that don't depend on newlines."""
+    words = text.lower().split() if text.isascii() else [w.lower() for w in text.split()]
+    n = len(words)
+    rank = np.fromiter(map(RANKS.__getitem__, words), np.int64, n)
+    chosen = np.zeros(n + 1, dtype=bool)
+    chosen[1:][rank == 0] = True
+    if n >= WINDOW:
+        near = sliding_window_view(rank[::-1], WINDOW)
+        chosen[n - (np.arange(len(near)) + near.argmin(1))] = True  # the last of the least
+    if n:
+        chosen[[0, n]] = True
+    own = np.nonzero(chosen)[0]
+    if "\n" in text:
+        chosen[list(accumulate(len(line.split()) for line in text.split("\n")))] = True
+    return words, np.nonzero(chosen)[0], own
+
+
 def sentences(text: str) -> list[str]:
     """Parts that together are the text, each with the white space behind it."""
-    sizes = list(map(len, text.split(" ")))
-    ends = islice(accumulate(sizes, lambda at, n: at + 1 + n, initial=0), 1, None)  # each behind the word's space
-    at = {m.end() for m in ENDS.finditer(text)}
-    at.update(compress(ends, map(CUT_LENGTHS.__contains__, sizes)))
-    edges = sorted(x for x in at if 0 < x < len(text))
-    out: list[str] = []
-    for x, y in () if not text else zip([0, *edges], [*edges, len(text)], strict=True):
-        part = text[x:y]
-        if not out or not part.isspace():
-            out.append(part)
-        else:
-            out[-1] += part
-    return out
+    parts, (_, at, _) = WORD.findall(text), cuts(text)
+    return ["".join(parts[x:y]) for x, y in pairwise(at.tolist())] if parts else [text] if text else []
 
 
 def spans(text: str, span: int = SPAN, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int]]:
-    """(h1, h2, number of the first sentence, sentences) of the shortest run from each sentence on that is long enough. A run's hash is that of its sentences' hashes."""
-    parts = [x.split() for x in sentences(text.lower())]
-    digests = [xxhash.xxh3_128_digest(" ".join(p).encode("utf-8", "replace")) for p in parts]
-    sizes, found, end, size = list(map(len, parts)), [], 0, 0
-    for i in range(len(parts)):
-        while end < len(parts) and (end - i < span or size < min_words):
-            size += sizes[end]
-            end += 1
-        if end - i < span or size < min_words:
-            break
-        h = xxhash.xxh3_128_digest(b"".join(digests[i:end]))
-        found.append((*HASH.unpack_from(h), i, end - i))
-        size -= sizes[i]
-    return found
+    """(h1, h2, number of the first sentence, sentences) of the shortest run from each cut on that is long enough, with and without newlines as cuts."""
+    words, at, own = cuts(text)
+    runs: set[tuple[int, int]] = set()
+    for some in (at, own) if len(at) > len(own) else (at,):
+        first = np.arange(len(some))
+        last = np.maximum(np.searchsorted(some, some + min_words), first + span)
+        fits = last < len(some)
+        runs.update(zip(some[first[fits]].tolist(), some[last[fits]].tolist(), strict=True))
+    if not runs:
+        return []
+    whole, begins = " ".join(words), [0, *accumulate(len(w) + 1 for w in words)]
+    number = dict(zip(at.tolist(), range(len(at)), strict=True))
+    digest = xxhash.xxh3_128_digest
+    return [(*HASH.unpack_from(digest(whole[begins[x] : begins[y] - 1].encode("utf-8", "replace"))), number[x], number[y] - number[x]) for x, y in sorted(runs)]
 
 
 def _span_rows(docs: DataFrame, span: int, min_words: int, id_name: str, text_name: str) -> DataFrame:

@@ -201,6 +201,24 @@ def test_sentences_are_the_text(texts):
     assert all("".join(substrings.sentences(t)) == t for t in texts.values())
 
 
+def test_passages_share_a_whole_run_whatever_their_words():
+    rng = np.random.default_rng(23)
+    kinds = [lambda: "".join(rng.choice(list("abcdefgh"), rng.integers(1, 6))), lambda: str(rng.integers(0, 10**6)), lambda: "no", lambda: "\u0130stanbul" if rng.integers(0, 4) else "End."]
+    for n in range(200):
+        word = kinds[n % 4]
+        passage = [word() for _ in range(50)]
+        copies = []
+        for _ in range(2):
+            breaks = [" " if rng.integers(0, 8) else "\n" for _ in range(50)]
+            around = [" ".join("x" + word() for _ in range(30)) for _ in range(2)]
+            copies.append(f"{around[0]} {''.join(w + b for w, b in zip(passage, breaks, strict=True))}{around[1]}")
+        found = [{x[:2] for x in substrings.spans(t)} for t in copies]
+        assert found[0] & found[1]
+        for t in copies:
+            parts = substrings.sentences(t)
+            assert "".join(parts) == t and all(i + k <= len(parts) and sum(len(p.split()) for p in parts[i : i + k]) >= 20 for _, _, i, k in substrings.spans(t))
+
+
 def test_leaks_against_brute_force(spark):
     rng = np.random.default_rng(5)
     words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(500)]
