@@ -2,10 +2,11 @@
 
 The standard library's parser gives events; a page becomes a list of lines, one for each block, with its text, the number of
 tags in it and the region (article, main, else the nearest container) around it. Lines inside elements that are never main
-text (scripts, menus, forms, and elements named as adverts, notices, comments and so on) are left out. The ratio of text
+text (scripts, menus, forms, and elements named as adverts, notices, comments and so on) are left out, unless a form or an element with
+such a word in a longer name holds an article, the main element or most of the page's text: then it is a wrapper. The ratio of text
 to tags of each line is smoothed with a Gaussian along the page, and two clusters of the smoothed ratios give a threshold.
 The regions with a line above it are the content, articles before other containers; all lines of a content region are
-kept, so its headings and short paragraphs stay.
+kept, so its headings and short paragraphs stay. Without articles, regions of one parent and one kind stay together if they hold prose.
 
 Defined results: a null or empty page has an empty text; equal rows are judged one by one; malformed markup is read as the parser reads it.
 """
@@ -13,6 +14,7 @@ Defined results: a null or empty page has an empty text; equal rows are judged o
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -39,23 +41,26 @@ class Lines(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int]] = [("", False, 0)]
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
         self.regions = ["body"]
+        self.parents = [0]
+        self.doubts: list[tuple[int, ...]] = [()]  # for each element on the stack, those around it that may be unwanted or wrappers
+        self.n_doubts = 0
         self.text: list[str] = []
         self.tags = 1
 
     def flush(self) -> None:
         words = "".join(self.text).split()
         if words:
-            self.lines.append((" ".join(words), self.tags, self.stack[-1][2]))
+            self.lines.append((" ".join(words), self.tags, self.stack[-1][2], self.doubts[len(self.stack) - 1]))
         self.text, self.tags = [], 1
 
     def unwanted(self, tag: str, attrs: list) -> bool:
-        if tag in NEVER or (tag == "header" and not any(t in ("article", "main") for t, _, _ in self.stack)):
+        if (tag in NEVER and tag != "form") or (tag == "header" and not any(t in ("article", "main") for t, _, _ in self.stack)):
             return True
         for key, value in attrs:
             value = (value or "").lower()
-            if key in ("class", "id") and tag not in ("html", "body", "article", "main") and not NAMES.isdisjoint(TOKEN.findall(value)):
+            if key in ("class", "id") and tag not in ("html", "body", "article", "main") and not NAMES.isdisjoint(value.split()):
                 return True
             if key in ("class", "id") and tag == "article" and "comment" in value:
                 return True
@@ -63,6 +68,11 @@ class Lines(HTMLParser):
                 return True
         return False
 
+    def doubtful(self, tag: str, attrs: list) -> bool:
+        """Whether the element is unwanted unless it is a wrapper: a form, or a word of NAMES inside a longer name."""
+        named = tag not in ("html", "body", "article", "main") and any(k in ("class", "id") and not NAMES.isdisjoint(TOKEN.findall((v or "").lower())) for k, v in attrs)
+        return tag == "form" or named
+
     def close_to(self, tags: tuple[str, ...], until: set[str]) -> None:
         for i in range(len(self.stack) - 1, 0, -1):
             if self.stack[i][0] in tags:
@@ -90,7 +100,13 @@ class Lines(HTMLParser):
         _, skip, region = self.stack[-1]
         if tag in CONTAINER and not (self.regions[region] in ("article", "main") and tag != "article"):
             self.regions.append(tag)
+            self.parents.append(region)
             region = len(self.regions) - 1
+        doubts = () if tag in ("article", "main") else self.doubts[len(self.stack) - 1]
+        if self.doubtful(tag, attrs):
+            self.n_doubts += 1
+            doubts = (*doubts, self.n_doubts)
+        self.doubts[len(self.stack) :] = [doubts]
         self.stack.append((tag, skip or self.unwanted(tag, attrs), region))
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -136,9 +152,15 @@ def main_text(html: str) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    if not parser.lines:
+    held: Counter = Counter()
+    for text, _, _, doubts in parser.lines:
+        for x in doubts:
+            held[x] += len(text)
+    half = sum(len(x[0]) for x in parser.lines) / 2
+    lines = [x[:3] for x in parser.lines if all(held[d] > half for d in x[3])]
+    if not lines:
         return ""
-    texts, tags, region = zip(*parser.lines, strict=True)
+    texts, tags, region = zip(*lines, strict=True)
     ratio = smoothed(np.array([len(t) for t in texts]) / np.array(tags))
     cut = threshold(ratio)
     content = {r for r, x in zip(region, ratio, strict=True) if x >= cut}
@@ -150,6 +172,11 @@ def main_text(html: str) -> str:
     else:
         mass = {r: sum(len(t) for t, at in zip(texts, region, strict=True) if at == r) for r in content}
         chosen = {r for r in content if 4 * mass[r] >= max(mass.values())}
+        alike = {(parser.parents[r], parser.regions[r]) for r in chosen if r and parser.regions[r] in ("div", "section")}
+        marks, sizes = Counter(), Counter(region)
+        for r, n in zip(region, tags, strict=True):
+            marks[r] += n
+        chosen |= {r for r in sizes if r and (parser.parents[r], parser.regions[r]) in alike and (r in content or marks[r] < 2 * sizes[r])}
     return "\n\n".join(t for t, r in zip(texts, region, strict=True) if r in chosen)
 
 

@@ -153,6 +153,17 @@ def test_main_text_without_article():
     assert html.main_text(f"<body><div class=sidebar><p>No</p></div><div><h2>Title</h2>{body}{body}</div><div><a href=x>a</a> <a href=y>b</a></div></body>").startswith("Title\n\nLong prose")
 
 
+def test_main_text_inside_wrappers():
+    prose = "".join(f"<p>Paragraph {i} of the story goes on for a good while, with enough words to count as prose.</p>" for i in range(6))
+    for start, end in (("<div class='layout has-sidebar'>", "</div>"), ("<div class='with-nav'>", "</div>"), ("<div id='search-page'>", "</div>"), ("<form>", "</form>")):
+        for inner in (f"<article>{prose}</article>", f"<div>{prose}</div>"):
+            got = html.main_text(f"<body><nav><a>Home</a></nav>{start}{inner}<div class='ad-slot'>Buy now</div><div class='comments'>First!</div>{end}<footer>Imprint</footer></body>")
+            assert got.count("of the story") == 6 and "Buy" not in got and "First" not in got and "Home" not in got and "Imprint" not in got
+    sections = "".join(f"<section><p>{'A long paragraph of the article with many words in it. ' * n}</p></section>" for n in (8, 8, 1, 8, 1, 8))
+    got = html.main_text(f"<body><div>{sections}</div></body>")
+    assert got.count("\n\n") == 5
+
+
 def test_toxicity_knows_misspellings():
     rng = np.random.default_rng(4)
     words = ["".join(rng.choice(list("aeioulnrst"), rng.integers(3, 9))) for _ in range(400)]
