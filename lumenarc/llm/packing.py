@@ -2,9 +2,9 @@
 
 Documents become pieces of at most `capacity` tokens. Only the histogram of piece lengths (at most `capacity` numbers) reaches the driver. A configuration
 is a multiset of lengths that fits one sequence; the covering program (as few configurations as hold all pieces) is
-solved by multiplicative weights, each step pricing configurations with an unbounded knapsack dynamic program. The solution
-is rounded down to whole sequences; the pieces left over, a few for each configuration used and none that grows with the
-corpus, are packed best-fit in decreasing length. The plan says for the r-th piece of a length in which sequence and
+solved by multiplicative weights, each step pricing configurations with a knapsack dynamic program. The solution is rounded to whole
+sequences so that sums over neighbouring configurations keep; what that leaves is solved and rounded again, ROUNDS times in all, and the last
+pieces, at most a few hundredths of the sequences, are packed best-fit in decreasing length. The plan says for the r-th piece of a length in which sequence and
 where it goes; Spark numbers the pieces of a length inside partitions and adds the counts of earlier partitions, so no length,
 however common, meets in one task.
 
@@ -25,7 +25,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import small_batches, stash, table, text_of
 from .tokens import default_path, encoder
 
-CAPACITY, END_ID, STEPS, EPSILON = 1024, 2, 400, 0.08
+CAPACITY, END_ID = 1024, 2
+#: Steps of the first round of the linear program (a fifth in later ones), rounds, rates of the weights, what may miss the best price, and the gap at which steps end.
+STEPS, ROUNDS, EPSILON, FIRST_EPSILON, SLACK, GAP = 300, 8, 0.03, 0.3, 0.02, 0.005
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None, id_name: str = "doc_id", text_name: str = "text", end_id: int = END_ID) -> DataFrame:
@@ -53,89 +55,122 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, pid int, rank long")
 
 
-def best_config(value: np.ndarray, capacity: int) -> tuple[float, dict[int, int]]:
-    """The multiset of lengths of most total value that fits; value[l] is that of length l (index 0 unused)."""
-    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
-    lengths = np.nonzero(value > 0)[0]
-    worth = value[lengths]
-    for c in range(1, capacity + 1):
-        n = np.searchsorted(lengths, c, side="right")
-        best[c] = best[c - 1]
-        if n:
-            got = best[c - lengths[:n]] + worth[:n]
-            j = int(got.argmax())
-            if got[j] > best[c]:
-                best[c], pick[c] = got[j], lengths[j]
-    found: dict[int, int] = Counter()
-    c = capacity
-    while c > 0:
-        if pick[c]:
-            found[int(pick[c])] += 1
-            c -= int(pick[c])
-        else:
-            c -= 1
-    return float(best[capacity]), dict(found)
-
-
-def fractional(demand: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS, epsilon: float = EPSILON) -> dict[tuple, float]:
-    """Nearly optimal weights of configurations that cover the demand: multiplicative weights on the covering constraints."""
-    lengths = np.nonzero(demand)[0]
-    if not len(lengths):
-        return {}
+def price(value: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Knapsack by dynamic programming. For each room c: the most that lengths within c are worth, the first length of such a choice (0: none) and the room behind it.
+
+    value: worth of each of lengths, which fall; of equal choices the longest first piece wins."""
+    best, item, after = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64), np.zeros(capacity + 1, dtype=np.int64)
+    first = np.searchsorted(-lengths, -np.arange(capacity + 1))  # where the lengths that fit begin
+    for c in range(int(lengths[-1]), capacity + 1):
+        best[c], item[c], after[c] = best[c - 1], item[c - 1], after[c - 1]
+        fit = first[c]
+        got = best[c - lengths[fit:]] + value[fit:]
+        j = int(got.argmax())
+        if got[j] > best[c] + 1e-12:
+            best[c], item[c], after[c] = got[j], lengths[fit + j], c - lengths[fit + j]
+    return best, item, after
+
+
+def fractional(demand: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS, prices: np.ndarray | None = None, gap: float = GAP) -> tuple[dict[tuple, float], float, np.ndarray]:
+    """How often each configuration (its lengths, falling) is used, a lower bound of the sequences needed, and the last prices.
+
+    Multiplicative weights on the covering constraints, one for each length, begun at prices or at what the lengths take of the capacity. Each
+    step solves one knapsack; its table also gives the best configuration around every single length, and those within SLACK of the best of all are
+    the step's answer, each as often as its length is needed, as many in all as the bound. A length's weight falls with the coverage it got. The
+    answers' mean is the solution. The bound is the best dual value met; the steps end when the mean covers all but `gap` of every length."""
+    lengths = np.nonzero(demand)[0][::-1]
     need = demand[lengths].astype(float)
-    covered, weight = np.zeros(len(lengths)), np.ones(len(lengths))
-    at, used = {int(n): i for i, n in enumerate(lengths)}, defaultdict(float)
-    for _ in range(steps):
-        value = np.zeros(capacity + 1)
-        value[lengths] = weight / need
-        _, config = best_config(value, capacity)
-        idx = np.array([at[n] for n in config])
-        count = np.array([config[int(lengths[i])] for i in idx], dtype=float)
-        step = float((need[idx] / count).min())
-        used[tuple(sorted(config.items()))] += step
-        gain = step * count / need[idx]
-        covered[idx] += gain
-        weight[idx] *= np.exp(-epsilon * gain)
-        weight /= weight.max()
-        if covered.min() >= np.log(len(lengths) + 1) / epsilon**2:
+    at = np.zeros(capacity + 1, dtype=np.int64)
+    at[lengths] = np.arange(len(lengths))
+    weight = need * (lengths if prices is None else prices[lengths])
+    weight = weight / weight.sum()
+    lower, n, covered, answers = float((need * lengths).sum()) / capacity, 0, np.zeros(len(lengths)), []
+    for step in range(1, steps + 1):
+        value = weight / need
+        best, item, after = price(value, lengths, capacity)
+        lower = max(lower, float(weight.sum() / best[capacity]))
+        around = value + best[capacity - lengths]
+        chosen = np.nonzero(around >= (1 - SLACK) * best[capacity])[0]
+        columns, room = [lengths[chosen]], capacity - lengths[chosen]
+        while item[room].any():
+            columns.append(item[room])
+            room = after[room]
+        configs = np.stack(columns, 1)
+        share = need[chosen] / (configs == lengths[chosen, None]).sum(1)
+        share *= lower / share.sum()
+        there = configs > 0
+        gain = np.bincount(at[configs[there]], np.repeat(share, there.sum(1)), len(lengths)) / need
+        answers.append((configs, share))
+        n, covered = n + 1, covered + gain
+        weight = weight * np.exp(-max(EPSILON, FIRST_EPSILON / step**0.5) * np.minimum(gain, 4.0))
+        weight = np.maximum(weight / weight.sum(), 1e-9 / len(lengths))
+        if covered.min() >= n / (1 + gap):
             break
-    scale = max(float(np.median(covered)), 1.0)
-    return {c: x / scale for c, x in used.items()}
+        if step & (step - 1) == 0 and step < steps // 2:  # early steps are far off: the mean begins anew at each power of two
+            n, covered, answers = 0, np.zeros(len(lengths)), []
+    used: dict[tuple, float] = defaultdict(float)
+    for configs, share in answers:
+        for c, x in zip(configs.tolist(), share.tolist(), strict=True):
+            used[tuple(k for k in sorted(c, reverse=True) if k)] += x / n
+    last = np.zeros(capacity + 1)
+    last[lengths] = value
+    return used, lower, last
+
+
+def best_fit(left: np.ndarray, capacity: int) -> Iterator[tuple[tuple[int, ...], int]]:
+    """Configurations and how often each: longest first, each time the longest that still fits. Empties left."""
+    while left.any():
+        config, room = Counter(), capacity
+        for length in map(int, np.nonzero(left)[0][::-1]):
+            n = min(int(left[length]), room // length)
+            if n:
+                config[length] += n
+                room -= n * length
+        times = min(int(left[length]) // n for length, n in config.items())
+        for length, n in config.items():
+            left[length] -= n * times
+        yield tuple(config.elements()), times
 
 
-def plan(demand: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """Rows (length, first_rank, count, per_sequence, first_sequence, offset) and the number of sequences.
+def plan(demand: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> tuple[list[tuple[int, int, int, int, int, int]], dict[str, float]]:
+    """Rows (length, first_rank, count, per_sequence, first_sequence, offset) and, for the record, sequences: full (one piece of the capacity), program (placed by the linear program), rest (best fit), total, and bound (what any packing needs).
 
     The pieces of a length with ranks from first_rank on, count of them, go per_sequence at a time into consecutive sequences from first_sequence on."""
     left, given, rows, sequences = demand.astype(np.int64).copy(), np.zeros(capacity + 1, dtype=np.int64), [], 0
 
-    def place(config: tuple[tuple[int, int], ...], times: int) -> None:
+    def place(config: tuple[int, ...], times: int) -> None:
         nonlocal sequences
         offset = 0
-        for length, count in config:
+        for length, count in Counter(config).items():
             rows.append((length, int(given[length]), count * times, count, sequences, offset))
             given[length] += count * times
-            left[length] -= count * times
             offset += length * count
         sequences += times
 
-    if left[capacity]:
-        place(((capacity, 1),), int(left[capacity]))
-    for config, x in sorted(fractional(left, capacity, steps).items(), key=lambda c: (-c[1], c[0])):
-        times = min([int(x), *(int(left[length]) // count for length, count in config)])
-        if times > 0:
-            place(config, times)
-    while left.any():  # best fit of what is left: longest first, each time the longest that still fits
-        config, room = Counter(), capacity
-        lengths = np.nonzero(left)[0][::-1]
-        for length in map(int, lengths):
-            n = min(int(left[length]), room // length)
-            if n:
-                config[length] += n
-                room -= n * length
-        times = min(int(left[length]) // n for length, n in config.items())
-        place(tuple(sorted(config.items())), times)
-    return rows, sequences
+    full = int(left[capacity])
+    if full:
+        place((capacity,), full)
+        left[capacity] = 0
+    bound, prices = float(full), None
+    for number in range(ROUNDS):  # solve, round, and solve again for what rounding left
+        if not left.any():
+            break
+        used, lower, prices = fractional(left, capacity, steps if not number else steps // 5, prices)
+        bound += 0 if number else lower
+        sum_of_parts = 0.5
+        for config, x in sorted(used.items(), reverse=True):
+            sum_of_parts += x
+            counts = Counter(config)
+            times = min(int(sum_of_parts), *(int(left[length]) // n for length, n in counts.items()))
+            sum_of_parts -= int(sum_of_parts)
+            if times:
+                for length, n in counts.items():
+                    left[length] -= n * times
+                place(config, times)
+    program = sequences - full
+    for config, times in best_fit(left, capacity):
+        place(config, times)
+    return rows, {"full": full, "program": program, "rest": sequences - full - program, "total": sequences, "bound": bound}
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer_path: str | None = None, id_name: str = "doc_id", text_name: str = "text", steps: int = STEPS) -> DataFrame:
