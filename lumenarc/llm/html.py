@@ -1,12 +1,15 @@
 """Main text of web pages by text-to-tag ratio.
 
 The standard library's parser gives events; a page becomes a list of lines, one for each block, with its text, the number of
-tags in it and the region (article, main, else the nearest container) around it. Lines inside elements that are never main
-text (scripts, menus, forms, and elements named as adverts, notices, comments and so on) are left out, unless a form or an element with
-such a word in a longer name holds an article, the main element or most of the page's text: then it is a wrapper. The ratio of text
-to tags of each line is smoothed with a Gaussian along the page, and two clusters of the smoothed ratios give a threshold.
-The regions with a line above it are the content, articles before other containers; all lines of a content region are
-kept, so its headings and short paragraphs stay. Without articles, regions of one parent and one kind stay together if they hold prose.
+tags in it and the innermost container around it; an article is one container with all that is in it. Lines inside elements that are never main
+text (scripts, menus, forms, and elements named as adverts, notices, comments and so on) are left out. The ratio of text
+to tags of each line is smoothed with a Gaussian along the page, and two clusters of the smoothed ratios give a threshold: what lies above it is content.
+From the page's root on, as long as one container inside holds most of the content (articles count ARTICLE times, main elements MAIN times), that
+container is entered; the last one is the content region. All its lines are kept, so headings and short paragraphs stay, but for containers in it
+that are neither content nor of one kind with their content siblings.
+
+Longer names that hold an unwanted word say less: such an element, and a form, is kept if it holds an article, the main element or more than half
+of the page's text; and where the word is one of layout (not of adverts or comments), also if its own ratio is above the threshold.
 
 Defined results: a null or empty page has an empty text; equal rows are judged one by one; malformed markup is read as the parser reads it.
 """
@@ -30,20 +33,23 @@ NEVER = set("script style noscript template svg math iframe object canvas audio
 BLOCK = set("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 CONTAINER = set("body div section td blockquote main article details figure table ul ol".split())
 NAMES = set("ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription paywall sidebar nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead topbar comment comments reply replies respond disqus discussion share sharing social related recommended recommendations widget login signin signup search toolbar copyright skip".split())
+FIRM = set("ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr popup modal newsletter subscribe subscription paywall comment comments reply replies respond disqus".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 TOKEN = re.compile(r"[a-z]+")
-SIGMA = 1.5
+SIGMA, MOST, ARTICLE, MAIN = 1.5, 0.6, 3.0, 2.0
 
 
 class Lines(HTMLParser):
-    """lines: [text, tags, region]; regions: the kind of each."""
+    """The lines of a page, and of each region its kind, its parent and what content in it counts."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, bool, int]] = [("", False, 0)]
-        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []  # text, tags, region, doubts
         self.regions = ["body"]
         self.parents = [0]
+        self.weights = [1.0]
+        self.firm: set[int] = set()  # doubts that no ratio lifts
         self.doubts: list[tuple[int, ...]] = [()]  # for each element on the stack, those around it that may be unwanted or wrappers
         self.n_doubts = 0
         self.text: list[str] = []
@@ -68,10 +74,10 @@ class Lines(HTMLParser):
                 return True
         return False
 
-    def doubtful(self, tag: str, attrs: list) -> bool:
-        """Whether the element is unwanted unless it is a wrapper: a form, or a word of NAMES inside a longer name."""
-        named = tag not in ("html", "body", "article", "main") and any(k in ("class", "id") and not NAMES.isdisjoint(TOKEN.findall((v or "").lower())) for k, v in attrs)
-        return tag == "form" or named
+    def doubtful(self, tag: str, attrs: list) -> tuple[bool, bool]:
+        """Whether the element may be unwanted (a form, or a word of NAMES inside a longer name), and whether its ratio can't lift that."""
+        words = set() if tag in ("html", "body", "article", "main") else {w for k, v in attrs if k in ("class", "id") for w in TOKEN.findall((v or "").lower())}
+        return tag == "form" or not NAMES.isdisjoint(words), tag == "form" or not FIRM.isdisjoint(words)
 
     def close_to(self, tags: tuple[str, ...], until: set[str]) -> None:
         for i in range(len(self.stack) - 1, 0, -1):
@@ -98,14 +104,18 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         _, skip, region = self.stack[-1]
-        if tag in CONTAINER and not (self.regions[region] in ("article", "main") and tag != "article"):
+        if tag in CONTAINER and (self.regions[region] != "article" or tag == "article"):
             self.regions.append(tag)
             self.parents.append(region)
+            self.weights.append(max(self.weights[region], {"article": ARTICLE, "main": MAIN}.get(tag, 1.0)))
             region = len(self.regions) - 1
         doubts = () if tag in ("article", "main") else self.doubts[len(self.stack) - 1]
-        if self.doubtful(tag, attrs):
+        doubtful, firm = self.doubtful(tag, attrs)
+        if doubtful:
             self.n_doubts += 1
             doubts = (*doubts, self.n_doubts)
+            if firm:
+                self.firm.add(self.n_doubts)
         self.doubts[len(self.stack) :] = [doubts]
         self.stack.append((tag, skip or self.unwanted(tag, attrs), region))
 
@@ -147,37 +157,51 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def content_ratios(texts: list[str], tags: list[int]) -> tuple[np.ndarray, float]:
+    """The smoothed text-to-tag ratio of each line and the threshold of content."""
+    ratio = smoothed(np.array([len(t) for t in texts]) / np.array(tags))
+    return ratio, threshold(ratio)
+
+
 def main_text(html: str) -> str:
-    parser = Lines()
-    parser.feed(html)
-    parser.close()
-    parser.flush()
-    held: Counter = Counter()
-    for text, _, _, doubts in parser.lines:
-        for x in doubts:
-            held[x] += len(text)
-    half = sum(len(x[0]) for x in parser.lines) / 2
-    lines = [x[:3] for x in parser.lines if all(held[d] > half for d in x[3])]
+    page = Lines()
+    page.feed(html)
+    page.close()
+    page.flush()
+    chars: Counter = Counter()
+    marks: Counter = Counter()
+    for text, tags, _, doubts in page.lines:
+        for d in doubts:
+            chars[d] += len(text)
+            marks[d] += tags
+    half = sum(len(x[0]) for x in page.lines) / 2
+    lines = [x for x in page.lines if all(chars[d] > half for d in x[3] if d in page.firm)]
     if not lines:
         return ""
-    texts, tags, region = zip(*lines, strict=True)
-    ratio = smoothed(np.array([len(t) for t in texts]) / np.array(tags))
-    cut = threshold(ratio)
-    content = {r for r, x in zip(region, ratio, strict=True) if x >= cut}
-    whole = [r for r in dict.fromkeys(region) if parser.regions[r] in ("article", "main")]
-    if whole:
-        chosen = content.intersection(whole) or set(whole)
-        if any(parser.regions[r] == "article" for r in whole):
-            chosen |= {r for r in whole if parser.regions[r] == "article"} if len(whole) == 1 else set()
-    else:
-        mass = {r: sum(len(t) for t, at in zip(texts, region, strict=True) if at == r) for r in content}
-        chosen = {r for r in content if 4 * mass[r] >= max(mass.values())}
-        alike = {(parser.parents[r], parser.regions[r]) for r in chosen if r and parser.regions[r] in ("div", "section")}
-        marks, sizes = Counter(), Counter(region)
-        for r, n in zip(region, tags, strict=True):
-            marks[r] += n
-        chosen |= {r for r in sizes if r and (parser.parents[r], parser.regions[r]) in alike and (r in content or marks[r] < 2 * sizes[r])}
-    return "\n\n".join(t for t, r in zip(texts, region, strict=True) if r in chosen)
+    ratio, cut = content_ratios([x[0] for x in lines], [x[1] for x in lines])
+    kept = [i for i, x in enumerate(lines) if all(chars[d] > half or chars[d] >= cut * marks[d] for d in x[3])]
+    mass, own, sizes, tags_in = [0.0] * len(page.regions), set(), Counter(), Counter()
+    for i in kept:
+        _, tags, r, _ = lines[i]
+        sizes[r] += 1
+        tags_in[r] += tags
+        if ratio[i] >= cut:
+            own.add(r)
+            mass[r] += float(ratio[i]) * page.weights[r]
+    children: dict[int, list[int]] = {}
+    for r in range(len(mass) - 1, 0, -1):  # parents come before their children
+        mass[page.parents[r]] += mass[r]
+        children.setdefault(page.parents[r], []).append(r)
+    region = 0
+    while page.regions[region] != "article" and (best := max(children.get(region, ()), key=mass.__getitem__, default=0)) and mass[best] >= MOST * mass[region]:
+        region = best
+    inside = {region}
+    for r in range(region + 1, len(mass)):
+        if page.parents[r] in inside:
+            inside.add(r)
+    alike = {(page.parents[r], page.regions[r]) for r in own & inside if page.regions[r] in ("div", "section")}
+    chosen = {r for r in inside if r == region or r in own or ((page.parents[r], page.regions[r]) in alike and tags_in[r] < 2 * sizes[r])}
+    return "\n\n".join(lines[i][0] for i in kept if lines[i][2] in chosen)
 
 
 def extract(pages: DataFrame, id_name: str = "page_id", url_name: str = "url", html_name: str = "html") -> DataFrame:
