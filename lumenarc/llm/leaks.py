@@ -8,9 +8,9 @@ repetition are candidates, and a banded alignment decides.
 
 Walks start only where a lossless count allows a leak: the rare words chosen from an item stand in it r times, repetitions included, and d edits
 lose at most d of these, so r - d must stand within a window's reach. Where d is the item's length or more, every start is tried. Items go to the tasks in blocks of at most BLOCK_BYTES, each block
-against all documents; documents aren't shuffled.
+against all documents; of several blocks one at a time is on the driver, and what it found is written before the next. Documents aren't shuffled.
 
-Defined results: null texts have no words; items without words match nothing; equal rows are judged one by one; an empty benchmark leaves every document clean.
+Defined results: null texts have no words; items without words match nothing; equal rows are judged one by one; of equally near windows the first counts; an empty benchmark leaves every document clean.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import small_batches, table, text_of
+from .common import small_batches, stash, table, text_of
 
-MAX_EDITS, REPETITIONS, SAMPLED, BLOCK_BYTES, SPARE = 0.2, 32, 3, 8 << 20, 3
+MAX_EDITS, REPETITIONS, SAMPLED, BLOCK_BYTES, SPARE = 0.2, 32, 3, 4 << 20, 3
 EDGE = ".,;:!?\"'()[]{}"
 
 
@@ -39,6 +39,13 @@ def words_of(text: str) -> tuple[list[str], list[int]]:
     return words, places
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer: numbers that follow each other become unrelated."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
+
+
 class Items:
     """A block of benchmark items, ready for matching."""
 
@@ -63,9 +70,8 @@ class Items:
             self.items.append([item_id, code, d, r - d, picks, None, rare])
             for c in rare if r > d else ():
                 self.signed[c].append(len(self.items) - 1)
-        longest = 3 * max([1, *(len(x[1]) for x in self.items)])
-        # Whether a walk moves on is a pairwise independent bit of (repetition, step, word), so no table grows with steps times words.
-        self.factor, self.addend = (rng.integers(0, 1 << 64, (longest, repetitions, 1), dtype=np.uint64) for _ in range(2))
+        # Whether a walk moves on is a bit of a hash of (repetition, step, word): no table grows with the longest item.
+        self.of_repetition = rng.integers(0, 1 << 64, (repetitions, 1), dtype=np.uint64)
         self.marks = rng.integers(0, 1 << 64, len(self.codes) + 1, dtype=np.uint64)
         for x in self.items:
             x[5] = self.keys(x[1], np.zeros(1, dtype=np.int64), len(x[1]), x[4])[:, :, 0]
@@ -83,11 +89,12 @@ class Items:
         stop = np.minimum(starts + m, len(codes))
         at = np.repeat(starts[None, :], self.repetitions, axis=0)
         for j in range(int(picks.max()) + 1):
+            factor, addend = mixed(self.of_repetition + np.uint64(2 * j)), mixed(self.of_repetition + np.uint64(2 * j + 1))
             inside = at < stop
             now = codes[np.minimum(at, last)]
             for r, k in due.get(j, ()):
                 out[r, k] = np.where(inside[r], now[r], -1)
-            at = at + (((self.marks[now] * self.factor[j] + self.addend[j]) >> np.uint64(63)).astype(bool) | ~inside)
+            at = at + (((self.marks[now] * factor + addend) >> np.uint64(63)).astype(bool) | ~inside)
         return out
 
     def leaks(self, text: str) -> list[tuple[int, int, int, int]]:
@@ -156,17 +163,18 @@ def align(item: np.ndarray, window: np.ndarray, most: int) -> tuple[int, int]:
     return int(row.min()), int(row.argmin())
 
 
-def blocks(benchmark: DataFrame, id_name: str = "item_id", text_name: str = "text", most: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """The items in lists of at most `most` bytes; one block at a time is on the driver."""
-    some, held = [], 0
+def blocks(benchmark: DataFrame, id_name: str = "item_id", text_name: str = "text", most: int = BLOCK_BYTES) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """The items in lists of at most `most` bytes, and whether a list is the only one."""
+    some, held, cut = [], 0, False
     for r in benchmark.select(F.col(id_name).cast("long").alias("i"), text_of(text_name).alias("t")).orderBy("i", "t").toLocalIterator():
-        if some and held + len(r["t"]) > most:
-            yield some
-            some, held = [], 0
+        size = len(r["t"].encode("utf-8", "replace"))
+        if some and held + size > most:
+            yield some, False
+            some, held, cut = [], 0, True
         some.append((r["i"], r["t"]))
-        held += len(r["t"])
+        held += size
     if some:
-        yield some
+        yield some, not cut
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_name: str = "doc_id", text_name: str = "text", max_edits: float = MAX_EDITS) -> DataFrame:
@@ -185,14 +193,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_name: str = "doc_id", t
 
         return rows.mapInArrow(run, schema)
 
-    found = [against(Items(b, max_edits)) for b in blocks(benchmark)]
+    found = [against(Items(b, max_edits)) if only else stash(against(Items(b, max_edits)), "leaks") for b, only in blocks(benchmark)]
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], schema)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_name: str = "text", max_edits: float = MAX_EDITS) -> DataFrame:
     """docs without those that hold an item; all columns as they are, no shuffle."""
     small_batches(docs.sparkSession)
-    for b in blocks(benchmark):
+    for b, only in blocks(benchmark):
         items = Items(b, max_edits)
 
         @F.pandas_udf("boolean")
@@ -200,6 +208,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_name: str = "text", m
             return texts.map(lambda t: not items.leaks(t))
 
         docs = docs.filter(clean(text_of(text_name)))
+        docs = docs if only else stash(docs, "clean")
     return docs
 
 
