@@ -2,8 +2,9 @@
 
 The parts of a text that a byte-level pre-tokenizer never joins are grouped into leaves of LEAF parts; two trees of sums
 over the leaves (characters and tokens) are kept beside the text. An edit finds the leaves that it touches, with
-CONTEXT characters on either side, by descending the tree; only their text is encoded anew; the first of them takes the new
-sums, the others become empty, and the sums above are updated. Whether a leaf's edge is a safe cut depends on the two characters on each
+CONTEXT characters on either side, by descending the tree; only their text is encoded anew and dealt over the same leaves, LEAF parts each,
+and the sums above are updated. Where it has more parts than these leaves take, new leaves are made: the tree is laid out again from the sums of its leaves, without encoding
+any other, so leaves stay small after large inserts. Whether a leaf's edge is a safe cut depends on the two characters on each
 side, so edges outside the touched leaves stay safe, and the root equals the count of the whole new text.
 
 The state is a table (doc_id, text, char_tree, token_tree) that Spark stores; edits are an array in each row, so applying
@@ -36,15 +37,9 @@ class Tree:
     @classmethod
     def build(cls, enc: Encoder, text: str, leaf: int = LEAF) -> Tree:
         parts, ids = enc.parts(text)
-        n = max(1, -(-len(parts) // leaf))
-        width = 1 << (n - 1).bit_length()
-        chars, tokens = [0] * (2 * width), [0] * (2 * width)
-        for i in range(n):
-            chars[width + i] = sum(map(len, parts[i * leaf : (i + 1) * leaf]))
-            tokens[width + i] = sum(map(len, ids[i * leaf : (i + 1) * leaf])) // 4
-        for i in range(width - 1, 0, -1):
-            chars[i], tokens[i] = chars[2 * i] + chars[2 * i + 1], tokens[2 * i] + tokens[2 * i + 1]
-        return cls(text, chars, tokens)
+        tree = cls(text, [0, 0], [0, 0])
+        tree.lay([(sum(map(len, parts[i : i + leaf])), sum(map(len, ids[i : i + leaf])) // 4) for i in range(0, len(parts), leaf)])
+        return tree
 
     def leaf_at(self, position: int) -> tuple[int, int]:
         """The leaf that holds a character, and the characters before that leaf."""
@@ -64,7 +59,7 @@ class Tree:
             self.tokens[leaf] += dt
             leaf //= 2
 
-    def edit(self, enc: Encoder, at: int, remove: int, insert: str) -> None:
+    def edit(self, enc: Encoder, at: int, remove: int, insert: str, leaf: int = LEAF) -> None:
         at = max(0, min(at, len(self.text)))
         remove = max(0, min(remove, len(self.text) - at))
         first, start = self.leaf_at(at - CONTEXT)
@@ -72,10 +67,25 @@ class Tree:
         stop = before + self.chars[last]
         region = self.text[start:at] + insert + self.text[at + remove : stop]
         self.text = self.text[:start] + region + self.text[stop:]
-        for leaf in range(first + 1, last + 1):
-            self.put(leaf, 0, 0)
-        self.put(first, len(region), sum(map(len, enc.parts(region)[1])) // 4)
         self.encoded += len(region)
+        parts, ids = enc.parts(region)
+        new = [(sum(map(len, parts[i : i + leaf])), sum(map(len, ids[i : i + leaf])) // 4) for i in range(0, len(parts), leaf)]
+        if len(new) <= last - first + 1:
+            for i in range(first, last + 1):
+                self.put(i, *(new[i - first] if i - first < len(new) else (0, 0)))
+        else:
+            leaves = list(zip(self.chars[self.width :], self.tokens[self.width :], strict=True))
+            self.lay([x for x in (*leaves[: first - self.width], *new, *leaves[last - self.width + 1 :]) if x[0]])
+
+    def lay(self, leaves: list[tuple[int, int]]) -> None:
+        """Sums over these leaves."""
+        width = 1 << max(len(leaves) - 1, 0).bit_length()
+        chars, tokens = [0] * (2 * width), [0] * (2 * width)
+        for i, (c, t) in enumerate(leaves):
+            chars[width + i], tokens[width + i] = c, t
+        for i in range(width - 1, 0, -1):
+            chars[i], tokens[i] = chars[2 * i] + chars[2 * i + 1], tokens[2 * i] + tokens[2 * i + 1]
+        self.chars, self.tokens, self.width = chars, tokens, width
 
 
 def build_state(docs: DataFrame, tokenizer_path: str | None = None, id_name: str = "doc_id", text_name: str = "text", leaf: int = LEAF, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -125,14 +135,21 @@ def apply_edits(state: DataFrame, tokenizer_path: str | None = None) -> DataFram
     return rows.mapInArrow(run, "doc_id long, text string, char_tree array<int>, token_tree array<int>, tokens_before long, n_tokens long, encoded_chars long")
 
 
-def sample_edits(text: Column) -> Column:
-    """Four edits that every document of the query gets: a word in the middle, a cut, a replaced beginning, an appended repeat."""
+def sample_edits(doc_id: Column, text: Column) -> Column:
+    """Four edits for each document of the query, with places and sizes by hashes of its id: an insert of its own words, a cut, a replaced stretch, an appended repeat."""
     n = F.length(text)
-    edit = lambda at, remove, insert: F.struct(at.cast("int").alias("at"), F.lit(remove).cast("int").alias("remove"), insert.alias("insert"))
-    return F.array(edit(F.floor(n / 2), 0, F.lit(" amended")), edit(F.floor(n / 3), 25, F.lit("")), edit(F.lit(0), 3, F.lit("Once")), edit(n + 10, 0, F.concat(F.lit("\n"), F.substring(text, 1, 40))))
+    any_of = lambda k, most: F.pmod(F.xxhash64(doc_id, F.lit(k)), most.cast("long") + 1).cast("int")
+    edit = lambda at, remove, insert: F.struct(at.cast("int").alias("at"), remove.cast("int").alias("remove"), insert.alias("insert"))
+    few = F.lit(60)
+    return F.array(
+        edit(any_of(1, n), F.lit(0), F.substring(text, any_of(2, n), any_of(3, few))),
+        edit(any_of(4, n), any_of(5, few), F.lit("")),
+        edit(any_of(6, n), any_of(7, few), F.lit(" amended")),
+        edit(n + 200, F.lit(0), F.concat(F.lit("\n"), F.substring(text, 1, 40))),
+    )
 
 
 def op4_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    state = build_state(docs).withColumn("edits", sample_edits(F.col("text")))
+    state = build_state(docs).withColumn("edits", sample_edits(F.col("doc_id"), F.col("text")))
     return apply_edits(state).select("doc_id", "tokens_before", "n_tokens", "encoded_chars", F.length("text").cast("long").alias("n_chars"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
