@@ -111,8 +111,8 @@ def groups(prints: DataFrame) -> DataFrame:
     """fp, component_id and keeper: the smallest doc_id that the fingerprint reaches, and the smallest (doc_id, th). prints: doc_id, th, fp."""
     first = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")), "distinct-fps")
     roots = components(links(first.select("fp")))
-    rooted = first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "first", F.coalesce("root", "fp").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("keeper"))
+    rooted = stash(first.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    best = stash(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.min("first").alias("keeper")), "best")
     return rooted.join(best, "root").select("fp", "component_id", "keeper")
 
 
