@@ -13,9 +13,11 @@ BATCH_ROWS, BATCH_BYTES = 500, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where none is set (tests on one machine), a new temporary one."""
+    """The folder named by spark.checkpoint.dir. Where none is set, a new temporary one if all runs on this machine; a cluster needs the setting, since its executors share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -55,3 +57,14 @@ def let(value: Column, body) -> Column:
 def row_key(id_name: str, text_name: str) -> list[Column]:
     """Key of a document: its id and a hash of its text. Rows alike in both are one document that is stored repeatedly."""
     return [F.col(id_name).cast("long").alias("doc_id"), F.xxhash64(text_of(text_name)).alias("th")]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like these that df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
