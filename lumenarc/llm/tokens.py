@@ -15,7 +15,7 @@ import json
 import re
 from array import array
 
-CACHE_PARTS = 200_000
+CACHE_PARTS = 100_000
 #: Fixed value: how byte-level BPE splits pre-tokens.
 PRE_TOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONE = re.compile(r"(?<!\S)[ \n]|[ \n](?!\S)")
@@ -74,15 +74,21 @@ class Encoder:
     """ids(text) as little-endian unsigned 32-bit bytes. At most CACHE_PARTS parts are held; a full cache is emptied."""
 
     def __init__(self, path: str, most: int = CACHE_PARTS) -> None:
-        import os
+        self.path, self.plain, self.ranked = path, None, ranked(path)
+        self.most, self.cache = most, {}
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+    @property
+    def tokenizer(self):  # noqa: ANN201
+        """Read when a text first needs it: it takes some 50 MB."""
+        if self.plain is None:
+            import os
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.ranked = ranked(path)
-        self.most, self.cache = most, {}
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self.plain = Tokenizer.from_file(self.path)
+            self.plain.encode_special_tokens = True
+        return self.plain
 
     def ids(self, text: str) -> bytes:
         if self.ranked and not OTHERS.search(text):

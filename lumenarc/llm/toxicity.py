@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import bucket, small_batches, table, text_of
 
 MAX_DOCS, MAX_CHARS, BUCKETS, DIM, WINDOW, PASSES, CUT = 4000, 20_000, 1 << 17, 8, 8, 6, 0.3
-CACHE_WORDS = 200_000
+CACHE_WORDS = 100_000
 EDGE = ".,;:!?\"'()[]{}*#%&$|"
 
 
