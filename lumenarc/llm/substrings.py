@@ -136,6 +136,7 @@ def without_repeats(docs: DataFrame, span: int = SPAN, min_words: int = MIN_WORD
 
         return texts.combine(removed, one)
 
+    cleaned = cleaned.asNondeterministic()  # else Spark runs it once more for a filter above
     spark = docs.sparkSession
     kept = [c for c in docs.columns if c not in ("dedup_removed", "dedup_firsts")]
     own_id, own_th, out, firsts = unused(docs, "own_id", "own_th", "gone", "firsts")
