@@ -53,6 +53,11 @@ def file_name(text: Column) -> Column:
     return F.substring(F.trim(F.regexp_replace(F.regexp_replace(text, r'[\\/:*?"<>|#\[\]^]', "-"), r"\s+", " ")), 1, 100)
 
 
+def quote_csv(text: Column) -> Column:
+    """STR-8. A field in quotes, its own doubled."""
+    return F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
 def normalize_query(text: Column) -> Column:
     """STR-9. Lower case and trimmed; null below two characters."""
     q = F.lower(F.trim(text))
@@ -109,18 +114,19 @@ def normalize_event_date(text: Column) -> Column:
     month = F.create_map(*(x for i, m in enumerate(MONTHS, 1) for x in (F.lit(m), F.lit(f"{i:02d}"))))
     names = "(" + "|".join(MONTHS) + ")"
     at = lambda pattern, g: _found(t, pattern, g)
-    full, short = rf"^{names} (\d{{1,2}}),? (\d{{4}})$", rf"^{names},? (\d{{4}})$"
+    # What stands before or behind a date doesn't matter once a month is named.
+    full, short = rf"{names} (\d{{1,2}})(?:st|nd|rd|th)?,? (\d{{4}})", rf"{names},? (\d{{4}})"
     year = _found(t, r"(?:^|[^0-9])((?:19|20)\d\d)(?:[^0-9]|$)", 1)
     return F.coalesce(
         F.when(t.rlike(r"^\d{4}(-\d{2}){0,2}$"), t),
         at(r"^(\d{4}-\d{2})-\d{4}$", 1),
         at(r"^(\d{4}(?:-\d{2}){0,2}) to ", 1),
-        at(r"^(\d{4}) ?- ?\d{4}$", 1),
+        at(r"^(\d{4}) ?[-\u2013] ?\d{4}$", 1),
         F.when(t.rlike(full), F.concat_ws("-", at(full, 3), F.try_element_at(month, at(full, 1)), F.lpad(at(full, 2), 2, "0"))),
         F.when(t.rlike(short), F.concat_ws("-", at(short, 2), F.try_element_at(month, at(short, 1)))),
-        at("^(?:" + "|".join(SEASONS) + r") (\d{4})$", 1),
-        at(r"^(?:circa|c\.|approximately|about|around) ?(\d{4})$", 1),
-        at(r"^(?:early |mid |late )?(\d{4})s$", 1),
+        at("(?:" + "|".join(SEASONS) + r")(?: of)? (\d{4})", 1),
+        at(r"(?:circa|c\.|approximately|approx\.|about|around) ?(\d{4})", 1),
+        at(r"(\d{3}0)'?s", 1),
         F.when(year.cast("int").between(1900, 2030), year),
     )
 
@@ -162,3 +168,14 @@ def reply_json(text: Column, schema: str) -> Column:
 def merge_maps(left: Column, right: Column) -> Column:
     """JSN-3. Right side wins, whatever the session's policy for repeated keys."""
     return F.map_zip_with(left, right, lambda k, a, b: F.coalesce(b, a))
+
+
+def listed(text: Column) -> Column:
+    """ARR-4. The elements of a JSON array of texts, or of a list with commas."""
+    plain = F.filter(F.transform(F.split(text, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.startswith(F.ltrim(text), F.lit("[")), F.from_json(text, "array<string>")).otherwise(plain)
+
+
+def place_name(item: Column) -> Column:
+    """JSN-2. A place that is told as text or as an object with a location or a name."""
+    return F.when(F.startswith(F.ltrim(item), F.lit("{")), F.coalesce(F.get_json_object(item, "$.location"), F.get_json_object(item, "$.name"))).otherwise(item)

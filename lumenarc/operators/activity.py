@@ -63,13 +63,27 @@ def budget_summary(costs: DataFrame, as_of: Column) -> DataFrame:
 def dedup_gap(log: DataFrame, keys: list[str], ts: str, gap_seconds: float) -> DataFrame:
     """STM-1, STM-2. Accepts a row iff no accepted row of its key lies less than the gap before it; returns keys and accepted times.
 
-    The rule refers to its own outcome, so a lag is not enough: times of a key are sorted into an array and folded. An array holds one
-    key's times (eight bytes each), never rows; for keys without bound run the stream, whose state is one time a key."""
-    micros = F.unix_micros(F.col(ts))
-    start = F.array().cast("array<bigint>")
-    fold = F.aggregate(F.col("times"), start, lambda kept, t: F.when((F.size(kept) == 0) | (t - F.element_at(kept, -1) >= int(gap_seconds * 1e6)), F.array_append(kept, t)).otherwise(kept))
-    lists = log.groupBy(*keys).agg(F.sort_array(F.collect_list(micros)).alias("times"))
-    return lists.select(*keys, F.explode(fold).alias("micros")).select(*keys, F.timestamp_micros("micros").alias(ts))
+    The rule refers to its own outcome, so a lag is not enough: rows are sorted by key and time (Spark spills the sort) and folded batch by batch with one carried
+    time, so no key's times are ever held together, however many there are. All rows of a key still pass through one task; lumenarc.streaming has the same rule as a stream."""
+    import pyarrow as pa
+
+    gap = int(gap_seconds * 1e6)
+    rows = log.select(*keys, F.unix_micros(F.col(ts)).alias("micros"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def fold(batches):  # noqa: ANN001, ANN202
+        key = last = None
+        for b in batches:
+            columns = [c.to_pylist() for c in b.columns]
+            kept = []
+            for i, (*k, t) in enumerate(zip(*columns, strict=True)):
+                if k != key or t - last >= gap:
+                    kept.append(i)
+                    key, last = k, t
+            yield b.take(pa.array(kept, pa.int64()))
+
+    found = rows.repartition(*keys).sortWithinPartitions(*keys, "micros").mapInArrow(fold, kinds)
+    return found.select(*keys, F.timestamp_micros("micros").alias(ts))
 
 
 def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -88,8 +102,15 @@ def popular_first(dim: DataFrame, views: DataFrame, key: str) -> DataFrame:
 
 
 def within_budget(ranked: DataFrame, rank: str, cost: str, cap: float) -> DataFrame:
-    """WIN-8. The prefix of ranked rows before which the running cost is below cap. For top-k sized inputs: the window is global."""
+    """WIN-8. The prefix of ranked rows before which the running cost is below cap. Rows are written in ranges of the rank; each range adds the totals of those before it, so no task sorts all rows."""
     from pyspark.sql import Window
 
-    before = F.sum(cost).over(Window.orderBy(rank).rowsBetween(Window.unboundedPreceding, -1))
-    return ranked.withColumn("spent_before", F.coalesce(before, F.lit(0))).filter(F.col("spent_before") < cap)
+    from lumenarc.sources.stored import stored
+
+    rows = stored(ranked.repartitionByRange(rank).withColumn("_range", F.spark_partition_id()), "ranked")
+    totals = rows.groupBy("_range").agg(F.sum(cost).alias("_sum"))  # one row a range
+    earlier = totals.select("_range", F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_earlier"))
+    here = F.sum(cost).over(Window.partitionBy("_range").orderBy(rank).rowsBetween(Window.unboundedPreceding, -1))
+    # A range that begins beyond the cap (costs aren't negative) is left out before its rows are sorted.
+    found = rows.join(earlier.filter(F.col("_earlier") < cap), "_range").withColumn("spent_before", F.col("_earlier") + F.coalesce(here, F.lit(0)))
+    return found.filter(F.col("spent_before") < cap).drop("_range", "_earlier")

@@ -26,7 +26,10 @@ def remap_edges(edges: DataFrame, id_map: DataFrame) -> DataFrame:
     mapped = edges.join(m("person_id_1", "_a"), "person_id_1", "left").join(m("person_id_2", "_b"), "person_id_2", "left")
     ends = mapped.withColumn("person_id_1", F.coalesce("_a", "person_id_1")).withColumn("person_id_2", F.coalesce("_b", "person_id_2")).drop("_a", "_b").filter("person_id_1 <> person_id_2")
     pair = [F.least("person_id_1", "person_id_2").alias("person_id_1"), F.greatest("person_id_1", "person_id_2").alias("person_id_2"), "connection_type"]
-    return ends.groupBy(*pair).agg(F.min("id").alias("id"), F.max("strength").alias("strength"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("document_ids")))).alias("document_ids"))
+    keys = ["person_id_1", "person_id_2", "connection_type"]
+    docs = ends.select(*pair, F.explode("document_ids").alias("_d")).groupBy(*keys).agg(F.sort_array(F.collect_set("_d")).alias("document_ids"))
+    best = ends.groupBy(*pair).agg(F.min("id").alias("id"), F.max("strength").alias("strength"))
+    return best.join(docs, keys, "left").withColumn("document_ids", F.coalesce("document_ids", F.array().cast(edges.schema["document_ids"].dataType)))
 
 
 def delete_ids(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:

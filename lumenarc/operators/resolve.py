@@ -11,35 +11,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lumenarc.functions.text import normalize_name, sorted_tokens, spaceless
 
 
-def keyed(persons: DataFrame, id_name: str = "id", name: str = "name") -> DataFrame:
-    """id, norm, first, last; names of fewer than two parts are left out: one word never identifies a person."""
-    n = persons.select(F.col(id_name).alias("id"), normalize_name(F.col(name)).alias("norm")).withColumn("parts", F.split("norm", " "))
-    return n.filter(F.size("parts") >= 2).select("id", "norm", F.get("parts", F.lit(0)).alias("first"), F.element_at("parts", -1).alias("last"))
-
-
-def same_person(a: str = "a", b: str = "b") -> Column:
-    """ER-1, the rules on whole names: equal, equal without spaces (6 letters), equal as sets of words, same last name with a first name that is a prefix or within 2 edits, last names within 1 edit (5 letters) with equal first names, whole names within 2 edits (10 letters) with an equal end."""
+def whole_name_rules(left: str = "a", right: str = "b") -> list[tuple[str, Column]]:
+    """Some rules of ER-1, on whole names alone: equal, equal without spaces (6 letters), equal as sets of words, same last name with a first name that is a prefix or within 2 edits, last names within 1 edit (5 letters) with equal first names, whole names within 2 edits (10 letters) with an equal end."""
     col = lambda side, c: F.col(f"{side}.{c}")
-    na, nb, fa, fb, la, lb = (col(s, c) for c in ("norm", "first", "last") for s in (a, b))
+    na, nb, fa, fb, la, lb = (col(s, c) for c in ("norm", "first", "last") for s in (left, right))
     near = lambda x, y, d: F.levenshtein(x, y, d) >= 0
-    return (
-        (na == nb) | ((F.length(spaceless(na)) >= 6) & (spaceless(na) == spaceless(nb))) | (sorted_tokens(na) == sorted_tokens(nb))
-        | ((la == lb) & (F.startswith(fa, fb) | F.startswith(fb, fa) | ((F.least(F.length(fa), F.length(fb)) >= 4) & near(fa, fb, 2))))
-        | ((fa == fb) & (F.least(F.length(la), F.length(lb)) >= 5) & near(la, lb, 1))
-        | ((F.least(F.length(na), F.length(nb)) >= 10) & ((fa == fb) | (la == lb)) & near(na, nb, 2))
-    )
+    return [
+        ("name", (na == nb) | ((F.length(spaceless(na)) >= 6) & (spaceless(na) == spaceless(nb))) | (sorted_tokens(na) == sorted_tokens(nb))),
+        ("first name", (la == lb) & (F.startswith(fa, fb) | F.startswith(fb, fa) | ((F.least(F.length(fa), F.length(fb)) >= 4) & near(fa, fb, 2)))),
+        ("last name", (fa == fb) & (F.least(F.length(la), F.length(lb)) >= 5) & near(la, lb, 1)),
+        ("both", (F.least(F.length(na), F.length(nb)) >= 10) & ((fa == fb) | (la == lb)) & near(na, nb, 2)),
+    ]
 
 
 def match_pairs(persons: DataFrame, id_name: str = "id", name: str = "name") -> DataFrame:
-    """(id1, id2), id1 < id2, of names that the predicate joins. Work is on distinct names; persons of one name follow by their name."""
-    k = keyed(persons, id_name, name)
-    names = k.groupBy("norm", "first", "last").agg(F.min("id").alias("id"))
-    keys = F.array(F.concat(F.lit("l:"), "last"), F.concat(F.lit("f:"), "first"), F.concat(F.lit("s:"), spaceless(F.col("norm"))), F.concat(F.lit("t:"), sorted_tokens(F.col("norm"))))
-    blocked = names.select("*", F.explode(keys).alias("key"))
-    pairs = blocked.alias("a").join(blocked.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.id") < F.col("b.id"))).filter(same_person())
-    across = pairs.select(F.col("a.id").alias("id1"), F.col("b.id").alias("id2")).distinct()
-    within = k.join(names.select("norm", F.col("id").alias("id1")), "norm").filter("id <> id1").select("id1", F.col("id").alias("id2"))
-    return across.unionByName(within)
+    """(id1, id2), id1 < id2, by whole_name_rules()."""
+    from . import identity
+
+    return identity.match_pairs(identity.traits(persons, None, id_name, name), whole_name_rules).select("id1", "id2")
 
 
 def same_name_groups(persons: DataFrame, id_name: str = "id", name: str = "name") -> DataFrame:

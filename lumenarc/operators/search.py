@@ -22,27 +22,6 @@ def postings(pages: DataFrame, id_name: str, text_name: str) -> DataFrame:
     return rows.groupBy("term", "page_id", "n_words").agg(F.count("*").alias("tf"))
 
 
-def scored(index: DataFrame, query: DataFrame, n_pages: Column, mean_words: Column) -> DataFrame:
-    """FTS-3, FTS-4, FTS-7. query: (clause, term, weight), small by nature. Pages that hold all terms of a clause, with the BM25 sum over the query's terms."""
-    hits = index.join(F.broadcast(query.groupBy("term").agg(F.collect_set("clause").alias("clauses"), F.max("weight").alias("weight"))), "term")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))  # one row a query term
-    idf = F.log(1 + (n_pages - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_words") / mean_words))
-    parts = hits.join(F.broadcast(df), "term").select("page_id", "term", "clauses", (F.col("weight") * idf * tf).alias("s"))
-    needed = query.groupBy("clause").agg(F.count_distinct("term").alias("needed"))
-    total = parts.groupBy("page_id").agg(F.sum("s").alias("score"))
-    complete = parts.select("page_id", F.explode("clauses").alias("clause")).groupBy("page_id", "clause").agg(F.count("*").alias("got")).join(F.broadcast(needed), "clause").filter("got = needed").select("page_id").distinct()
-    return total.join(complete, "page_id", "left_semi")
-
-
-def search(index: DataFrame, query: DataFrame, n_pages: Column, mean_words: Column, k: int, minus: list[str] | None = None) -> DataFrame:
-    """FTS-2, FTS-4. Top k pages of a query of ORed clauses of ANDed terms, without pages that hold a minus term."""
-    found = scored(index, query, n_pages, mean_words)
-    if minus:
-        found = found.join(index.filter(F.col("term").isin(minus)).select("page_id").distinct(), "page_id", "left_anti")
-    return found.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "page_id").limit(k)
-
-
 def fuzzy_terms(index: DataFrame, term: str, max_edits: int = 2) -> DataFrame:
     """FTS-8. Terms of the dictionary within max_edits, with their distance."""
     d = F.levenshtein(F.col("term"), F.lit(term), max_edits)
@@ -63,10 +42,154 @@ def expand_synonyms(query: DataFrame, synonyms: DataFrame) -> DataFrame:
 
 def alias_synonyms(persons: DataFrame) -> DataFrame:
     """FTS-12. (alias, canonical) of persons with aliases (array) that differ from their name."""
-    rows = persons.select(F.lower(F.explode("aliases")).alias("alias"), F.lower("name").alias("canonical"))
-    return rows.filter("alias <> canonical").distinct()
+    rows = persons.select(F.explode("aliases").alias("alias"), F.lower("name").alias("canonical"))
+    return rows.withColumn("alias", F.lower("alias")).filter("alias <> canonical").distinct()
+
+
+def highlight(text: Column, terms: list[str], around: int = 0) -> Column:
+    """FTS-5. Marks the terms, escaped, in the text or in a fragment of so many words around the first of them; for the top rows of a search only."""
+    any_of = "|".join("\\Q" + t.replace("\\E", "") + "\\E" for t in terms)
+    part = F.coalesce(F.nullif(F.regexp_extract(text, rf"(?i)((?:\S+\s+){{0,{around}}}\S*(?:{any_of})\S*(?:\s+\S+){{0,{around}}})", 1), F.lit("")), text) if around else text
+    return F.regexp_replace(part, rf"(?i)(^|[^a-z0-9])({any_of})($|[^a-z0-9])", "$1<mark>$2</mark>$3")
+
+
+class Index:
+    """FTS-1, stored: postings sorted by term, so a query reads the row groups of its terms, with the number of pages and their mean length."""
+
+    def __init__(self, postings: DataFrame, pages: float, mean_words: float) -> None:
+        self.postings, self.pages, self.mean_words = postings, pages, mean_words
+
+    @classmethod
+    def build(cls, pages: DataFrame, id_name: str, text_name: str, positions: bool = False) -> Index:
+        from lumenarc.sources.stored import stored
+
+        words = pages.select(F.col(id_name).alias("page_id"), terms_of(F.coalesce(text_name, F.lit(""))).alias("words"))
+        rows = words.select("page_id", F.size("words").alias("n_words"), F.posexplode("words").alias("at", "term"))
+        sums = [F.count("*").alias("tf"), *([F.sort_array(F.collect_list("at")).alias("at")] if positions else [])]
+        kept = stored(rows.groupBy("term", "page_id", "n_words").agg(*sums), "postings", by="term")
+        sizes = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("m")).first()  # two numbers
+        return cls(kept, float(sizes["n"]), float(sizes["m"] or 1.0))
+
+    def of(self, terms: list[str]) -> DataFrame:
+        """The postings of these terms; the filter reaches the scan."""
+        return self.postings.filter(F.col("term").isin(terms))
+
+    def scores(self, terms: dict[str, float]) -> DataFrame:
+        """(page_id, term, s): weighted BM25 of each term in each page."""
+        hits = self.of(list(terms))
+        df = hits.groupBy("term").agg(F.count("*").alias("df"))  # one row a query term
+        idf = F.log(1 + (F.lit(self.pages) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_words") / F.lit(self.mean_words)))
+        weight = F.element_at(F.create_map(*(x for t, w in terms.items() for x in (F.lit(t), F.lit(w)))), F.col("term"))
+        return hits.join(F.broadcast(df), "term").select("page_id", "term", (weight * idf * tf).alias("s"))
+
+
+def parse_query(text: str) -> tuple[list[list[str]], list[list[str]], list[str]]:
+    """FTS-2. Clauses of ANDed terms (between "or"), phrases, and minus terms of a web-style query."""
+    import re
+
+    phrases = [re.findall(r"[a-z0-9]+", p) for p in re.findall(r'"([^"]*)"', text.lower())]
+    rest = re.sub(r'"[^"]*"', lambda m: " ".join(re.findall(r"[a-z0-9]+", m.group().lower())), text.lower())
+    minus = [w for m in re.findall(r"(?:^|\s)-(\S+)", rest) for w in re.findall(r"[a-z0-9]+", m)]
+    plain = re.sub(r"(?:^|\s)-\S+", " ", rest)
+    clauses = [list(dict.fromkeys(re.findall(r"[a-z0-9]+", c))) for c in re.split(r"\sor\s", plain)]
+    return [c for c in clauses if c], [p for p in phrases if len(p) > 1], minus
+
+
+def matches(index: Index, query: str) -> DataFrame:
+    """FTS-2, FTS-3. (page_id, score) of all pages that fit a web-style query: one pass over its terms' postings. Phrases need an index with positions."""
+    clauses, phrases, minus = parse_query(query)
+    wanted = sorted({t for c in clauses for t in c})
+    by_page = index.scores(dict.fromkeys(wanted, 1.0)).groupBy("page_id").agg(F.sum("s").alias("score"), F.collect_set("term").alias("has"))  # a set of at most the query's terms
+    fits = F.lit(False)
+    for c in clauses:
+        fits = fits | F.forall(F.array(*map(F.lit, c)), lambda t: F.array_contains("has", t))
+    found = by_page.filter(fits).drop("has")
+    for p in phrases:
+        spots = index.of(sorted(set(p))).select("page_id", "term", "at")
+        order = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for i, t in enumerate(p))))
+        begins = spots.select("page_id", "term", "at", order.alias("o")).filter("o.t = term").select("page_id", F.explode("at").alias("x"), "o.i")
+        whole = begins.groupBy("page_id", (F.col("x") - F.col("i")).alias("begin")).agg(F.count_distinct("i").alias("n")).filter(F.col("n") == len(p)).select("page_id").distinct()
+        found = found.join(whole, "page_id", "left_semi")
+    if minus:
+        found = found.join(index.of(minus).select("page_id").distinct(), "page_id", "left_anti")
+    return found
+
+
+def top(found: DataFrame, k: int) -> DataFrame:
+    """FTS-4. The k best pages."""
+    return found.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "page_id").limit(k)
 
 
-def highlight(text: Column, terms: list[str]) -> Column:
-    """FTS-5. Marks the terms; for the top rows of a search only."""
-    return F.regexp_replace(text, r"(?i)(^|[^a-z0-9])(" + "|".join(terms) + r")($|[^a-z0-9])", "$1<mark>$2</mark>$3")
+def match_count(found: DataFrame, cap: int) -> DataFrame:
+    """FTS-6. The number of matches, counted up to cap: Spark stops reading there."""
+    return found.limit(cap).agg(F.count("*").alias("n"))
+
+
+def multi_field(fields: list[tuple[Index, float]], terms: list[str]) -> DataFrame:
+    """FTS-7. (page_id, score): the weighted sum over fields, each with an index of its own."""
+    parts = [i.scores(dict.fromkeys(terms, w)) for i, w in fields]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return rows.groupBy("page_id").agg(F.sum("s").alias("score"))
+
+
+def typo_tolerant(index: Index, term: str, enough: int, k: int, max_edits: int = 2) -> DataFrame:
+    """FTS-8. Top k pages of a term; where fewer than `enough` pages have it, also of terms within max_edits, each edit halving the score."""
+    near = index.postings.filter(F.length("term").between(len(term) - max_edits, len(term) + max_edits)).select("term").distinct().withColumn("d", F.levenshtein("term", F.lit(term), max_edits)).filter("d >= 0")
+    exact = index.of([term]).limit(enough).count()
+    rows = near if exact < enough else near.filter("d = 0")
+    told = {r["term"]: 0.5 ** r["d"] for r in rows.orderBy("d", "term").limit(200).collect()}  # the nearest 200 terms, as a search box offers
+    return top((index.scores(told) if told else index.scores({term: 1.0})).groupBy("page_id").agg(F.max("s").alias("score")), k)
+
+
+def search_everything(found: DataFrame, pages: DataFrame, persons: DataFrame, events: DataFrame, needle: str, k: int = 20) -> DataFrame:
+    """FTS-13. Tall (kind, id, label): k persons and k events by substring, and the documents of the best page hits, once each. found: page_id, score; pages: page_id, document_id, title."""
+    has = lambda c: F.contains(F.lower(c), F.lit(needle.lower()))
+    people = persons.filter(has("name") | has("category")).orderBy("id").limit(k).select(F.lit("person").alias("kind"), F.col("id").cast("long").alias("id"), F.col("name").alias("label"))
+    told = events.filter(has("title")).orderBy("id").limit(k).select(F.lit("event").alias("kind"), F.col("id").cast("long").alias("id"), F.col("title").alias("label"))
+    docs = best_documents(found, pages, k).select(F.lit("document").alias("kind"), F.col("document_id").cast("long").alias("id"), F.col("title").alias("label"))
+    return people.unionByName(docs).unionByName(told)
+
+
+def best_documents(found: DataFrame, pages: DataFrame, k: int) -> DataFrame:
+    """FTS-14, WIN-4. The k documents whose best page scores most, each at its first place among the hits."""
+    hits = found.withColumn("score", F.round("score", 6)).join(pages.select("page_id", "document_id", "title"), "page_id")
+    return hits.groupBy("document_id", "title").agg(F.max("score").alias("score"), F.count("*").alias("pages")).orderBy(F.desc("score"), "document_id").limit(k)
+
+
+def regrouped(found: DataFrame, pages: DataFrame, k: int, most: int = 100) -> DataFrame:
+    """FTS-15. The k best hits by document: its pages (most of them at the most) in order of score, documents by their best page."""
+    hits = top(found, k).join(pages.select("page_id", "document_id", "page"), "page_id")
+    lists = hits.groupBy("document_id").agg(F.max("score").alias("best"), F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "page"))), 1, most).alias("p"))  # k rows at the most
+    return lists.select("document_id", "best", F.transform("p", lambda x: x["page"]).alias("pages"))
+
+
+def contexts(questions: DataFrame, index: Index, pages: DataFrame, persons: DataFrame, edges: DataFrame, links: DataFrame, most: dict[str, int], cap: int = 20_000) -> DataFrame:
+    """FTS-16. Per question (question_id, text): one text of sections (persons with connections and documents, then page snippets) cut at cap characters, and the documents cited, each once.
+
+    Keywords of all questions meet the postings in one join; pages are ranked within each question. pages: page_id, document_id, text."""
+    from pyspark.sql import Window
+
+    from lumenarc.functions.text import keywords
+
+    words = questions.select("question_id", F.explode(F.array_distinct(keywords(F.col("text")))).alias("term"))
+    df = index.postings.join(words.select("term").distinct(), "term", "left_semi")
+    n = df.groupBy("term").agg(F.count("*").alias("df"))
+    s = words.join(df, "term").join(n, "term").select("question_id", "page_id", (F.log(1 + (F.lit(index.pages) - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_words") / F.lit(index.mean_words)))).alias("s"))
+    first = lambda df_, order, k: df_.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(*order))).filter(F.col("rank") <= k)
+    hits = first(s.groupBy("question_id", "page_id").agg(F.round(F.sum("s"), 6).alias("score")), [F.desc("score"), F.asc("page_id")], most["pages"])
+    shown = hits.join(pages.select("page_id", "document_id", F.substring("text", 1, 300).alias("snippet")), "page_id")
+    people = words.join(persons.select(F.col("id").alias("person_id"), "name", F.explode(F.array_distinct(keywords(F.col("name")))).alias("term")), "term").groupBy("question_id", "person_id", "name").agg(F.count("*").alias("n"))
+    people = first(people, [F.desc("n"), F.asc("person_id")], most["persons"])
+    ends = edges.select(F.col("person_id_1").alias("person_id"), F.col("person_id_2").alias("other"), "strength").unionByName(edges.select(F.col("person_id_2").alias("person_id"), F.col("person_id_1").alias("other"), "strength"))
+    inner = lambda df_, order, k: df_.withColumn("at", F.row_number().over(Window.partitionBy("person_id").orderBy(*order))).filter(F.col("at") <= k)
+    asked = people.select("person_id").distinct()
+    near = inner(ends.join(asked, "person_id", "left_semi"), [F.desc("strength"), F.asc("other")], most["connections"]).groupBy("person_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "other"))), lambda x: x["other"].cast("string")).alias("near"))
+    papers = inner(links.join(asked, "person_id", "left_semi"), [F.asc("document_id")], most["documents"]).groupBy("person_id").agg(F.sort_array(F.collect_list("document_id")).alias("papers"))
+    told = people.join(near, "person_id", "left").join(papers, "person_id", "left").withColumn("line", F.concat(F.lit("Person "), F.col("name"), F.lit(" knows "), F.coalesce(F.array_join("near", " "), F.lit("")), F.lit(" in "), F.coalesce(F.array_join(F.col("papers").cast("array<string>"), " "), F.lit(""))))
+    lines = told.select("question_id", F.lit(0).alias("part"), "rank", "line").unionByName(shown.select("question_id", F.lit(1).alias("part"), "rank", F.concat(F.lit("Page "), F.col("page_id").cast("string"), F.lit(": "), "snippet").alias("line")))
+    text = lines.groupBy("question_id").agg(F.substring(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "rank", "line"))), lambda x: x["line"]), "\n"), 1, cap).alias("context"))
+    cited = shown.select("question_id", "document_id").unionByName(told.select("question_id", F.explode("papers").alias("document_id"))).groupBy("question_id").agg(F.sort_array(F.collect_set("document_id")).alias("cited"))
+    return questions.select("question_id").join(text, "question_id", "left").join(cited, "question_id", "left").select("question_id", F.coalesce("context", F.lit("")).alias("context"), F.coalesce("cited", F.array().cast("array<long>")).alias("cited"))

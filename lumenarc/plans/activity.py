@@ -100,10 +100,10 @@ def set2_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.with_padding(first, rest, "entity_id", [F.desc("n"), "entity_id"], 60).drop("segment")
 
 
-@query("select event_id, round(spent_before, 4) spent_before from (select event_id, coalesce(sum(v) over (order by event_id rows between unbounded preceding and 1 preceding), 0) spent_before from (select event_id, round(value, 4) v from events order by event_id limit 500)) where spent_before < 5000")
+@query("with r as (select event_id, coalesce(sum(round(value, 4)) over (order by event_id rows between unbounded preceding and 1 preceding), 0) b from events) select event_id, round(b, 2) spent_before from r where b < 10000")
 def win8_within_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = events(spark, sf_dir).orderBy("event_id").limit(500).select("event_id", F.round("value", 4).alias("v"))
-    return A.within_budget(ranked, "event_id", "v", 5000).select("event_id", F.round("spent_before", 4).alias("spent_before"))
+    ranked = events(spark, sf_dir).select("event_id", F.round("value", 4).alias("v"))
+    return A.within_budget(ranked, "event_id", "v", 10000).select("event_id", F.round("spent_before", 2).alias("spent_before"))
 
 
 @query("select user_id, arg_max(event_type, struct_pack(n := n, e := event_type)) top_type, cast(sum(n) as bigint) mentions, count(*) types from (select user_id, event_type, count(*) n from events group by 1, 2) group by 1")

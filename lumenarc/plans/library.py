@@ -83,9 +83,11 @@ def doc15_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 DEGREE = "dg as (select p person_id, count(*) degree from (select person_id_1 p from edges union all select person_id_2 from edges) group by 1)"
 
 
-@query(sql("edges", "select person_id, degree from dg where degree > (select list_sort(list(degree))[1 + cast(floor(count(*) * 0.7) as bigint)] from dg)", DEGREE))
+@query("with dg as (select l_partkey id, count(*) degree from lineitem group by 1) select id, degree from dg where degree > (select list_sort(list(degree))[1 + cast(floor(count(*) * 0.7) as bigint)] from dg)")
 def win9_labelled_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.above_percentile(G.degrees(edges(spark, sf_dir)), "person_id", "degree", 0.7)
+    """WIN-9. Parts as nodes, order lines as their links."""
+    degree = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count("*").alias("degree"))
+    return C.above_percentile(degree, "id", "degree", 0.7)
 
 
 @query(sql("edges", "select person_id, degree from dg where degree > 2 order by degree desc, person_id limit 50", DEGREE))
@@ -98,12 +100,16 @@ def srt7_job_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").orderBy("o_orderpriority", "o_orderdate", "o_orderkey").limit(50).select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"))
 
 
-WORDS = "w as (select doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') ws from documents), nm as (select item_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')[1:2] p from benchmark)"
+WORDS = "w as (select doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') ws from documents), bw as (select item_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') p from benchmark), nm as (select g, min(item_id) item_id from (select item_id, unnest(list_transform(range(1, len(p)), lambda i: p[i] || ' ' || p[i + 1])) g from bw) group by 1)"
 
 
-@query(f"with {WORDS}, g as (select doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) g from w) select doc_id, item_id, count(*) n from g join (select item_id, p[1] || ' ' || p[2] g from nm where len(p) = 2) using (g) group by 1, 2")
+@query(f"with {WORDS}, g as (select doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) g from w) select doc_id, item_id, count(*) n from g join nm using (g) group by 1, 2")
 def jn12_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "benchmark").select("item_id", F.array_join(F.slice(F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != ""), 1, 2), " ").alias("name")).filter("name like '% %'")
+    """JN-12. Every two words in a row of a benchmark item are a name; it belongs to the first item that has it."""
+    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
+    side = lambda first: F.slice("w", first, F.greatest(F.size("w") - 1, F.lit(0)))
+    pairs = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w")).select("item_id", F.explode(F.zip_with(side(1), side(2), lambda x, y: F.concat_ws(" ", x, y))).alias("name"))
+    names = pairs.groupBy("name").agg(F.min("item_id").alias("item_id"))
     return C.mentions(table(spark, sf_dir, "documents"), "doc_id", "text", names, "item_id", "name", 2)
 
 

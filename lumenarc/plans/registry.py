@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import activity, archive, entities, graphs, library, searches
+from . import activity, archive, entities, files, graphs, identities, library, papers, profiles, retrieval, searches, streams
 
 QUERIES, ORACLE = {}, {}
-for module in (activity, archive, entities, graphs, library, searches):
+for module in (activity, archive, entities, files, graphs, identities, library, papers, profiles, retrieval, searches, streams):
     QUERIES |= module.QUERIES
     ORACLE |= module.ORACLE
