@@ -176,10 +176,10 @@ def er8_single_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.single_words(mixed(spark, sf_dir), docs.unionByName(links), gender)
 
 
-@add(f"with {MIXED}, safe as (select name from ws where id % 5 = 0), by_last as (select list_extract(string_split(norm, ' '), -1) norm, min(id) c, count(*) n from wn where norm like '% %' group by 1) select wn.id, case when n = 1 then 'merge' else 'delete' end as action, case when n = 1 then c end canonical_id from wn join ws using (id) left join by_last using (norm) where norm not like '% %' and lower(name) not in (select lower(name) from safe)")
+@add(f"with {MIXED}, safe as (select unnest(['widget', 'mr. red', 'bolt']) as name), by_last as (select list_extract(string_split(norm, ' '), -1) norm, min(id) c, count(*) n from wn where norm like '% %' group by 1) select wn.id, case when n = 1 then 'merge' else 'delete' end as action, case when n = 1 then c end canonical_id from wn join ws using (id) left join by_last using (norm) where norm not like '% %' and lower(name) not in (select lower(name) from safe)")
 def er9_bare_surnames(spark: SparkSession, sf_dir: str) -> DataFrame:
     who = mixed(spark, sf_dir)
-    return I.bare_surnames(who, who.filter("id % 5 = 0").select("name"))
+    return I.bare_surnames(who, who.filter("name in ('widget', 'mr. red', 'bolt')").select("name"))
 
 
 CURATED = "cu as (select upper(name) variant, case when id % 4 = 0 then name end canonical, case when id % 4 = 0 then 'merge' else 'delete' end as action from ws where id % 4 in (0, 1) and id % 9 > 3)"
@@ -214,7 +214,7 @@ def _named(name: str, sql: str) -> str:
     return f"{name} as ({sql[sql.index('select d dup_id') if 'select d dup_id' in sql else sql.rindex('select wn.id') if 'select wn.id' in sql else sql.rindex('select ws.id') :]})"
 
 
-_PARTS = f"with {MIXED}, {EVIDENCE}, o as (select id d, norm w, titled from wn where norm not like '% %'), fu as (select id, split_part(norm, ' ', 1) f, unnest(list_distinct([split_part(norm, ' ', 1), list_extract(string_split(norm, ' '), -1)])) w from wn where norm like '% %'), pr as (select d, id from o join fu using (w) where not (titled and f = 'blue')), sc as (select d, pr.id, sum(case a.kind when 'document' then 2 else 1 end) s from pr join ev a on a.id = d join ev b on b.id = pr.id and a.kind = b.kind and a.k = b.k group by 1, 2), r as (select *, row_number() over (partition by d order by s desc, id) n, lead(s) over (partition by d order by s desc, id) nx from sc), safe as (select name from ws where id % 5 = 0), by_last as (select list_extract(string_split(norm, ' '), -1) norm, min(id) c, count(*) n from wn where norm like '% %' group by 1), {CURATED}, by_name as (select lower(name) low, min(id) c from ws group by 1), {_named('p1', ORACLE['er8_single_words'])}, {_named('p3', ORACLE['er9_bare_surnames'])}, {_named('p2', ORACLE['er10_curated'])}, every as (select 0 w, 'single words' pass, dup_id id, 'merge' as action, canonical_id from p1 union all select 1, 'curated', * from p2 union all select 2, 'surnames', * from p3), plan as (select pass, id, action, canonical_id from (select *, row_number() over (partition by id order by w, action, canonical_id) q from every) where q = 1)"
+_PARTS = f"with {MIXED}, {EVIDENCE}, o as (select id d, norm w, titled from wn where norm not like '% %'), fu as (select id, split_part(norm, ' ', 1) f, unnest(list_distinct([split_part(norm, ' ', 1), list_extract(string_split(norm, ' '), -1)])) w from wn where norm like '% %'), pr as (select d, id from o join fu using (w) where not (titled and f = 'blue')), sc as (select d, pr.id, sum(case a.kind when 'document' then 2 else 1 end) s from pr join ev a on a.id = d join ev b on b.id = pr.id and a.kind = b.kind and a.k = b.k group by 1, 2), r as (select *, row_number() over (partition by d order by s desc, id) n, lead(s) over (partition by d order by s desc, id) nx from sc), safe as (select unnest(['widget', 'mr. red', 'bolt']) as name), by_last as (select list_extract(string_split(norm, ' '), -1) norm, min(id) c, count(*) n from wn where norm like '% %' group by 1), {CURATED}, by_name as (select lower(name) low, min(id) c from ws group by 1), {_named('p1', ORACLE['er8_single_words'])}, {_named('p3', ORACLE['er9_bare_surnames'])}, {_named('p2', ORACLE['er10_curated'])}, every as (select 0 w, 'single words' pass, dup_id id, 'merge' as action, canonical_id from p1 union all select 1, 'curated', * from p2 union all select 2, 'surnames', * from p3), plan as (select pass, id, action, canonical_id from (select *, row_number() over (partition by id order by w, action, canonical_id) q from every) where q = 1)"
 
 
 @add(f"{_PARTS} select * from plan")
