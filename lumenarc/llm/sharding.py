@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .common import small_batches, stash, table, text_of
 
@@ -42,8 +42,8 @@ def with_places(sized: DataFrame, order: list[str]) -> DataFrame:
     held = stash(dealt.mapInArrow(_running, f"{kinds}, bytes_before long, rows_before long"), "places")
     # One row a partition: thousands on a large cluster.
     totals = held.groupBy("pid").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
-    earlier = totals.select(F.col("pid").alias("other"), F.col("bytes").alias("b"), F.col("rows").alias("r"))
-    starts = totals.join(F.broadcast(earlier), F.col("other") < F.col("pid"), "left").groupBy("pid").agg(F.coalesce(F.sum("b"), F.lit(0)).alias("start_bytes"), F.coalesce(F.sum("r"), F.lit(0)).alias("start_rows"))
+    earlier = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("pid", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"start_{c}") for c in ("bytes", "rows")))
     joined = held.join(F.broadcast(starts), "pid")
     return joined.select(*sized.columns, (F.col("start_bytes") + F.col("bytes_before")).alias("place"), (F.col("start_rows") + F.col("rows_before")).alias("row_no"))
 

@@ -54,6 +54,43 @@ def test_quality_counts_equal_brute_force(spark, texts):
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r.kept and r.base_failed)
 
 
+def test_quality_verdict_equals_brute_force(spark, docs):
+    """Distances, nearest language and verdict from the histograms, with Jensen-Shannon by its definition."""
+    feats = quality.features(docs)
+    rows = feats.collect()
+    failed = lambda r: r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words
+    sums = {}
+    for r in rows:
+        if r.lang in quality.COMMON and r.chars >= quality.MIN_CHARS and r.n_words >= quality.MIN_WORDS and not failed(r):
+            c, w = sums.setdefault(r.lang, (np.zeros(len(r.class_hist)), np.zeros(len(r.word_hist))))
+            c += r.class_hist
+            w += r.word_hist
+
+    def distance(p, q):
+        if not sum(p) or not sum(q):
+            return None
+        p, q = np.array(p) / sum(p), np.array(q) / sum(q)
+        m = (p + q) / 2
+        part = lambda x: float(np.sum(x[x > 0] * np.log2(x[x > 0] / m[x > 0])))
+        return float(np.sqrt(max((part(p) + part(q)) / 2, 0)))
+
+    got, seen = {r.doc_id: r for r in quality.judge(feats, quality.references(feats)).collect()}, Counter()
+    for r in rows:
+        best = None
+        for lang, (c, w) in sorted(sums.items()):
+            dc = distance(r.class_hist, c) if r.chars >= quality.MIN_CHARS else None
+            dw = distance(r.word_hist, w) if r.n_words >= quality.MIN_WORDS else None
+            worst = max((dc or 0) / quality.MAX_CLASS, (dw or 0) / (quality.MAX_WORD + quality.WORD_NOISE / np.sqrt(r.n_words)) if dw else 0)
+            if best is None or worst < best[0] - 1e-12:
+                best = (worst, lang, dc, dw)
+        g = got[r.doc_id]
+        assert g.nearest_lang == best[1] and g.base_failed == failed(r) and g.kept == (not failed(r) and best[0] <= 1)
+        for x, y in ((g.class_distance, best[2]), (g.word_distance, best[3])):
+            assert (x is None) == (y is None) and (x is None or x == pytest.approx(y, abs=1e-7))
+        seen[g.kept, g.base_failed] += 1
+    assert seen[True, False] > 50 and seen[False, True] > 5 and seen[False, False] > 0
+
+
 def test_quality_odd_tables(odd, empty):
     feats = quality.features(odd)
     assert quality.judge(feats, quality.references(feats)).count() == odd.count()
