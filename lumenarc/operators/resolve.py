@@ -53,12 +53,33 @@ def duplicate_groups(pairs: DataFrame, write, max_steps: int = 40) -> DataFrame:
     raise RuntimeError("duplicate groups did not settle")
 
 
+# How names that are none begin, end or read.
+ROLES = "unknown unnamed redacted anonymous witness victim detective officer agent sergeant lieutenant captain deputy sheriff judge attorney counsel clerk secretary assistant driver pilot nurse doctor professor employee owner manager director president minor juvenile male female subject suspect defendant plaintiff respondent petitioner individual person caller sender recipient".split()
+ORGANISATIONS = "inc llc llp ltd corp corporation company foundation trust bank university college school hospital department bureau agency office court county city state group associates partners holdings airlines hotel".split()
+PLACES = "street avenue road boulevard lane drive island beach airport building floor suite".split()
+STARTS = "the a an of and or for with from to in on at by his her their my our your no not all any some".split()
+PLURALS = "victims witnesses officers agents attorneys employees parents friends others people girls women men boys staff family brothers sisters".split()
+
+
 def junk_reason(name: Column, words: list[str] | None = None) -> Column:
-    """ER-6. Why a name is no person's name, or null. words: a domain list, an input."""
+    """ER-6. Why a name is no person's name, or null; the first reason that holds. words: a domain list, an input."""
     n = F.trim(name)
-    checks = [("empty", F.length(n) == 0), ("short", F.length(n) < 3), ("long", F.length(n) > 60), ("digits", n.rlike(r"\d")), ("symbols", n.rlike(r"[@#$%^*_=+<>{}|\\]")), ("url", F.lower(n).rlike(r"^https?://|www\.")), ("role", F.lower(n).rlike(r"^(unknown|unnamed|redacted|anonymous|witness|victim|detective|officer)( |$)")), ("many words", F.size(F.split(n, " ")) > 5)]
+    low = F.lower(n)
+    any_of = lambda xs: "(" + "|".join(xs) + ")"
+    parts = F.split(low, " +")
+    letters = F.regexp_replace(low, "[^a-z]", "")
+    checks = [
+        ("empty", F.length(n) == 0), ("short", F.length(n) < 3), ("long", F.length(n) > 60), ("digits", n.rlike(r"\d")), ("symbols", n.rlike(r"[@#$%^*_=+<>{}|\\]")),
+        ("url", low.rlike(r"^https?://|www\.")), ("domain", low.rlike(r"\.(com|org|net|gov|edu)$")), ("file", low.rlike(r"\.(pdf|jpe?g|png|docx?|txt)$")),
+        ("role", low.rlike(f"^{any_of(ROLES)}( |$)")), ("group", low.rlike(f"(^| ){any_of(PLURALS)}$")), ("organisation", low.rlike(f"(^| ){any_of(ORGANISATIONS)}\\.?$")), ("place", low.rlike(f"(^| ){any_of(PLACES)}$")),
+        ("article", low.rlike(f"^{any_of(STARTS)} ")), ("number", low.rlike(r"^(no|number|exhibit|document|page|item|case|file|doe)\.? ")), ("placeholder", low.rlike(r"^(n/a|none|null|undefined|tbd|test|name|first last|john doe|jane doe)$")),
+        ("slash", low.rlike("[/&]")), ("brackets", n.rlike(r"[()\[\]]")), ("quotes", n.rlike(r'["\u201c\u201d]')), ("question", n.rlike(r"[?!;:]")), ("possessive", low.rlike(r"'s$")), ("hyphens", low.rlike(r"^-|-$|--")),
+        ("no letters", letters == ""), ("no vowels", (F.length(letters) > 3) & ~letters.rlike("[aeiouy]")), ("one letter repeated", letters.rlike(r"^(.)\1+$")), ("three alike", low.rlike(r"([a-z])\1\1")),
+        ("initials only", low.rlike(r"^([a-z][. ]+)*[a-z]\.?$")), ("words repeated", (F.size(parts) > 1) & (F.size(F.array_distinct(parts)) == 1)), ("lower case", (n == low) & (F.size(parts) == 1) & (F.length(n) < 4)),
+        ("many words", F.size(F.split(n, " ")) > 5), ("long word", F.exists(parts, lambda w: F.length(w) > 25)),
+    ]
     if words:
-        checks.append(("word list", F.lower(n).isin(words)))
+        checks.append(("word list", low.isin(words)))
     return F.coalesce(*(F.when(cond, F.lit(reason)) for reason, cond in checks))
 
 

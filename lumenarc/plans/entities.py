@@ -46,11 +46,15 @@ def er7_same_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.same_name_groups(names(spark, sf_dir))
 
 
-@query("select p_partkey id, case when p_partkey % 4 = 0 then 'digits' when p_partkey % 4 = 1 then 'role' when p_partkey % 4 = 2 then 'url' end reason from part")
+#: One name for each reason, made of a part's name, and the reason; none for the last two.
+JUNK = [("{} 7", "digits"), ("{}@x", "symbols"), ("www.{}.x", "url"), ("{}.com", "domain"), ("{}.pdf", "file"), ("Unknown {}", "role"), ("the {} girls", "group"), ("{} Holdings", "organisation"), ("{} Street", "place"), ("His {}", "article"), ("Exhibit {}", "number"), ("John Doe", "placeholder"), ("{} / x", "slash"), ("({})", "brackets"), ("'{}\"", "quotes"), ("{}?", "question"), ("{}'s", "possessive"), ("--{}", "hyphens"), ("xkcd brt", "no vowels"), ("aaaa", "one letter repeated"), ("{} xeeeq", "three alike"), ("J. R.", "initials only"), ("bora bora", "words repeated"), ("abi", "lower case"), ("{} a b c d e", "many words"), ("{} abcdefghijklmnopqrstuvwxyz", "long word"), ("{}", None), ("Maria {}", None)]
+
+
+@query("select p_partkey id, case p_partkey % 28 " + " ".join(f"when {i} then {'null' if r is None else repr(r)}" for i, (_, r) in enumerate(JUNK)) + " end reason from part")
 def er6_junk_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("p_partkey") % 4
-    name = F.when(k == 0, F.concat("p_name", F.lit(" 7"))).when(k == 1, F.concat(F.lit("Unknown "), "p_name")).when(k == 2, F.concat(F.lit("www."), F.regexp_replace("p_name", " ", "."))).otherwise(F.col("p_name"))
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), E.junk_reason(name).alias("reason"))
+    p = table(spark, sf_dir, "part")
+    pattern = F.element_at(F.array(*(F.lit(t) for t, _ in JUNK)), (F.col("p_partkey") % len(JUNK) + 1).cast("int"))
+    return p.select(F.col("p_partkey").alias("id"), E.junk_reason(F.replace(pattern, F.lit("{}"), F.col("p_name"))).alias("reason"))
 
 
 @query("with p as (select min(s_suppkey) id, n_name from supplier join nation on s_nationkey = n_nationkey group by 2) select c_custkey id, p.id person_id from customer join nation on c_nationkey = n_nationkey left join p using (n_name)")
