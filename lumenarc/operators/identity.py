@@ -268,6 +268,9 @@ def resolved_map(plan: DataFrame, persons: DataFrame, write: Write, max_steps: i
         if step > 6:  # what still moves after 2**7 steps is a circle or leads into one: its least member ends it
             now = write(now.join(now.select(F.col("id").alias("to"), F.col("low").alias("least")), "to", "left").select("id", F.coalesce("least", "to").alias("to"), "low"))
             break
+    # Who came back to itself is in a circle, too.
+    rings = now.filter("id = to").select("to", F.col("low").alias("ring"))
+    now = write(now.join(rings, "to", "left").select("id", F.coalesce("ring", "to").alias("to")))
     gone = live.filter("action = 'delete'").select("id")
     into_gone = now.join(gone.withColumnRenamed("id", "to"), "to", "left_semi").select("id")
     return now.filter("id <> to").join(into_gone, "id", "left_anti").select(F.col("id").alias("dup_id"), F.col("to").alias("canonical_id")), gone.unionByName(into_gone).distinct()
