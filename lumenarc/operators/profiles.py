@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenarc.functions.text import normalize_name
+from lumenarc.sources.stored import stored
 
 
 def rolled_names(mentions: DataFrame, k: int = 1500) -> DataFrame:
@@ -29,7 +30,8 @@ def person_mentions(persons: DataFrame, mentions: DataFrame, analyses: DataFrame
     """JN-8, AGG-12. Per person: mentions summed, distinct facts that hold the name, distinct locations of its documents, and the documents with most mentions (most_documents at the most, which is what a page shows)."""
     names = spoken_names(persons)
     hits = mentions.withColumn("norm", normalize_name(F.col("name"))).select("norm", "analysis_id", "mentions").join(names, "norm").groupBy("person_id", "analysis_id").agg(F.sum("mentions").alias("mentions"), F.min("name").alias("name"))
-    with_doc = hits.join(analyses.select("analysis_id", "document_id", "facts", "locations"), "analysis_id")
+    # Written once: four aggregations read it.
+    with_doc = stored(hits.join(analyses.select("analysis_id", "document_id", "facts", "locations"), "analysis_id"), "hits")
     total = with_doc.groupBy("person_id").agg(F.sum("mentions").alias("mentions"), F.count_distinct("document_id").alias("n_documents"))
     facts = with_doc.select("person_id", "name", F.explode("facts").alias("fact")).filter(F.contains(F.lower("fact"), F.lower("name"))).groupBy("person_id").agg(F.sort_array(F.collect_set("fact")).alias("facts"))
     places = with_doc.select("person_id", F.explode("locations").alias("place")).groupBy("person_id").agg(F.sort_array(F.collect_set("place")).alias("locations"))
@@ -51,7 +53,7 @@ def profiles(persons: DataFrame, mentions: DataFrame, analyses: DataFrame, legal
     legal: the pattern of facts that have a section of their own, an input."""
     names = spoken_names(persons)
     said = mentions.select("analysis_id", "role", "context", "mentions", normalize_name(F.col("name")).alias("norm"))
-    hits = said.join(names, "norm").join(analyses, "analysis_id")
+    hits = stored(said.join(names, "norm").join(analyses, "analysis_id"), "hits")  # eight sections read it
     line = lambda title, at, df: df.select("person_id", F.lit(at).alias("at"), F.lit(title).alias("title"), F.col("line"), "weight")
     fact = hits.select("person_id", F.explode("facts").alias("line"), "name").filter(F.contains(F.lower("line"), F.lower("name"))).withColumn("is_legal", F.lower("line").rlike(legal)).groupBy("person_id", "line", "is_legal").agg(F.count("*").alias("weight"))
     rows = line("Roles", 1, hits.filter("role is not null").groupBy("person_id", F.col("role").alias("line")).agg(F.sum("mentions").alias("weight")))
