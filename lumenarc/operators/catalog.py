@@ -58,18 +58,29 @@ def merge_chunks(rows: DataFrame, doc: str, key: str) -> DataFrame:
     return rows.groupBy(doc, key).agg(F.sum("mentions").alias("mentions"), F.max_by("context", F.struct(F.length("context"), -F.col("chunk"), "context")).alias("context"), F.max("confidence").alias("confidence"))
 
 
-def chunks(parts: Column, size: int) -> Column:
+def chunks(parts: Column, size: int, between: str = "\n") -> Column:
     """DOC-15. Parts packed greedily, in order, into chunks of at most size characters; a longer part is a chunk of its own. No shuffle: an array holds one document."""
     state = lambda done, cur: F.struct(done.alias("done"), cur.alias("cur"))
     start = state(F.array().cast("array<string>"), F.lit(None).cast("string"))
 
     def add(s: Column, p: Column) -> Column:
-        fits = F.length(s["cur"]) + 1 + F.length(p) <= size
-        return F.when(s["cur"].isNull(), state(s["done"], p)).when(fits, state(s["done"], F.concat(s["cur"], F.lit("\n"), p))).otherwise(state(F.array_append(s["done"], s["cur"]), p))
+        fits = F.length(s["cur"]) + len(between) + F.length(p) <= size
+        return F.when(s["cur"].isNull(), state(s["done"], p)).when(fits, state(s["done"], F.concat(s["cur"], F.lit(between), p))).otherwise(state(F.array_append(s["done"], s["cur"]), p))
 
     return F.aggregate(parts, start, add, lambda s: F.when(s["cur"].isNull(), s["done"]).otherwise(F.array_append(s["done"], s["cur"])))
 
 
+def chunk_text(text: Column, size: int, heading: str = r"Page \d+\s") -> Column:
+    """DOC-15. A text cut before its page headings, packed into chunks that together are the text; null stays null."""
+    return chunks(F.split(text, f"(?={heading})"), size, "")
+
+
+def poor_text(text: Column, pages: Column, each: int = 50, single: int = 20) -> Column:
+    """DOC-16. Whether a text has too few characters for its pages; a document of one page or none has a limit of its own."""
+    chars = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", ""))
+    return F.when(F.coalesce(pages, F.lit(0)) <= 1, chars < single).otherwise(chars / pages < each)
+
+
 def above_percentile(rows: DataFrame, key: str, value: str, share: float) -> DataFrame:
     """WIN-9. Rows above the value at index floor(n * share) of the sorted values: exact, by a histogram of distinct values, not by sorting rows in one task."""
     h = rows.groupBy(value).agg(F.count("*").alias("_n"))
@@ -105,6 +116,11 @@ def latest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.struct(*order)).alias("_row")).select("_row.*")
 
 
+def replace_children(old: DataFrame, parents: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """DML-7. Child rows after their parents were written anew: all old rows of the parents go, those without new rows included. A key that is null is no key."""
+    return old.join(parents.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+
+
 def merge_entities(rows: DataFrame) -> DataFrame:
     """DML-8. Entities alike in lower-case name and type: first name, longest description, all attribute names with their last values. rows: seq, name, entity_type, description, attributes (map)."""
     keyed = rows.withColumn("_k", F.lower("name"))

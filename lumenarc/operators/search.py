@@ -77,11 +77,18 @@ class Index:
     def scores(self, terms: dict[str, float]) -> DataFrame:
         """(page_id, term, s): weighted BM25 of each term in each page."""
         hits = self.of(list(terms))
+        weight = F.element_at(F.create_map(*(x for t, w in terms.items() for x in (F.lit(t), F.lit(w)))), F.col("term"))
+        return self._scored(hits.withColumn("weight", weight))
+
+    def scores_of(self, terms: DataFrame) -> DataFrame:
+        """The same for a table (term, weight) of any size, joined to the postings."""
+        return self._scored(self.postings.join(terms, "term"))
+
+    def _scored(self, hits: DataFrame) -> DataFrame:
         df = hits.groupBy("term").agg(F.count("*").alias("df"))  # one row a query term
         idf = F.log(1 + (F.lit(self.pages) - F.col("df") + 0.5) / (F.col("df") + 0.5))
         tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_words") / F.lit(self.mean_words)))
-        weight = F.element_at(F.create_map(*(x for t, w in terms.items() for x in (F.lit(t), F.lit(w)))), F.col("term"))
-        return hits.join(F.broadcast(df), "term").select("page_id", "term", (weight * idf * tf).alias("s"))
+        return hits.join(df, "term").select("page_id", "term", (F.col("weight") * idf * tf).alias("s"))
 
 
 def parse_query(text: str) -> tuple[list[list[str]], list[list[str]], list[str]]:
@@ -139,9 +146,8 @@ def typo_tolerant(index: Index, term: str, enough: int, k: int, max_edits: int =
     """FTS-8. Top k pages of a term; where fewer than `enough` pages have it, also of terms within max_edits, each edit halving the score."""
     near = index.postings.filter(F.length("term").between(len(term) - max_edits, len(term) + max_edits)).select("term").distinct().withColumn("d", F.levenshtein("term", F.lit(term), max_edits)).filter("d >= 0")
     exact = index.of([term]).limit(enough).count()
-    rows = near if exact < enough else near.filter("d = 0")
-    told = {r["term"]: 0.5 ** r["d"] for r in rows.orderBy("d", "term").limit(200).collect()}  # the nearest 200 terms, as a search box offers
-    return top((index.scores(told) if told else index.scores({term: 1.0})).groupBy("page_id").agg(F.max("s").alias("score")), k)
+    told = (near if exact < enough else near.filter("d = 0")).select("term", F.pow(F.lit(0.5), F.col("d")).alias("weight"))
+    return top(index.scores_of(told).groupBy("page_id").agg(F.max("s").alias("score")), k)
 
 
 def search_everything(found: DataFrame, pages: DataFrame, persons: DataFrame, events: DataFrame, needle: str, k: int = 20) -> DataFrame:

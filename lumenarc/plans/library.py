@@ -80,6 +80,20 @@ def doc15_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (F.col("at") + 1).alias("chunk"), F.length("chunk_text").cast("long").alias("n"))
 
 
+@query("with recursive parts as (select doc_id, string_split(regexp_replace(replace(text, chr(10), ' Page 2 '), '(Page [0-9]+\\s)', chr(1) || '\\1', 'g'), chr(1)) ps from documents where text is not null), pg as (select doc_id, row_number() over (partition by doc_id order by i) page, s content from (select doc_id, len(ps) n, unnest(ps) s, generate_subscripts(ps, 1) i from parts) where i > 1 or s <> '' or n = 1), ch as (select doc_id, page, 1 chunk, length(content) len from pg where page = 1 union all select pg.doc_id, pg.page, case when len + length(content) <= 1000 then chunk else chunk + 1 end, case when len + length(content) <= 1000 then len + length(content) else length(content) end from ch join pg on pg.doc_id = ch.doc_id and pg.page = ch.page + 1) select doc_id, chunk, md5(string_agg(content, '' order by page)) chunk_md5 from ch join pg using (doc_id, page) group by 1, 2")
+def doc15_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOC-15. Lines as pages, each under a heading."""
+    text = F.replace("text", F.lit("\n"), F.lit(" Page 2 "))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(C.chunk_text(text, 1000)).alias("at", "chunk_text"))
+    return rows.select("doc_id", (F.col("at") + 1).alias("chunk"), F.md5(F.col("chunk_text").cast("binary")).alias("chunk_md5"))
+
+
+@query("select conv_id, turn, case when turn <= 1 then length(t) < 20 else length(t) * 1.0 / turn < 50 end poor from (select *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') t from conversations)")
+def doc16_poor_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DOC-16. Turns as documents of as many pages as their number."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", C.poor_text(F.col("text"), F.col("turn")).alias("poor"))
+
+
 DEGREE = "dg as (select p person_id, count(*) degree from (select person_id_1 p from edges union all select person_id_2 from edges) group by 1)"
 
 
@@ -129,6 +143,14 @@ def dml7_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.latest_per_key(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], ["ts", "event_id"]).drop("ts")
 
 
+@query("select l_orderkey, l_linenumber, l_suppkey from lineitem where l_orderkey not in (select o_orderkey from orders where o_orderstatus = 'F') or l_linenumber % 2 = 0")
+def dml7_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DML-7. Finished orders written anew with their even lines."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
+    finished = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return C.replace_children(lines, finished, lines.join(finished, "l_orderkey", "left_semi").filter("l_linenumber % 2 = 0"), ["l_orderkey"])
+
+
 ENTITIES = "e as (select p_partkey seq, case when p_size > 25 then upper(p_name) else p_name end as name, p_brand entity_type, p_type description, 's' || (p_size % 3) a, p_type v from part)"
 
 
