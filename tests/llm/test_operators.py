@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from lumenarc.llm import brown, edits, html, leaks, packing, quality, sharding, simhash, substrings, tokens, toxicity
-from lumenarc.llm.queries import QUERIES
+from lumenarc.llm.queries import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard string, score string, words string"
@@ -91,6 +91,20 @@ def test_quality_verdict_equals_brute_force(spark, docs):
     assert seen[True, False] > 50 and seen[False, True] > 5 and seen[False, False] > 0
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_equals_sql(spark, docs, name):
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = db.execute(ORACLE[name])
+    names = [d[0] for d in want.description]
+    got = QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(names)
+    expected = sorted(want.fetchall())
+    assert expected and sorted(tuple(r) for r in got.select(*names).collect()) == expected
+
+
 def test_quality_odd_tables(odd, empty):
     feats = quality.features(odd)
     assert quality.judge(feats, quality.references(feats)).count() == odd.count()
