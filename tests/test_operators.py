@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenarc.functions import text as T
-from lumenarc.operators import activity as A, identity as I, profiles as P, resolve as R, search as S
+from lumenarc.operators import activity as A, catalog as C, identity as I, profiles as P, resolve as R, search as S
 from lumenarc.sources import readers, writers
 from lumenarc.sources.stored import stored
 
@@ -111,3 +111,17 @@ def test_readers_skip_what_is_broken(spark, tmp_path):
     out = str(tmp_path / "csv")
     writers.write_csv(spark.createDataFrame([('a,"b"\nc', None)], "x string, y string"), out)
     assert spark.read.csv(out, header=True, escape='"', multiLine=True).collect()[0].x == 'a,"b"\nc'
+
+
+def test_chunks_quality_gate_and_children(spark):
+    texts = [None, "", "Page 1 aa Page 2 bb Page 3 cc", "x" * 30]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in d.orderBy("i").select(C.chunk_text(F.col("t"), 20)).collect()]
+    assert got == [None, [""], ["Page 1 aa Page 2 bb ", "Page 3 cc"], ["x" * 30]]
+    poor = spark.createDataFrame([(" \n", 1), ("a" * 20, 1), ("a" * 20, None), ("a" * 99, 2), ("a" * 100, 2), (None, 2)], "t string, n int")
+    assert [r[0] for r in poor.select(C.poor_text(F.col("t"), F.col("n"))).collect()] == [True, False, False, True, False, True]
+    old = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d"), (None, "e")], "k int, v string")
+    new = spark.createDataFrame([(1, "z")], "k int, v string")
+    parents = spark.createDataFrame([(1,), (1,), (3,), (None,)], "k int")
+    assert sorted(r.v for r in C.replace_children(old, parents, new, ["k"]).collect()) == ["c", "e", "z"]
+    assert C.replace_children(old, parents.limit(0), new.limit(0), ["k"]).count() == 5
