@@ -1,8 +1,8 @@
-"""The queries of this subpackage and the SQL of the one that SQL can express; checksums, hashing, models and tokenizers are beyond it, so tests compare the others with brute force."""
+"""The queries of this subpackage and the SQL of those that SQL can express; checksums, hashing, models and tokenizers are beyond it, so tests compare the others with brute force."""
 
 from __future__ import annotations
 
-from . import brown, edits, html, leaks, packing, quality, sharding, simhash, substrings, toxicity
+from . import brown, edits, html, leaks, packing, quality, sharding, simhash, substrings, toxicity, trie, whitening
 
 QUERIES = {
     "op1_divergence": quality.op1_divergence,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_decontaminate": leaks.op9_decontaminate,
     "op10_simhash": simhash.op10_simhash,
+    "op12_prefix_trie": trie.op12_prefix_trie,
+    "op13_whitening": whitening.op13_whitening,
 }
 
-ORACLE: dict[str, str] = {"op1_divergence": quality.op1_sql()}
+ORACLE: dict[str, str] = {"op1_divergence": quality.op1_sql(), "op12_prefix_trie": trie.op12_sql()}
