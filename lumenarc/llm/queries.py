@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import brown, edits, html, leaks, packing, quality, sharding, simhash, substrings, toxicity, trie, whitening
+from . import brown, edits, html, leaks, packing, quality, redirects, sharding, simhash, substrings, toxicity, trie, whitening
 
 QUERIES = {
     "op1_divergence": quality.op1_divergence,
@@ -15,8 +15,9 @@ QUERIES = {
     "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_decontaminate": leaks.op9_decontaminate,
     "op10_simhash": simhash.op10_simhash,
+    "op11_redirects": redirects.op11_redirects,
     "op12_prefix_trie": trie.op12_prefix_trie,
     "op13_whitening": whitening.op13_whitening,
 }
 
-ORACLE: dict[str, str] = {"op1_divergence": quality.op1_sql(), "op12_prefix_trie": trie.op12_sql()}
+ORACLE: dict[str, str] = {"op1_divergence": quality.op1_sql(), "op11_redirects": redirects.op11_sql(), "op12_prefix_trie": trie.op12_sql()}
