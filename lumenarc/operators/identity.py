@@ -1,8 +1,8 @@
 """Entity resolution by the full rule set: names that mean one person, their groups, and the plan that merges and deletes.
 
-No rule is tried on all pairs. Each has a key that its matches share, and every key holds two traits of a name (a last name with the first letter of
-a first name, a first name with a last name less one or two letters, ...), so that a common first or last name alone never makes a block. Fuzzy
-traits use deletion neighbourhoods: two words within d edits share a form with at most d letters deleted from each.
+No rule is tried on all pairs. Each has keys of its own that its matches share, and every key holds two traits of a name (a last name with the first name
+or a beginning of it, a first name with a segment of a last name, ...) or one that is nearly the whole name, so that a common first or last name alone never
+makes a block. Keys have roles: names meet only where a probe of one is an index entry of the other, which makes "begins with" and "within d edits" almost exact.
 """
 
 from __future__ import annotations
@@ -118,7 +118,7 @@ def merge_rules(left: str = "a", right: str = "b") -> list[tuple[str, Column]]:
     def first_alike(f: str, c: str) -> Column:
         x, y, cx, cy = a[f], b[f], a[c], b[c]
         initial = (F.least(F.length(x), F.length(y)) == 1) & letter(x, y)
-        return (x == y) | initial | (_long(3, x, y) & _prefix(x, y)) | (cx == cy) | (_long(4, cx, cy) & _prefix(cx, cy)) | (_long(4, x, y) & letter(x, y) & _near(x, y, 2))
+        return (x == y) | initial | (_long(3, x, y) & _prefix(x, y)) | (cx == cy) | (_long(4, cx, cy) & _prefix(cx, cy)) | (_long(4, x, y) & _near(x, y, 2))
 
     alike = first_alike("first", "canon") | first_alike("real", "canon_real")
     fits = (F.size(a["parts"]) <= 5) & (F.size(b["parts"]) <= 5)
@@ -132,43 +132,136 @@ def merge_rules(left: str = "a", right: str = "b") -> list[tuple[str, Column]]:
     ]
 
 
-def deletions(word: Column, d: int) -> Column:
-    """The word and all forms of it with at most d letters deleted."""
-    one = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1)))
-    once = one(word)
-    forms = F.concat(F.array(word), once) if d == 1 else F.concat(F.array(word), once, F.flatten(F.transform(once, one)))
-    return F.array_distinct(forms)
+PROBE, INDEX = 1, 2
+NO_KEYS = "array<struct<key:bigint,role:int>>"
 
 
-def blocking_keys() -> Column:
-    """Every match of either rule set shares one of these keys."""
-    first, last, letter = F.col("first"), F.col("last"), lambda c: F.substring(c, 1, 1)
-    letters = F.array_distinct(F.array(*(letter(c) for c in ("first", "canon", "real", "canon_real"))))
-    by = lambda tag, *parts: F.concat_ws(":", F.lit(tag), *parts)
+def _keys(tag: str, role: int, *parts: Column) -> Column:
+    return F.struct(F.xxhash64(F.lit(tag), *parts).alias("key"), F.lit(role).alias("role"))
+
+
+def near_keys(tag: str, trait: Column, word: Column, d: int, least: int, role: int = PROBE | INDEX, longer: int = 0) -> Column:
+    """Keys that two words of at least so many letters within d edits share beside an equal trait, by the pigeonhole principle: of d + 1 segments of
+    the shorter word one is untouched, and stands in the longer word near its place. A word indexes its own segments and probes those that words
+    of its length and up to d letters less could have, at the places that the edits before and behind a segment allow (longer: and of so many letters more)."""
+    n, k, none = F.length(word), d + 1, F.array().cast(NO_KEYS)
+
+    def of_length(delta: Column) -> Column:
+        size = n - delta
+        base, extra = F.floor(size / k).cast("int"), size % k
+
+        def of_segment(i: Column) -> Column:
+            part = base + F.when(i > k - extra, 1).otherwise(0)
+            start = (i - 1) * base + F.greatest(i - 1 - k + extra, F.lit(0)) + 1
+            low, high = F.greatest(start - i + 1, start + delta - k + i, F.lit(1)), F.least(start + i - 1, start + delta + k - i, n - part + 1)
+            own = lambda p: (delta == 0) & (p == start)
+            entry = lambda p: F.struct(F.xxhash64(F.lit(tag), trait, size, i, F.substr(word, p, part)).alias("key"), F.when(own(p), role).otherwise(role & PROBE).alias("role"))
+            return F.when(low <= high, F.transform(F.sequence(low, F.greatest(low, high)), entry)).otherwise(none)
+
+        return F.when(size >= least, F.flatten(F.transform(F.sequence(F.lit(1), F.lit(k)), of_segment))).otherwise(none)
+
+    found = F.flatten(F.transform(F.sequence(F.lit(-longer), F.lit(d)), of_length))
+    return F.when(n >= least, F.filter(found, lambda x: x["role"] > 0)).otherwise(none)
+
+
+def prefix_keys(tag: str, trait: Column, word: Column, least: Column | int = 1, role: int = PROBE | INDEX) -> Column:
+    """Keys for "one word begins with the other": a word indexes itself and probes all its beginnings of at least so many letters."""
+    n, least = F.length(word), F.lit(least) if isinstance(least, int) else least
+    entry = lambda i: F.struct(F.xxhash64(F.lit(tag), trait, F.substr(word, F.lit(1), i)).alias("key"), F.when(i == n, role).otherwise(role & PROBE).alias("role"))
+    return F.when(n >= least, F.filter(F.transform(F.sequence(least, F.greatest(n, least)), entry), lambda x: x["role"] > 0)).otherwise(F.array().cast(NO_KEYS))
+
+
+def _firsts() -> Column:
+    return F.array_distinct(F.array("first", "canon", "real", "canon_real"))
+
+
+def _whole_keys() -> Column:
+    return F.array(_keys("n", PROBE | INDEX, F.col("norm")), _keys("s", PROBE | INDEX, F.col("bare")), _keys("t", PROBE | INDEX, F.col("ordered")))
+
+
+def _first_keys(last: Column, role: int = PROBE | INDEX) -> Column:
+    """An equal last name, and a first name that begins with the other's."""
+    return F.flatten(F.transform(_firsts(), lambda w: prefix_keys("lp", last, w, role=role)))
+
+
+def _rest_and_front(least_rest: int, least_front: int) -> Column:
+    """All but one end of a name within two edits beside the equal end: what is behind the first name, what is before the last."""
+    front = F.substr(F.col("norm"), F.lit(1), F.length("norm") - F.length("last") - 1)
+    rest = F.substr(F.col("norm"), F.length("first") + 2)
+    return F.concat(near_keys("fr", F.col("first"), rest, 2, least_rest), near_keys("lf", F.col("last"), front, 2, least_front), F.when(front != F.col("first"), near_keys("lf", F.col("last"), F.col("first"), 2, least_front)).otherwise(F.array().cast(NO_KEYS)))
+
+
+def same_person_keys() -> Column:
+    """Keys of ER-1. Every match of same_person_rules() is a probe of one name and an index entry of the other."""
+    first, last, norm, none = F.col("first"), F.col("last"), F.col("norm"), F.array().cast(NO_KEYS)
+    starts = F.array_distinct(F.array(F.substring(first, 1, 3), F.substring("canon", 1, 3)))
+    canon_last = F.when((F.col("canon") != first) | (F.size("parts") > 2), near_keys("fr", F.col("canon"), last, 2, 6)).otherwise(none)
+    broken = F.when(~F.contains("collapsed", F.lit(" ")), near_keys("w", F.lit(""), F.col("collapsed"), 1, 4, PROBE, longer=1)).otherwise(none)
+    words = F.flatten(F.transform(F.filter("parts", lambda p: F.length(p) >= 5), lambda p: near_keys("w", F.lit(""), p, 1, 5, INDEX)))
     return F.array_distinct(F.concat(
-        F.array(by("n", "norm"), by("s", "bare"), by("t", "ordered"), by("fl", "first", F.substring(last, 1, 4)), by("fs", "first", letter(F.get("parts", F.lit(1)))), by("cf", first, last), by("cr", "real", last)),
-        F.transform("aliases", lambda x: by("n", x)),
-        F.transform(letters, lambda x: by("ll", last, x)),
-        F.transform(deletions(first, 2), lambda x: by("ld", last, x)),
-        F.flatten(F.transform(deletions(last, 2), lambda x: F.transform(letters, lambda y: by("dl", x, y)))),
-        F.transform(deletions(last, 2), lambda x: by("fd", first, x)),
-        F.transform(deletions(last, 2), lambda x: by("cd", "canon", x)),
-        F.when(~F.contains("collapsed", F.lit(" ")), F.transform(deletions(F.col("collapsed"), 1), lambda x: by("w", x))).otherwise(F.array().cast("array<string>")),
-        F.flatten(F.transform(F.filter("parts", lambda p: F.length(p) >= 5), lambda p: F.transform(deletions(p, 1), lambda x: by("w", x)))),
+        _whole_keys(),
+        F.transform("aliases", lambda x: _keys("n", PROBE, x)),
+        _first_keys(last),
+        _rest_and_front(4, 3),
+        canon_last,
+        F.flatten(F.transform(starts, lambda t: near_keys("sl", t, last, 1, 5))),
+        F.when(F.length(last) >= 4, F.array(_keys("fl", PROBE | INDEX, first, F.substring(last, 1, 4)))).otherwise(none),
+        prefix_keys("p", F.lit(""), norm, F.greatest(F.lit(8), F.length(first) + 2)),
+        broken,
+        words,
     ))
 
 
-def match_pairs(persons: DataFrame, rules: Callable[[], list[tuple[str, Column]]] = same_person_rules) -> DataFrame:
-    """(id1, id2, rule), id1 < id2, for the output of traits(). Work is on distinct names; persons of one name and equal aliases follow by their name.
+def whole_name_keys() -> Column:
+    """Keys of the rules on whole names."""
+    return F.array_distinct(F.concat(_whole_keys(), _first_keys(F.col("last")), _rest_and_front(1, 1), near_keys("sl", F.col("first"), F.col("last"), 1, 5)))
+
+
+def merge_keys(last: Column | None = None) -> Column:
+    """Keys of ER-2: those of an equal last name. With a column, those that probe for it in place of the own last name."""
+    role = PROBE | INDEX if last is None else PROBE
+    of = F.col("last") if last is None else last
+    near = F.flatten(F.transform(F.array_distinct(F.array("first", "real")), lambda w: near_keys("lf", of, w, 2, 4, role)))
+    return F.array_distinct(F.concat(_first_keys(of, role), near, *([_whole_keys()] if last is None else [])))
+
+
+def near_words(words: DataFrame, d: int, least: int) -> DataFrame:
+    """(word, near): distinct words of at least so many letters that are 1 to d edits apart, both ways. words: word, distinct."""
+    keyed = stored(words.filter(F.length("word") >= least).select("word", F.explode(near_keys("", F.lit(""), F.col("word"), d, least)).alias("k")).select("word", "k.key", "k.role"), "word-keys")
+    probe, index = keyed.filter(F.col("role").bitwiseAND(PROBE) > 0).select("key", "word"), keyed.filter(F.col("role").bitwiseAND(INDEX) > 0).select("key", F.col("word").alias("near"))
+    pairs = probe.join(index, "key").filter((F.col("word") != F.col("near")) & _near(F.col("word"), F.col("near"), d)).select("word", "near")
+    return pairs.unionByName(pairs.select(F.col("near").alias("word"), F.col("word").alias("near"))).distinct()
+
 
-    Words of fragments are the one key of a single trait: it holds names with a word broken by scanning and those with nearly that word."""
+def candidate_keys(names: DataFrame, rules: Callable[[], list[tuple[str, Column]]]) -> DataFrame:
+    """(id, key, role) of the names for a rule set. For ER-2 a name also probes with each known last name within two edits of its own."""
+    from .resolve import whole_name_rules
+
+    own = {same_person_rules: same_person_keys, whole_name_rules: whole_name_keys, merge_rules: merge_keys}[rules]
+    keys = names.select("id", F.explode(own()).alias("k"))
+    if rules is merge_rules:
+        near = stored(near_words(names.select(F.col("last").alias("word")).distinct(), 2, 5), "near-lasts")
+        keys = keys.unionByName(names.join(near, F.col("last") == F.col("word")).select("id", F.explode(merge_keys(F.col("near"))).alias("k")))
+    return keys.select("id", "k.key", "k.role")
+
+
+def candidates(keys: DataFrame) -> DataFrame:
+    """(id1, id2), id1 < id2, where a probe of one meets an index entry of the other; both sides are tables, so Spark splits what many names share."""
+    held = stored(keys, "keys")
+    probe = held.filter(F.col("role").bitwiseAND(PROBE) > 0).select("key", F.col("id").alias("x"))
+    index = held.filter(F.col("role").bitwiseAND(INDEX) > 0).select("key", F.col("id").alias("y"))
+    return probe.join(index, "key").filter("x <> y").select(F.least("x", "y").alias("id1"), F.greatest("x", "y").alias("id2")).distinct()
+
+
+def match_pairs(persons: DataFrame, rules: Callable[[], list[tuple[str, Column]]] = same_person_rules) -> DataFrame:
+    """(id1, id2, rule), id1 < id2, for the output of traits(). Work is on distinct names; persons of one name and equal aliases follow by their name."""
     persons = stored(persons, "traits")
     names = persons.groupBy("norm", "aliases").agg(F.min("id").alias("id"), F.min(F.struct(*(c for c in persons.columns if c not in ("id", "norm", "aliases")))).alias("t")).select("id", "norm", "aliases", "t.*")
-    keys = names.select("id", F.explode(blocking_keys()).alias("key"))
-    candidates = keys.alias("x").join(keys.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("id1"), F.col("y.id").alias("id2")).distinct()
+    names = stored(names, "distinct-names")
+    found = candidates(candidate_keys(names, rules))
     a, b = names.alias("a"), names.alias("b")
     rule = F.coalesce(*(F.when(F.coalesce(cond, F.lit(False)), F.lit(label)) for label, cond in rules()))
-    across = candidates.join(a, F.col("id1") == F.col("a.id")).join(b, F.col("id2") == F.col("b.id")).select("id1", "id2", rule.alias("rule")).filter("rule is not null")
+    across = found.join(a, F.col("id1") == F.col("a.id")).join(b, F.col("id2") == F.col("b.id")).select("id1", "id2", rule.alias("rule")).filter("rule is not null")
     first = names.select("norm", "aliases", F.col("id").alias("id1"))
     within = persons.select("norm", "aliases", "id").join(first, ["norm", "aliases"]).filter("id <> id1").select("id1", F.col("id").alias("id2"), F.lit("same name").alias("rule"))
     return across.unionByName(within)
@@ -253,23 +346,21 @@ def plan_summary(plan: DataFrame) -> DataFrame:
     return plan.groupBy("pass", "action").agg(F.count("*").alias("n"))
 
 
-def resolved_map(plan: DataFrame, persons: DataFrame, write: Write, max_steps: int = 40) -> tuple[DataFrame, DataFrame]:
+def resolved_map(plan: DataFrame, persons: DataFrame, write: Write) -> tuple[DataFrame, DataFrame]:
     """ER-13. The id map followed to its end, and the ids to delete. Actions whose person or target is gone are stale and skipped; a merge into a person that is itself deleted deletes; of a circle of merges the lowest id stays."""
     there = persons.select("id")
     live = plan.join(there, "id", "left_semi")
     merges = live.filter("action = 'merge' and canonical_id <> id").join(there.withColumnRenamed("id", "canonical_id"), "canonical_id", "left_semi")
     now = write(merges.select("id", F.col("canonical_id").alias("to"), F.least("id", "canonical_id").alias("low")))
-    for step in range(max_steps):
+    # Each step doubles the merges walked, and low is the least person on that walk. A walk longer than the plan has ended, or is in a circle that it has gone all around.
+    for _ in range(now.count().bit_length()):
         on = now.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("low").alias("next_low"))
-        new = write(now.join(on, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.least("low", F.coalesce("next_low", "low")).alias("low"), (F.col("next").isNotNull() & ((F.col("next") != F.col("to")) | (F.col("next_low") < F.col("low")))).alias("moved")))
-        now = new.drop("moved")
-        if new.filter("moved and id <> to").isEmpty():
-            break
-        if step > 6:  # what still moves after 2**7 steps is a circle or leads into one: its least member ends it
-            now = write(now.join(now.select(F.col("id").alias("to"), F.col("low").alias("least")), "to", "left").select("id", F.coalesce("least", "to").alias("to"), "low"))
+        new = write(now.join(on, "to", "left").select("id", F.coalesce("next", "to").alias("to"), F.least("low", F.coalesce("next_low", "low")).alias("low"), F.col("next").isNotNull().alias("open")))
+        now = new.drop("open")
+        if new.filter("open").isEmpty():
             break
-    # Who came back to itself is in a circle, too.
-    rings = now.filter("id = to").select("to", F.col("low").alias("ring"))
+    # Who still has a merge to follow stands in a circle or before one, and points into it: its least member ends it.
+    rings = now.select(F.col("id").alias("to"), F.col("low").alias("ring"))
     now = write(now.join(rings, "to", "left").select("id", F.coalesce("ring", "to").alias("to")))
     gone = live.filter("action = 'delete'").select("id")
     into_gone = now.join(gone.withColumnRenamed("id", "to"), "to", "left_semi").select("id")
@@ -284,6 +375,9 @@ def fuzzy_lookup(mentions: DataFrame, persons: DataFrame, top: DataFrame, mentio
     known = traits(persons.join(top.select("id"), "id", "left_semi"), nicknames)
     asked = traits(found.filter("person_id is null").select(F.col(mention)).distinct().withColumn("id", F.xxhash64(mention)), nicknames, "id", mention)
     cond = reduce(lambda x, y: x | y, (F.coalesce(c, F.lit(False)) for _, c in same_person_rules()))
-    pairs = asked.select("*", F.explode(blocking_keys()).alias("key")).alias("a").join(known.select("*", F.explode(blocking_keys()).alias("key")).alias("b"), F.col("a.key") == F.col("b.key")).filter(cond)
+    sides = [stored(df.select("id", F.explode(same_person_keys()).alias("k")).select(F.col("id").alias(name), "k.key", "k.role"), name) for df, name in ((asked, "asked"), (known, "known"))]
+    held = lambda df, role: df.filter(F.col("role").bitwiseAND(role) > 0).drop("role")
+    met = held(sides[0], PROBE).join(held(sides[1], INDEX), "key").unionByName(held(sides[0], INDEX).join(held(sides[1], PROBE), "key")).select("asked", "known").distinct()
+    pairs = met.join(asked.alias("a"), F.col("asked") == F.col("a.id")).join(known.alias("b"), F.col("known") == F.col("b.id")).filter(cond)
     best = pairs.groupBy(F.col("a.id").alias("asked")).agg(F.min("b.id").alias("fuzzy_id"))
     return found.join(best, F.xxhash64(mention) == F.col("asked"), "left").withColumn("person_id", F.coalesce("person_id", "fuzzy_id")).drop("asked", "fuzzy_id")

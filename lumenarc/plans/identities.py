@@ -79,7 +79,7 @@ RULES = [
 
 def alike(f: str, c: str) -> str:
     x, y, cx, cy = f"a.{f}", f"b.{f}", f"a.{c}", f"b.{c}"
-    return f"({x} = {y} or (least(length({x}), length({y})) = 1 and {x}[1] = {y}[1]) or ({both(x, y, 3)} and {pre(x, y)}) or {cx} = {cy} or ({both(cx, cy, 4)} and {pre(cx, cy)}) or ({both(x, y, 4)} and {x}[1] = {y}[1] and levenshtein({x}, {y}) <= 2))"
+    return f"({x} = {y} or (least(length({x}), length({y})) = 1 and {x}[1] = {y}[1]) or ({both(x, y, 3)} and {pre(x, y)}) or {cx} = {cy} or ({both(cx, cy, 4)} and {pre(cx, cy)}) or ({both(x, y, 4)} and levenshtein({x}, {y}) <= 2))"
 
 
 FIRSTS = f"({alike('f', 'cf')} or {alike('rf', 'crf')})"
