@@ -54,21 +54,30 @@ def highlight(text: Column, terms: list[str], around: int = 0) -> Column:
 
 
 class Index:
-    """FTS-1, stored: postings sorted by term, so a query reads the row groups of its terms, with the number of pages and their mean length."""
+    """FTS-1, stored: postings sorted by term and page, so a query reads the row groups of its terms, with the number of pages and their mean length."""
 
     def __init__(self, postings: DataFrame, pages: float, mean_words: float) -> None:
         self.postings, self.pages, self.mean_words = postings, pages, mean_words
 
     @classmethod
-    def build(cls, pages: DataFrame, id_name: str, text_name: str, positions: bool = False) -> Index:
-        from lumenarc.sources.stored import stored
-
-        words = pages.select(F.col(id_name).alias("page_id"), terms_of(F.coalesce(text_name, F.lit(""))).alias("words"))
-        rows = words.select("page_id", F.size("words").alias("n_words"), F.posexplode("words").alias("at", "term"))
-        sums = [F.count("*").alias("tf"), *([F.sort_array(F.collect_list("at")).alias("at")] if positions else [])]
-        kept = stored(rows.groupBy("term", "page_id", "n_words").agg(*sums), "postings", by="term")
-        sizes = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("m")).first()  # two numbers
-        return cls(kept, float(sizes["n"]), float(sizes["m"] or 1.0))
+    def build(cls, pages: DataFrame, id_name: str, text_name: str, positions: bool = False, k: str | None = None) -> Index:
+        """k: a name under which the index is found again while the files that pages reads directly stay as they are."""
+        from lumenarc.sources.stored import kept, new_path, stored_by
+
+        spark = pages.sparkSession
+
+        def write() -> list[str]:
+            words = pages.select(F.col(id_name).alias("page_id"), terms_of(F.coalesce(text_name, F.lit(""))).alias("words"))
+            rows = words.select("page_id", F.size("words").alias("n_words"), F.posexplode("words").alias("at", "term"))
+            sums = [F.count("*").alias("tf"), *([F.sort_array(F.collect_list("at")).alias("at")] if positions else [])]
+            path = new_path(spark, "postings")
+            # Ranges of (term, page): a term that most pages have fills many files.
+            stored_by(rows.groupBy("term", "page_id", "n_words").agg(*sums), path, "term", "page_id")
+            sizes = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("m")).first()  # two numbers
+            return [path, repr(float(sizes["n"])), repr(float(sizes["m"] or 1.0))]
+
+        path, n, mean = kept(pages, f"{k}:{id_name}:{text_name}:{positions}", write) if k else write()
+        return cls(spark.read.parquet(path), float(n), float(mean))
 
     def of(self, terms: list[str]) -> DataFrame:
         """The postings of these terms; the filter reaches the scan."""
