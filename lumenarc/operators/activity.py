@@ -60,32 +60,6 @@ def budget_summary(costs: DataFrame, as_of: Column) -> DataFrame:
     return costs.rollup("model").agg(F.sum("cost").alias("total"), spent((F.col("ts") >= month) & (F.col("ts") <= as_of)).alias("month_to_date"), spent((F.col("ts") >= day) & (F.col("ts") <= as_of)).alias("day_to_date"))
 
 
-def dedup_gap(log: DataFrame, keys: list[str], ts: str, gap_seconds: float) -> DataFrame:
-    """STM-1, STM-2. Accepts a row iff no accepted row of its key lies less than the gap before it; returns keys and accepted times.
-
-    The rule refers to its own outcome, so a lag is not enough: rows are sorted by key and time (Spark spills the sort) and folded batch by batch with one carried
-    time, so no key's times are ever held together, however many there are. All rows of a key still pass through one task; lumenarc.streaming has the same rule as a stream."""
-    import pyarrow as pa
-
-    gap = int(gap_seconds * 1e6)
-    rows = log.select(*keys, F.unix_micros(F.col(ts)).alias("micros"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-
-    def fold(batches):  # noqa: ANN001, ANN202
-        key = last = None
-        for b in batches:
-            columns = [c.to_pylist() for c in b.columns]
-            kept = []
-            for i, (*k, t) in enumerate(zip(*columns, strict=True)):
-                if k != key or t - last >= gap:
-                    kept.append(i)
-                    key, last = k, t
-            yield b.take(pa.array(kept, pa.int64()))
-
-    found = rows.repartition(*keys).sortWithinPartitions(*keys, "micros").mapInArrow(fold, kinds)
-    return found.select(*keys, F.timestamp_micros("micros").alias(ts))
-
-
 def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
     """DML-6. old and those rows of new whose key is not there yet, the first of each key in order; null-safe keys."""
     safe = [F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(f"_{k}") for k in keys]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumenarc.operators import activity as A, graph as G
+from lumenarc.operators.gaps import dedup_gap
 
 from .bindings import as_of, documents, events, sql, table
 
@@ -66,12 +67,12 @@ STEP = """chain as (select user_id, event_type, min(ts) ts from ev group by 1, 2
 
 @query(sql("ev", "select user_id, event_type, ts from chain where ts is not null", "recursive " + STEP.format(h=24)))
 def stm1_view_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.dedup_gap(events(spark, sf_dir), ["user_id", "event_type"], "ts", 86400).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return dedup_gap(events(spark, sf_dir), ["user_id", "event_type"], "ts", 86400).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query(sql("ev", "select user_id, event_type, ts from chain where ts is not null", "recursive " + STEP.format(h=6)))
 def stm2_search_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.dedup_gap(events(spark, sf_dir), ["user_id", "event_type"], "ts", 6 * 3600).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return dedup_gap(events(spark, sf_dir), ["user_id", "event_type"], "ts", 6 * 3600).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query("select event_type, cast(date_trunc('day', ts) as date) as day, count(*) n from events group by 1, 2")

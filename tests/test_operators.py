@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenarc.functions import text as T
 from lumenarc.operators import activity as A, catalog as C, identity as I, profiles as P, resolve as R, search as S
+from lumenarc.operators.gaps import dedup_gap
 from lumenarc.sources import readers, writers
 from lumenarc.sources.stored import stored
 
@@ -107,7 +108,7 @@ def test_empty_tables(spark):
     index = S.Index.build(spark.createDataFrame([], "id long, text string"), "id", "text", positions=True)
     assert S.top(S.matches(index, 'the "of the" -and'), 5).count() == 0
     log = spark.createDataFrame([], "k string, ts timestamp")
-    assert A.dedup_gap(log, ["k"], "ts", 60).count() == 0
+    assert dedup_gap(log, ["k"], "ts", 60).count() == 0
     assert A.within_budget(spark.createDataFrame([], "r int, c double"), "r", "c", 5).count() == 0
     ids = spark.createDataFrame([], "dup_id long, canonical_id long")
     people, links, events = P.remap_everything(ids, none, spark.createDataFrame([], "person_id long, document_id long"), spark.createDataFrame([(1, None)], "id long, person_ids array<long>"))
@@ -117,10 +118,31 @@ def test_empty_tables(spark):
 def test_gap_dedup_of_nulls_and_ties(spark):
     rows = [(None, 0), (None, 0), (None, 59), ("a", 5), ("a", 64), ("a", 65), ("a", 126), ("b", 1)]
     log = spark.createDataFrame(rows, "k string, s long").select("k", F.timestamp_seconds("s").alias("ts"))
-    got = sorted((r.k or "", r.s) for r in A.dedup_gap(log, ["k"], "ts", 60).select("k", F.unix_seconds("ts").alias("s")).collect())
+    got = sorted((r.k or "", r.s) for r in dedup_gap(log, ["k"], "ts", 60).select("k", F.unix_seconds("ts").alias("s")).collect())
     assert got == [("", 0), ("a", 5), ("a", 65), ("a", 126 - 0)] + [("b", 1)]
 
 
+@pytest.mark.parametrize("gap,spread", [(60, 400_000), (5, 3000), (3000, 400_000), (10**6, 5000)])
+def test_one_hot_key_over_many_ranges(spark, gap, spread):
+    """All rows but a few have one key: several ranges hold it, and the result is that of one pass, for gaps below and above what a range spans."""
+    import random
+
+    rng = random.Random(gap)
+    rows = [("hot", rng.randrange(spread)) for _ in range(4000)] + [(k, rng.randrange(spread)) for k in ("a", "zz", None) for _ in range(20)] + [("late", None)]
+    want, last = [], {}
+    for k, t in sorted((r for r in rows if r[1] is not None), key=lambda r: r[1]):
+        if k not in last or t - last[k] >= gap:
+            last[k] = t
+            want.append((k or "", t))
+    log = spark.createDataFrame(rows, "k string, s long").select("k", F.timestamp_seconds("s").alias("ts"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = dedup_gap(log, ["k"], "ts", gap)
+        assert sorted((r.k or "", r.s) for r in found.select("k", F.unix_seconds("ts").alias("s")).collect()) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_index_keeps_null_texts_as_pages_without_words(spark):
     d = spark.createDataFrame([(1, "Of the sea, of the land"), (2, None), (3, "the of"), (4, "")], "id long, text string")
     index = S.Index.build(d, "id", "text", positions=True)
