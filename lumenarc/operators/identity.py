@@ -251,22 +251,26 @@ def most_connected(groups: DataFrame, links: DataFrame) -> DataFrame:
     return g.join(best, "group").filter("id <> canonical_id").select(F.col("id").alias("dup_id"), "canonical_id")
 
 
-def single_words(persons: DataFrame, evidence: DataFrame, gender: DataFrame | None = None) -> DataFrame:
+def single_words(persons: DataFrame, evidence: DataFrame, gender: DataFrame | None = None, protected: DataFrame | None = None) -> DataFrame:
     """ER-8. (dup_id, canonical_id) for persons of one word: the full name with that first or last word which shares most evidence, if that scores 4 and is the only one or twice the next. A document shared counts two, a connection one.
 
-    persons: id, name; evidence: (id, kind, key) with kind "document" or "connection"; gender: (title, first) pairs that exclude each other, an input."""
+    Both sides are joined on word and piece of evidence, so only pairs that share some ever exist. persons: id, name; evidence: (id, kind, key) with kind "document" or "connection"; gender: (title, first) pairs that exclude each other, an input; protected: names that stay."""
     n = persons.select("id", normalize_name(F.col("name")).alias("norm"), F.lower("name").alias("raw")).filter("norm <> ''").withColumn("parts", F.split("norm", " "))
-    one = n.filter(F.size("parts") == 1).select(F.col("id").alias("dup_id"), F.col("norm").alias("word"), F.regexp_extract("raw", r"^(mr|mrs|ms|miss)[. ]", 1).alias("title"))
+    one = n.filter(F.size("parts") == 1).select(F.col("id").alias("dup_id"), F.col("norm").alias("word"), F.regexp_extract("raw", r"^(mr|mrs|ms|miss)[. ]", 1).alias("title"), "raw")
+    if protected is not None:
+        one = one.join(protected.select(F.lower("name").alias("raw")).distinct(), "raw", "left_anti")
     full = n.filter(F.size("parts") > 1).select("id", F.get("parts", F.lit(0)).alias("first"), F.explode(F.array_distinct(F.array(F.get("parts", F.lit(0)), F.element_at("parts", -1)))).alias("word"))
-    pairs = one.join(full, "word")
+    # Names whose word the other side lacks go before the evidence is joined.
+    e = stored(evidence.distinct(), "evidence")
+    mine = one.drop("raw").join(full.select("word").distinct(), "word", "left_semi").join(e.withColumnRenamed("id", "dup_id"), "dup_id")
+    theirs = full.join(one.select("word").distinct(), "word", "left_semi").join(e, "id").withColumn("w", F.when(F.col("kind") == "document", 2).otherwise(1))
+    met = mine.join(theirs, ["word", "kind", "key"])
     if gender is not None:
-        pairs = pairs.join(gender.distinct(), ["title", "first"], "left_anti")
-    weight = F.when(F.col("kind") == "document", 2).otherwise(1)
-    e = evidence.distinct()
-    mine, theirs = e.withColumnRenamed("id", "dup_id"), e.select("id", "kind", "key", weight.alias("w"))
-    shared = pairs.select("dup_id", "id").join(mine, "dup_id").join(theirs, ["id", "kind", "key"]).groupBy("dup_id", "id").agg(F.sum("w").alias("score"))
-    ranked = shared.groupBy("dup_id").agg(F.max_by("id", F.struct(F.col("score"), -F.col("id"))).alias("canonical_id"), F.max("score").alias("best"), F.sum("score").alias("all"), F.count("*").alias("n"), F.slice(F.sort_array(F.collect_list("score"), asc=False), 2, 1).alias("next"))
-    return ranked.filter((F.col("best") >= 4) & (F.coalesce(F.get("next", F.lit(0)), F.lit(0)) * 2 <= F.col("best"))).select("dup_id", "canonical_id", F.col("best").alias("score"))
+        met = met.join(gender.distinct(), ["title", "first"], "left_anti")
+    shared = stored(met.groupBy("dup_id", "id").agg(F.sum("w").alias("score")), "shared")
+    best = shared.groupBy("dup_id").agg(F.max(F.struct(F.col("score"), (-F.col("id")).alias("low"))).alias("b")).select("dup_id", (-F.col("b.low")).alias("canonical_id"), F.col("b.score").alias("score")).filter("score >= 4")
+    rival = shared.join(best.select("dup_id", "canonical_id"), "dup_id").filter("id <> canonical_id").groupBy("dup_id").agg(F.max("score").alias("next"))
+    return best.join(rival, "dup_id", "left").filter(F.coalesce("next", F.lit(0)) * 2 <= F.col("score")).select("dup_id", "canonical_id", "score")
 
 
 def bare_surnames(persons: DataFrame, protected: DataFrame) -> DataFrame:
@@ -303,6 +307,48 @@ def ordered_plan(passes: list[tuple[str, DataFrame]]) -> DataFrame:
     return best.select("x.pass", "id", "x.action", "x.canonical_id")
 
 
+def sequential_plan(persons: DataFrame, passes: list[tuple[str, Callable[[DataFrame], DataFrame]]], write: Write) -> DataFrame:
+    """ER-12. (pass, id, action, canonical_id) by passes in order, each a function of the persons that no earlier pass handled. A target that a later pass handles is followed by resolved_map(). persons: id, name."""
+    plan, left = None, persons
+    for name, run in passes:
+        found = run(left).groupBy("id").agg(F.min(F.struct("action", "canonical_id")).alias("x"))
+        rows = write(found.select(F.lit(name).alias("pass"), F.col("id").cast("long").alias("id"), "x.action", F.col("x.canonical_id").cast("long").alias("canonical_id")))
+        plan = rows if plan is None else plan.unionByName(rows)
+        left = write(left.join(rows.select("id"), "id", "left_anti"))
+    return plan
+
+
+def dedup_passes(evidence: DataFrame, weights: DataFrame, figures: DataFrame, variants: DataFrame, protected: DataFrame, gender: DataFrame | None = None) -> list[tuple[str, Callable[[DataFrame], DataFrame]]]:
+    """The seven passes in their order: 0 names that are none, 1 equal names, 2 single words by evidence, 4 curated figures, 5 middle names, 6 curated variants, 3 bare surnames. figures, variants: (canonical, variant, action)."""
+    from .resolve import junk_reason
+
+    kept = protected.select(F.lower("name").alias("low")).distinct()
+    loose = lambda left: left.join(kept, F.lower(left["name"]) == F.col("low"), "left_anti")
+    merges = lambda df: df.select(F.col("dup_id").alias("id"), F.lit("merge").alias("action"), "canonical_id")
+
+    def junk(left: DataFrame) -> DataFrame:
+        return loose(left).filter(junk_reason(F.col("name")).isNotNull()).select("id", F.lit("delete").alias("action"), F.lit(None).cast("long").alias("canonical_id"))
+
+    def same_name(left: DataFrame) -> DataFrame:
+        named = left.select(normalize_name(F.col("name")).alias("group"), "id", "name").filter("`group` <> ''")
+        first = canonical_members(named, protected)
+        return merges(named.join(first, "group").filter("id <> canonical_id").select(F.col("id").alias("dup_id"), "canonical_id"))
+
+    def middle(left: DataFrame) -> DataFrame:
+        found = middle_names(left, weights)
+        return merges(found.join(loose(left).select(F.col("id").alias("dup_id")), "dup_id", "left_semi"))
+
+    return [
+        ("junk", junk),
+        ("same name", same_name),
+        ("single words", lambda left: merges(single_words(left, evidence, gender, protected))),
+        ("figures", lambda left: curated_actions(left, figures)),
+        ("middle names", middle),
+        ("variants", lambda left: curated_actions(left, variants)),
+        ("surnames", lambda left: bare_surnames(left, protected)),
+    ]
+
+
 def plan_summary(plan: DataFrame) -> DataFrame:
     """SNK-11. Actions of each pass."""
     return plan.groupBy("pass", "action").agg(F.count("*").alias("n"))

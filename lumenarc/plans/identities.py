@@ -204,34 +204,76 @@ def er11_middle_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.middle_names(who, p.select(k.alias("id"), F.col("p_size").alias("n")))
 
 
+def everyone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names of one to three words, and as many as there are suppliers that are no names."""
+    s = table(spark, sf_dir, "supplier")
+    return mixed(spark, sf_dir).unionByName(s.select((F.col("s_suppkey") + 10_000_000).alias("id"), F.concat(F.lit("Unknown Male "), F.col("s_suppkey").cast("string")).alias("name")))
+
+
+def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    docs = li.filter("l_linenumber = 1").select(F.col("l_partkey").alias("id"), F.lit("document").alias("kind"), (F.col("l_orderkey") % 40).alias("key"))
+    return docs.unionByName(li.filter("l_linenumber = 2").select(F.col("l_partkey").alias("id"), F.lit("connection").alias("kind"), F.col("l_suppkey").alias("key")))
+
+
 def _plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    surnames, curated = er9_bare_surnames(spark, sf_dir), er10_curated(spark, sf_dir)
-    singles = er8_single_words(spark, sf_dir).select(F.col("dup_id").alias("id"), F.lit("merge").alias("action"), "canonical_id")
-    return I.ordered_plan([("single words", singles), ("curated", curated), ("surnames", surnames)])
+    """All seven passes. Figures and variants are made of the names themselves: the variant in capitals, the canonical name as it is."""
+    who = everyone(spark, sf_dir)
+    rows, merge = who.filter("id < 10000000 and id % 9 > 3"), F.col("id") % 4 == 0
+    table_of = lambda df: df.select(F.when(merge, F.lit("blue widget")).alias("canonical"), F.upper("name").alias("variant"), F.when(merge, "merge").otherwise("delete").alias("action"))
+    weights = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").alias("n"))
+    gender = spark.createDataFrame([("mr", "blue")], "title string, first string")
+    passes = I.dedup_passes(_evidence(spark, sf_dir), weights, table_of(rows.filter("id % 4 in (0, 1)")), table_of(rows.filter("id % 8 in (2, 4)")), who.filter("name in ('widget', 'mr. red', 'bolt')").select("name"), gender)
+    return I.sequential_plan(who, passes, lambda df: stored(df, "pass"))
+
+
+CURATED_ROWS = "select upper(name) variant, case when id % 4 = 0 then 'blue widget' end canonical, case when id % 4 = 0 then 'merge' else 'delete' end as action from ws where id % 9 > 3 and {which}"
+
+
+def _curated(n: int, left: str, rows: str) -> str:
+    """Pass n of SQL: (id, action, canonical_id) of the curated rows on the persons of a table."""
+    return f"n{n} as (select lower(name) low, min(id) c from {left} group by 1), p{n} as (select id, min((action, canonical_id)) x from (select l.id, action, case when action = 'merge' then c end canonical_id from {left} l join {rows} on lower(variant) = lower(l.name) left join n{n} on low = lower(canonical) where action = 'delete' or (c is not null and c <> l.id)) group by 1)"
 
 
-def _named(name: str, sql: str) -> str:
-    return f"{name} as ({sql[sql.index('select d dup_id') if 'select d dup_id' in sql else sql.rindex('select wn.id') if 'select wn.id' in sql else sql.rindex('select ws.id') :]})"
+def _left(n: int, before: str, handled: str) -> str:
+    return f"l{n} as (select * from {before} where id not in (select id from {handled}))"
 
 
-_PARTS = f"with {MIXED}, {EVIDENCE}, o as (select id d, norm w, titled from wn where norm not like '% %'), fu as (select id, split_part(norm, ' ', 1) f, unnest(list_distinct([split_part(norm, ' ', 1), list_extract(string_split(norm, ' '), -1)])) w from wn where norm like '% %'), pr as (select d, id from o join fu using (w) where not (titled and f = 'blue')), sc as (select d, pr.id, sum(case a.kind when 'document' then 2 else 1 end) s from pr join ev a on a.id = d join ev b on b.id = pr.id and a.kind = b.kind and a.k = b.k group by 1, 2), r as (select *, row_number() over (partition by d order by s desc, id) n, lead(s) over (partition by d order by s desc, id) nx from sc), safe as (select unnest(['widget', 'mr. red', 'bolt']) as name), by_last as (select list_extract(string_split(norm, ' '), -1) norm, min(id) c, count(*) n from wn where norm like '% %' group by 1), {CURATED}, by_name as (select lower(name) low, min(id) c from ws group by 1), {_named('p1', ORACLE['er8_single_words'])}, {_named('p3', ORACLE['er9_bare_surnames'])}, {_named('p2', ORACLE['er10_curated'])}, every as (select 0 w, 'single words' pass, dup_id id, 'merge' as action, canonical_id from p1 union all select 1, 'curated', * from p2 union all select 2, 'surnames', * from p3), plan as (select pass, id, action, canonical_id from (select *, row_number() over (partition by id order by w, action, canonical_id) q from every) where q = 1)"
+PASSES = f"""with recursive {MIXED}, {EVIDENCE}, safe as (select unnest(['widget', 'mr. red', 'bolt']) as name),
+base as (select id, name, norm, titled from ws join wn using (id) union all select s_suppkey + 10000000, 'Unknown Male ' || s_suppkey, 'unknown male ' || s_suppkey, false from supplier),
+p0 as (select id from base where lower(name) not in (select name from safe) and (id >= 10000000 or (name not like '% %' and length(name) < 4) or regexp_matches(name, '{'|'.join(c * 3 for c in 'abcdefghijklmnopqrstuvwxyz')}'))), {_left(0, 'base', 'p0')},
+g1 as (select *, row_number() over (partition by norm order by lower(name) not in (select name from safe), name like '%,%', upper(name) = name, -len(string_split(name, ' ')), -length(name), id) k from l0),
+p1 as (select g.id, c.id canonical_id from g1 g join g1 c on c.norm = g.norm and c.k = 1 where g.k > 1), {_left(1, 'l0', 'p1')},
+o as (select id d, norm w, titled from l1 where norm not like '% %' and lower(name) not in (select name from safe)), fu as (select id, split_part(norm, ' ', 1) f, unnest(list_distinct([split_part(norm, ' ', 1), list_extract(string_split(norm, ' '), -1)])) w from l1 where norm like '% %'),
+sc as (select d, fu.id, sum(case a.kind when 'document' then 2 else 1 end) s from o join fu using (w) join ev a on a.id = d join ev b on b.id = fu.id and a.kind = b.kind and a.k = b.k where not (titled and f = 'blue') group by 1, 2),
+r as (select *, row_number() over (partition by d order by s desc, id) n, lead(s) over (partition by d order by s desc, id) nx from sc),
+p2 as (select d id, id canonical_id from r where n = 1 and s >= 4 and coalesce(nx, 0) * 2 <= s), {_left(2, 'l1', 'p2')},
+fig as ({CURATED_ROWS.format(which='id % 4 in (0, 1)')}), {_curated(4, 'l2', 'fig')}, {_left(4, 'l2', 'p4')},
+w5 as (select l.id, name, norm, string_split(norm, ' ') ps, coalesce(p_size, 0) n from l4 l left join part on p_partkey = l.id),
+t5 as (select ps[1] f, ps[3] l, min(id) id3, min(n) n3 from w5 where len(ps) = 3 group by 1, 2 having count(*) = 1),
+m5 as (select case when n > n3 then id3 else id end d, case when n > n3 then id else id3 end c, greatest(n, n3) n from w5 join t5 on ps[1] = f and ps[2] = l where len(ps) = 2),
+p5 as (select d id, arg_max(c, n::bigint * 1000000000 - c) canonical_id from m5 where d not in (select id from base where lower(name) in (select name from safe)) group by 1), {_left(5, 'l4', 'p5')},
+var as ({CURATED_ROWS.format(which='id % 8 in (2, 4)')}), {_curated(6, 'l5', 'var')}, {_left(6, 'l5', 'p6')},
+bl as (select list_extract(string_split(norm, ' '), -1) norm, min(id) c, count(*) n from l6 where norm like '% %' group by 1),
+p3 as (select l6.id, case when n = 1 then 'merge' else 'delete' end as action, case when n = 1 then c end canonical_id from l6 left join bl using (norm) where norm not like '% %' and lower(name) not in (select name from safe)),
+plan as (select 'junk' pass, id, 'delete' as action, null::bigint canonical_id from p0 union all select 'same name', id, 'merge', canonical_id from p1 union all select 'single words', id, 'merge', canonical_id from p2 union all select 'figures', id, x[1], x[2] from p4 union all select 'middle names', id, 'merge', canonical_id from p5 union all select 'variants', id, x[1], x[2] from p6 union all select 'surnames', * from p3)"""
 
 
-@add(f"{_PARTS} select * from plan")
+@add(f"{PASSES} select * from plan")
 def er12_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _plan(spark, sf_dir)
 
 
-@add(f"{_PARTS} select pass, action, count(*) n from plan group by 1, 2")
+@add(f"{PASSES} select pass, action, count(*) n from plan group by 1, 2")
 def snk11_plan_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.plan_summary(_plan(spark, sf_dir))
 
 
-@add(_PARTS.replace("with ", "with recursive ", 1) + ", mg as (select id, canonical_id c from plan where action = 'merge' and canonical_id <> id), fo as (select id, c, 1 n from mg union all select fo.id, mg.c, n + 1 from fo join mg on mg.id = fo.c where n < 60), en as (select id, arg_max(c, n) c from fo group by 1), gone as (select id from plan where action = 'delete') select id, case when c in (select id from gone) then null else c end canonical_id from en union all select id, null from gone")
+@add(PASSES + ", mg as (select id, canonical_id c from plan where action = 'merge' and canonical_id <> id), fo as (select id, c, 1 n from mg union all select fo.id, mg.c, n + 1 from fo join mg on mg.id = fo.c where n < 60), en as (select id, arg_max(c, n) c from fo group by 1), gone as (select id from plan where action = 'delete') select id, case when c in (select id from gone) then null else c end canonical_id from en union all select id, null from gone")
 def er13_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who is merged into whom in the end; null: deleted."""
     plan = stored(_plan(spark, sf_dir), "plan")
-    merged, gone = I.resolved_map(plan, mixed(spark, sf_dir), lambda df: stored(df, "map"))
+    merged, gone = I.resolved_map(plan, everyone(spark, sf_dir), lambda df: stored(df, "map"))
     return merged.select(F.col("dup_id").alias("id"), "canonical_id").unionByName(gone.select("id", F.lit(None).cast("long").alias("canonical_id")))
 
 
