@@ -5,11 +5,13 @@ tags in it and the innermost container around it; an article is one container wi
 text (scripts, menus, forms, and elements named as adverts, notices, comments and so on) are left out. The ratio of text
 to tags of each line is smoothed with a Gaussian along the page, and two clusters of the smoothed ratios give a threshold: what lies above it is content.
 From the page's root on, as long as one container inside holds most of the content (articles count ARTICLE times, main elements MAIN times), that
-container is entered; the last one is the content region. All its lines are kept, so headings and short paragraphs stay, but for containers in it
-that are neither content nor of one kind with their content siblings.
+container is entered; the last one is the content region, or a main element with several articles, which are all kept. All its lines are kept, so headings and
+short paragraphs stay, and lists, tables, figures, quotes and details are parts of what they stand in; other divisions in it that are neither content, nor of one
+kind with their content siblings, nor between the first and last line of content go, and there too if most of their lines are full of tags.
 
-Longer names that hold an unwanted word say less: such an element, and a form, is kept if it holds an article, the main element or more than half
-of the page's text; and where the word is one of layout (not of adverts or comments), also if its own ratio is above the threshold.
+Inside an article or main element a name of layout alone (search, related, discussion) says less, and so do longer names that hold an unwanted word: such an element, and a form, is kept if it holds an article, the main element or more than half
+of the page's text; and where the word is one of layout (not of adverts, notices, menus or comments), also if its own ratio
+is above the threshold or 40.
 
 Defined results: a null or empty page has an empty text; equal rows are judged one by one; malformed markup is read as the parser reads it.
 """
@@ -29,14 +31,19 @@ from .common import small_batches, table, text_of
 
 # Elements by their use, and the names by which pages mark what isn't main text.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = set("script style noscript template svg math iframe object canvas audio video head nav footer aside form button select textarea dialog menu title".split())
+NEVER = set("script style noscript template svg iframe object canvas audio video head nav footer aside form button select textarea dialog menu title".split())
 BLOCK = set("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody tfoot thead tr ul".split())
 CONTAINER = set("body div section td blockquote main article details figure table ul ol".split())
+REGION = set("body div section td main article".split())
 NAMES = set("ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription paywall sidebar nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead topbar comment comments reply replies respond disqus discussion share sharing social related recommended recommendations widget login signin signup search toolbar copyright skip".split())
 FIRM = set("ad ads adv advert adverts advertisement advertising adbox banner sponsor sponsored promo promotion cookie cookies consent gdpr popup modal newsletter subscribe subscription paywall comment comments reply replies respond disqus".split())
+#: Names that leave no doubt inside an article: those of FIRM and of menus, headers, footers, sidebars and notices.
+SURE = FIRM | set("sidebar nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer masthead topbar notice notification alert overlay".split())
 ROLES = set("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
 TOKEN = re.compile(r"[a-z]+")
 SIGMA, MOST, ARTICLE, MAIN = 1.5, 0.6, 3.0, 2.0
+#: Characters to a tag that are prose for sure, on pages where all is prose and the threshold lies higher.
+PROSE = 40.0
 
 
 class Lines(HTMLParser):
@@ -64,9 +71,10 @@ class Lines(HTMLParser):
     def unwanted(self, tag: str, attrs: list) -> bool:
         if (tag in NEVER and tag != "form") or (tag == "header" and not any(t in ("article", "main") for t, _, _ in self.stack)):
             return True
+        sure = SURE if self.regions[self.stack[-1][2]] == "article" or any(t in ("article", "main") for t, _, _ in self.stack) else NAMES
         for key, value in attrs:
             value = (value or "").lower()
-            if key in ("class", "id") and tag not in ("html", "body", "article", "main") and not NAMES.isdisjoint(value.split()):
+            if key in ("class", "id") and tag not in ("html", "body", "article", "main") and not sure.isdisjoint(value.split()):
                 return True
             if key in ("class", "id") and tag == "article" and "comment" in value:
                 return True
@@ -89,8 +97,12 @@ class Lines(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         block = tag in BLOCK
+        if tag in ("tr", "td", "th"):  # cells and rows may lack their end tags
+            self.close_to(("td", "th"), {"tr", "table"})
         if block:
             self.flush()
+            if tag == "tr":
+                self.close_to(("tr",), {"table"})
             self.close_to(("p",), CONTAINER)
             if tag == "li":
                 self.close_to(("li",), {"ul", "ol", "menu"})
@@ -104,7 +116,7 @@ class Lines(HTMLParser):
         if tag in VOID:
             return
         _, skip, region = self.stack[-1]
-        if tag in CONTAINER and (self.regions[region] != "article" or tag == "article"):
+        if tag in REGION and (self.regions[region] != "article" or tag == "article"):
             self.regions.append(tag)
             self.parents.append(region)
             self.weights.append(max(self.weights[region], {"article": ARTICLE, "main": MAIN}.get(tag, 1.0)))
@@ -125,6 +137,8 @@ class Lines(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if tag in ("tr", "table"):
+            self.close_to(("td", "th"), {"tr", "table"})
         if tag in BLOCK:
             self.flush()
         for i in range(len(self.stack) - 1, 0, -1):
@@ -179,7 +193,7 @@ def main_text(html: str) -> str:
     if not lines:
         return ""
     ratio, cut = content_ratios([x[0] for x in lines], [x[1] for x in lines])
-    kept = [i for i, x in enumerate(lines) if all(chars[d] > half or chars[d] >= cut * marks[d] for d in x[3])]
+    kept = [i for i, x in enumerate(lines) if all(chars[d] > half or chars[d] >= min(cut, PROSE) * marks[d] for d in x[3])]
     mass, own, sizes, tags_in = [0.0] * len(page.regions), set(), Counter(), Counter()
     for i in kept:
         _, tags, r, _ = lines[i]
@@ -192,16 +206,28 @@ def main_text(html: str) -> str:
     for r in range(len(mass) - 1, 0, -1):  # parents come before their children
         mass[page.parents[r]] += mass[r]
         children.setdefault(page.parents[r], []).append(r)
+    within = lambda r, top: r == top or (r > top and within(page.parents[r], top))
+    articles = [r for r in sizes if page.regions[r] == "article"]
     region = 0
     while page.regions[region] != "article" and (best := max(children.get(region, ()), key=mass.__getitem__, default=0)) and mass[best] >= MOST * mass[region]:
+        if page.regions[region] == "main" and sum(within(r, region) for r in articles) > 1:
+            break
         region = best
     inside = {region}
     for r in range(region + 1, len(mass)):
         if page.parents[r] in inside:
             inside.add(r)
     alike = {(page.parents[r], page.regions[r]) for r in own & inside if page.regions[r] in ("div", "section")}
-    chosen = {r for r in inside if r == region or r in own or ((page.parents[r], page.regions[r]) in alike and tags_in[r] < 2 * sizes[r])}
-    return "\n\n".join(lines[i][0] for i in kept if lines[i][2] in chosen)
+    even = lambda r: tags_in[r] < 2 * sizes[r]
+    chosen = {region}
+    for r in sorted(inside):
+        kind, up = page.regions[r], page.parents[r]
+        if r in own or (kind == "article" and page.regions[region] == "main") or ((up, kind) in alike and even(r)) or (kind == "td" and up in chosen & own):
+            chosen.add(r)
+    # Smoothing pulls the edges of the text down, so here a line's own ratio counts too.
+    content = [i for i in kept if lines[i][2] in chosen and (ratio[i] >= cut or len(lines[i][0]) >= min(cut, PROSE) * lines[i][1])]
+    first, last = (content[0], content[-1]) if content else (0, -1)
+    return "\n\n".join(lines[i][0] for i in kept if lines[i][2] in chosen or (first < i < last and lines[i][2] in inside and even(lines[i][2])))
 
 
 def extract(pages: DataFrame, id_name: str = "page_id", url_name: str = "url", html_name: str = "html") -> DataFrame:
