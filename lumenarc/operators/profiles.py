@@ -125,15 +125,22 @@ def edges_from_text(persons: DataFrame, edges: DataFrame, links: DataFrame, kind
 
     kinds: a function from the sentence about the mention to a type (DOC-7). Names are found through words, never by trying all pairs."""
     words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
-    names = persons.select(F.col("id").alias("other"), "name", words(F.col("name")).alias("parts")).filter("size(parts) > 1").select("other", "name", F.get("parts", F.lit(0)).alias("first"), F.element_at("parts", -1).alias("last"), F.array_join("parts", " ").alias("full"))
-    only = names.groupBy("last").agg(F.count("*").alias("n")).filter("n = 1").select("last", F.lit(True).alias("alone"))
-    # First names come from the describer's own words: a row for each (describer, last) carries their set.
-    said = persons.filter("description is not null").select(F.col("id").alias("describer"), "description", words(F.col("description")).alias("w"))
-    by_last = said.select("describer", F.explode(F.array_distinct("w")).alias("last")).join(names.join(only, "last", "left"), "last").filter("describer <> other")
-    checked = by_last.join(said, "describer").filter(F.contains(F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")), F.concat(F.lit(" "), "full", F.lit(" "))) | (F.coalesce("alone", F.lit(False)) & (F.length("last") > 3)) | F.array_contains("w", F.col("first")))
-    pair = checked.select(F.least("describer", "other").alias("person_id_1"), F.greatest("describer", "other").alias("person_id_2"), "describer", "other", "name", "last", "description")
-    fresh = pair.join(edges.select(F.least("person_id_1", "person_id_2").alias("person_id_1"), F.greatest("person_id_1", "person_id_2").alias("person_id_2")).distinct(), ["person_id_1", "person_id_2"], "left_anti")
-    one = fresh.groupBy("person_id_1", "person_id_2").agg(F.min_by(F.struct("describer", "last", "description"), F.struct("describer", "other")).alias("x")).select("person_id_1", "person_id_2", "x.*")
+    names = persons.select(F.col("id").alias("other"), "name", words(F.col("name")).alias("parts")).filter("size(parts) > 1").select("other", "name", F.get("parts", F.lit(0)).alias("first"), F.element_at("parts", -1).alias("last"))
+    only = names.groupBy("last").agg(F.count("*").alias("n")).filter("n = 1").select("last")
+    said = persons.filter("description is not null").select(F.col("id").alias("describer"), F.explode(F.array_distinct(words(F.col("description")))).alias("word"))
+    # A name whose first and last word are both said, full names among them: of a text's own words only those that are names are paired, and the pairs meet the names by equality.
+    firsts, lasts = (said.join(names.select(F.col(c).alias("word")).distinct(), "word", "left_semi").withColumnRenamed("word", c) for c in ("first", "last"))
+    by_both = firsts.join(lasts, "describer").join(names, ["first", "last"])
+    by_last = said.withColumnRenamed("word", "last").filter(F.length("last") > 3).join(only, "last", "left_semi").join(names, "last")
+    found = by_both.select("describer", "other", "last").unionByName(by_last.select("describer", "other", "last")).filter("describer <> other")
+    ends = [F.least("a", "b").alias("person_id_1"), F.greatest("a", "b").alias("person_id_2")]
+    # Written, so that its size is known: where it is small the edges meet it without a shuffle of their own.
+    pair = stored(found.withColumnsRenamed({"describer": "a", "other": "b"}).select(*ends, F.col("a").alias("describer"), F.col("b").alias("other"), "last"), "mentions")
+    ids = ["person_id_1", "person_id_2"]
+    linked = edges.select(F.col("person_id_1").alias("a"), F.col("person_id_2").alias("b")).select(*ends).join(pair.select(*ids).distinct(), ids, "left_semi")
+    fresh = pair.join(linked, ids, "left_anti")
+    chosen = fresh.groupBy("person_id_1", "person_id_2").agg(F.min_by(F.struct("describer", "last"), F.struct("describer", "other")).alias("x")).select("person_id_1", "person_id_2", "x.*")
+    one = chosen.join(persons.select(F.col("id").alias("describer"), "description"), "describer")  # texts meet the chosen pairs alone
     sentence = F.get(F.filter(F.split("description", r"\. "), lambda s: F.contains(F.lower(s), F.col("last"))), F.lit(0))
     about = one.withColumn("description", F.coalesce(sentence, "description")).withColumn("connection_type", kinds(F.col("description")))
     shared = one.select("person_id_1", "person_id_2").join(links.select(F.col("person_id").alias("person_id_1"), "document_id"), "person_id_1").join(links.select(F.col("person_id").alias("person_id_2"), "document_id"), ["person_id_2", "document_id"]).groupBy("person_id_1", "person_id_2").agg(F.sort_array(F.collect_set("document_id")).alias("document_ids"))
