@@ -6,6 +6,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lumenarc.sources.stored import stored
+
 
 def camel_names(df: DataFrame) -> DataFrame:
     """PRJ-2. snake_case columns to camelCase."""
@@ -23,9 +25,14 @@ def external_id(text: Column, pattern: str) -> Column:
 
 
 def by_external_id(files: DataFrame, file_name: str, docs: DataFrame, doc_text: str, pattern: str, doc_id: str = "id") -> DataFrame:
-    """JN-10. files with document_id, the lowest document of the same external id; null where there is none."""
-    ids = docs.groupBy(external_id(F.col(doc_text), pattern).alias("_x")).agg(F.min(doc_id).alias("document_id")).filter("_x is not null")
-    return files.join(ids, external_id(F.col(file_name), pattern) == F.col("_x"), "left").drop("_x")
+    """JN-10. files with document_id, the lowest document of the same external id, else of those whose text contains the file's name (without .json or .pdf, in any case) the lowest; null where there is none."""
+    from .containment import contained
+
+    ids = docs.groupBy(external_id(F.col(doc_text), pattern).alias("_x")).agg(F.min(doc_id).alias("_same")).filter("_x is not null")
+    first = stored(files.join(ids, external_id(F.col(file_name), pattern) == F.col("_x"), "left").drop("_x").withColumn("_name", F.regexp_replace(F.lower(file_name), r"\.(json|pdf)$", "")), "files")
+    needles = first.filter("_same is null").select(F.col("_name").alias("needle_id"), F.col("_name").alias("needle")).distinct()
+    lowest = contained(needles, docs.select(F.col(doc_id).alias("text_id"), F.lower(doc_text).alias("text"))).groupBy(F.col("needle_id").alias("_name")).agg(F.min("text_id").alias("_within"))
+    return first.join(lowest, "_name", "left").withColumn("document_id", F.coalesce("_same", "_within")).drop("_same", "_within", "_name")
 
 
 def patch_catalog(catalog: DataFrame, found: DataFrame, known_sets: DataFrame, key: str = "url") -> DataFrame:
@@ -82,12 +89,11 @@ def poor_text(text: Column, pages: Column, each: int = 50, single: int = 20) ->
 
 
 def above_percentile(rows: DataFrame, key: str, value: str, share: float) -> DataFrame:
-    """WIN-9. Rows above the value at index floor(n * share) of the sorted values: exact, by a histogram of distinct values, not by sorting rows in one task."""
-    h = rows.groupBy(value).agg(F.count("*").alias("_n"))
-    total = h.agg(F.sum("_n").alias("_total"))
-    upto = h.withColumn("_upto", F.sum("_n").over(Window.orderBy(value))).join(F.broadcast(total))
-    cut = upto.filter(F.col("_upto") > F.floor(F.col("_total") * share)).agg(F.min(value).alias("_cut"))
-    return rows.join(F.broadcast(cut), F.col(value) > F.col("_cut")).select(key, value)
+    """WIN-9. Rows above the value at index floor(n * share) of the sorted values, exactly."""
+    from .containment import value_at
+
+    cut = value_at(rows, value, share).withColumnRenamed(value, "_cut")
+    return rows.join(F.broadcast(cut), F.col(value) > F.col("_cut")).select(key, value)  # one row
 
 
 def mentions(texts: DataFrame, text_id: str, text: str, names: DataFrame, name_id: str, name: str, most_words: int = 3) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lumenarc.functions.rules import Rules, first_label, media_type
 from lumenarc.functions.text import MONTHS, file_name
+from lumenarc.operators.dictionary import mentions, with_contexts
 
 # MIME types by file extension.
 MIME = {"pdf": "application/pdf", "doc": "application/msword", "txt": "text/plain", "html": "text/html", "htm": "text/html", "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "mp4": "video/mp4", "mov": "video/quicktime", "mp3": "audio/mpeg", "wav": "audio/wav", "csv": "text/csv", "json": "application/json", "xml": "application/xml"}
@@ -91,11 +92,10 @@ def attributes(text: Column, occupations: Rules, statuses: Rules, nationalities:
 
 
 def analyze_rules(docs: DataFrame, known: DataFrame, types: Rules, places: str) -> DataFrame:
-    """DOC-5. Per document (id, text): type, first date, places, a summary (the first 200 characters) and the known two-word names it mentions, most mentioned first, ties by name. Names meet the text's word pairs in an equality join."""
-    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
-    side = lambda first: F.slice(words, first, F.greatest(F.size(words) - 1, F.lit(0)))
-    pairs = docs.select("id", F.explode(F.zip_with(side(1), side(2), lambda x, y: F.concat_ws(" ", x, y))).alias("name")).groupBy("id", "name").agg(F.count("*").alias("n"))
-    found = pairs.join(known.select(F.lower("name").alias("name")).distinct(), "name").groupBy("id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "name"))), lambda x: F.struct(x["name"].alias("name"), (-x["m"]).alias("mentions"))).alias("persons"))
+    """DOC-5. Per document (id, text): type, first date, places, a summary (the first 200 characters) and the known names it mentions, most mentioned first, ties by name, each with the context of its first mention. known: name, of any number of words."""
+    named = with_contexts(mentions(docs, known), docs)
+    order = F.struct((-F.col("mentions")).alias("m"), F.lower("name").alias("name"), "context")
+    found = named.groupBy("id").agg(F.transform(F.sort_array(F.collect_list(order)), lambda x: F.struct(x["name"].alias("name"), (-x["m"]).alias("mentions"), x["context"].alias("context"))).alias("persons"))
     told = docs.select("id", first_label(F.col("text"), types, "other").alias("document_type"), first_date(F.col("text")).alias("date"), F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?i)({places})"), 1)).alias("places"), F.substring("text", 1, 200).alias("summary"))
     return told.join(found, "id", "left")
 
@@ -128,6 +128,16 @@ def not_loaded(new: DataFrame, old: DataFrame, key: str) -> DataFrame:
     return new.join(old.select(plain(key).alias("had")).distinct(), plain(new[key]) == F.col("had"), "left_anti")
 
 
+def not_mentioned(new: DataFrame, old: DataFrame, key: str, within: list[str]) -> DataFrame:
+    """FLT-13 by substring. Rows of new whose key, without ".pdf" and in any case, is in no text of old's columns within."""
+    from .containment import contained
+
+    plain = F.regexp_replace(F.lower(key), r"\.pdf$", "")
+    texts = old.select(F.explode(F.array_compact(F.array(*(F.lower(c) for c in within)))).alias("text")).distinct().select(F.xxhash64("text").alias("text_id"), "text")
+    had = contained(new.select(plain.alias("needle_id"), plain.alias("needle")).distinct(), texts).select(F.col("needle_id").alias("_had")).distinct()
+    return new.join(had, plain == F.col("_had"), "left_anti")
+
+
 def storage_key(url: Column, data_set: Column) -> Column:
     """PRJ-5. Key of a file in a store: its data set and the decoded last part of the url's path."""
     return F.concat_ws("/", F.concat(F.lit("data-set-"), F.regexp_extract(data_set, r"(?i)data-?set(?:%20|[ -])?(\d+)", 1)), F.replace(F.substring_index(F.regexp_replace(url, r"[?#].*$", ""), "/", -1), F.lit("%20"), F.lit(" ")))

@@ -112,12 +112,32 @@ def known_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(w, 1, 2), " ").alias("name")).filter("name like '% %'")
 
 
-@query(f"with {TOP}, g as (select doc_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) as name from w), c as (select doc_id, name, count(*) n from g join kn using (name) group by 1, 2), pe as (select doc_id, string_agg(name || '=' || n, ';' order by n desc, name) persons from c group by 1) select doc_id id, case when regexp_matches(lower(text), 'http|www') then 'web' when regexp_matches(lower(text), 'the .* the') then 'prose' else 'other' end document_type, md5(substr(text, 1, 200)) summary, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?i)(haus|river|casa)', 1))), ';') places, coalesce(persons, '') persons from documents left join pe using (doc_id) where text is not null")
+def known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of one to three words: the first words of each benchmark item, as many as its id says."""
+    w = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda x: x != "")
+    return table(spark, sf_dir, "benchmark").select(F.array_join(F.slice(w, 1, (F.col("item_id") % 3 + 1).cast("int")), " ").alias("name")).filter("length(name) > 6")
+
+
+#: Names found leftmost and longest by a fold over each text's matches in order; contexts by the places of words.
+NAMED = """kn as (select distinct name, string_split(name, ' ') ps from (select array_to_string(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '')[1:item_id % 3 + 1], ' ') as name from benchmark) where length(name) > 6),
+tx as (select doc_id, text, regexp_extract_all(text, '[^A-Za-z0-9]*[A-Za-z0-9]+') pieces, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) ws from documents where text is not null),
+tk as (select doc_id, ws, unnest(range(len(ws))) pos from tx),
+gr as (select doc_id, pos, n, array_to_string(ws[pos + 1:pos + n], ' ') as name from tk, (select unnest([1, 2, 3]) n) where pos + n <= len(ws)),
+mt as (select doc_id, pos, max(n) n, arg_max(name, n) as name from gr join (select name from kn) using (name) group by 1, 2),
+ml as (select doc_id, list({pos: pos, stop: pos + n, who: name, got: []::struct(pos bigint, who varchar)[]} order by pos) m from mt group by 1),
+fo as (select doc_id, unnest(list_reduce(list_concat([{pos: 0::bigint, stop: 0::bigint, who: '', got: []::struct(pos bigint, who varchar)[]}], m), lambda s, x: case when x.pos >= s.stop then {pos: x.pos, stop: x.stop, who: x.who, got: list_append(s.got, {pos: x.pos, who: x.who})} else s end).got) g from ml),
+fi as (select doc_id, g.who as name, count(*) n, min(g.pos) pos from fo group by 1, 2),
+pl as (select fi.*, text, length(array_to_string(pieces[1:pos], '')) lead, length(array_to_string(pieces[1:pos + len(ps)], '')) stop from fi join kn using (name) join tx using (doc_id)),
+pb as (select *, lead + length(regexp_extract(text[lead + 1:stop], '^[^A-Za-z0-9]*')) begin_ from pl),
+pc as (select doc_id, name, n, trim(regexp_extract(text[greatest(begin_ - 80, 0) + 1:begin_], '[^\n\r]*$') || text[begin_ + 1:stop] || regexp_extract(text[stop + 1:stop + 80], '^[^\n\r]*'), ' ') context from pb)"""
+
+
+@query(f"with {NAMED}, pe as (select doc_id, string_agg(name || '=' || n || '=' || md5(context), ';' order by n desc, name) persons from pc group by 1) select doc_id id, case when regexp_matches(lower(text), 'http|www') then 'web' when regexp_matches(lower(text), 'the .* the') then 'prose' else 'other' end document_type, md5(substr(text, 1, 200)) summary, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?i)(haus|river|casa)', 1))), ';') places, coalesce(persons, '') persons from documents left join pe using (doc_id) where text is not null")
 def doc5_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DOC-3, DOC-5, DOC-6."""
+    """DOC-3, DOC-5, DOC-6, JN-12."""
     d = table(spark, sf_dir, "documents").filter("text is not null").select(F.col("doc_id").alias("id"), "text")
-    found = D.analyze_rules(d, known_pairs(spark, sf_dir), [("http|www", "web"), ("the .* the", "prose")], "haus|river|casa")
-    names = F.array_join(F.transform(F.coalesce("persons", F.array().cast("array<struct<name:string,mentions:bigint>>")), lambda p: F.concat(p["name"], F.lit("="), p["mentions"].cast("string"))), ";")
+    found = D.analyze_rules(d, known_names(spark, sf_dir), [("http|www", "web"), ("the .* the", "prose")], "haus|river|casa")
+    names = F.array_join(F.transform(F.coalesce("persons", F.array().cast("array<struct<name:string,mentions:bigint,context:string>>")), lambda p: F.concat_ws("=", p["name"], p["mentions"].cast("string"), F.md5(F.encode(p["context"], "utf-8")))), ";")
     return found.select("id", "document_type", F.md5(F.encode("summary", "utf-8")).alias("summary"), F.array_join(F.array_sort("places"), ";").alias("places"), names.alias("persons"))
 
 
@@ -146,6 +166,14 @@ def flt13_not_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.not_loaded(new, old, "name").select("id")
 
 
+@query("with n as (select item_id id, substr(text, 3, 9) as name from benchmark), o as (select distinct lower(x) x from (select lang || source x from documents union all select substr(text, 1, 300) from documents)) select id, name from n where not exists (select 1 from o where contains(x, regexp_replace(lower(name), '[.]pdf$', ''))) or name = ''")
+def flt13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT-13 by substring: names that no title or beginning of a text contains."""
+    new = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 3, 9).alias("name"))
+    old = table(spark, sf_dir, "documents").select(F.concat("lang", "source").alias("title"), F.substring("text", 1, 300).alias("url"))
+    return D.not_mentioned(new, old, "name", ["title", "url"])
+
+
 @query("select page_id, 'data-set-' || (page_id % 12) || '/' || replace(list_extract(string_split(regexp_replace(url, '[?#].*$', ''), '/'), -1), '%20', ' ') as key from pages")
 def prj5_storage_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
