@@ -13,11 +13,14 @@ def upsert(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -> Data
 
 
 def merge_events(events: DataFrame) -> DataFrame:
-    """DML-3. Events alike in date and lower-case title: longest description, last category, highest significance, union of documents. events: seq, date, title, description, category, significance, document_ids."""
+    """DML-3. Events alike in date and lower-case title: longest description, last category, highest significance, union of documents and, where given, of persons. events: seq, date, title, description, category, significance, document_ids, person_ids."""
     rows = events.withColumn("_t", F.lower("title"))
     lists = rows.groupBy("date", "_t").agg(F.min_by("title", "seq").alias("title"), F.max_by("description", F.struct(F.length("description"), -F.col("seq"))).alias("description"), F.max_by("category", "seq").alias("category"), F.max("significance").alias("significance"))
-    docs = rows.select("date", "_t", F.explode("document_ids").alias("d")).groupBy("date", "_t").agg(F.sort_array(F.collect_set("d")).alias("document_ids"))
-    return lists.join(docs, ["date", "_t"], "left").drop("_t")
+    out = lists
+    for c in [c for c in ("document_ids", "person_ids") if c in events.columns]:
+        ids = rows.select("date", "_t", F.explode(c).alias("d")).groupBy("date", "_t").agg(F.sort_array(F.collect_set("d")).alias(c))
+        out = out.join(ids, ["date", "_t"], "left")
+    return out.drop("_t")
 
 
 def remap_edges(edges: DataFrame, id_map: DataFrame) -> DataFrame:

@@ -55,9 +55,9 @@ def str15_url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.host(F.col("url")).alias("host"), T.base_name(F.col("url")).alias("base"), T.host_allowed(F.col("url"), ["example.org"]).alias("allowed"))
 
 
-@query("select page_id, length(regexp_replace(html, '<[^>]*>', '', 'g')) n from pages")
+@query("select page_id, length(regexp_replace(html, '<[^>]*>', '', 'g')) n, md5(regexp_replace(html, '<[^>]*>', '', 'g')) digest from pages")
 def str11_strip_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.length(T.strip_html(F.col("html"))).cast("long").alias("n"))
+    return table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("t")).select("page_id", F.length("t").cast("long").alias("n"), F.md5(F.encode("t", "utf-8")).alias("digest"))
 
 
 @query("select s_suppkey id, trim(regexp_replace(regexp_replace(lower(trim(split_part(v, ',', 2)) || ' ' || trim(split_part(v, ',', 1))), '[^a-z ]', '', 'g'), ' +', ' ', 'g')) norm, n_name || ' ' || s_name display from (select *, s_name || ', Mr. ' || n_name v from supplier join nation on s_nationkey = n_nationkey) where false union all select s_suppkey, trim(regexp_replace(regexp_replace(lower(n_name || ' ' || s_name), '[^a-z ]', '', 'g'), ' +', ' ', 'g')), n_name || ' ' || s_name from supplier join nation on s_nationkey = n_nationkey")
@@ -72,10 +72,10 @@ def str5_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").withColumn("d", d).filter("d >= 0").select(F.col("p_partkey").alias("id"), F.col("d").cast("long").alias("d"), T.sorted_tokens(F.col("p_name")).alias("tokens"))
 
 
-@query("select conv_id, turn, case when length(text) > 40 then text[1:40] || '...' else text end short, len(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 1 and not list_contains(['{0}'], w))) n from conversations".format("', '".join(T.STOPWORDS)))
+@query("select conv_id, turn, case when length(text) > 40 then text[1:40] || '...' else text end short, array_to_string(list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: length(w) > 1 and not list_contains(['{0}'], w)), ' ') words from conversations".format("', '".join(T.STOPWORDS)))
 def str10_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STR-10, STR-12, PRJ-3."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.truncate(F.col("text"), 40).alias("short"), F.size(T.keywords(F.col("text"))).cast("long").alias("n"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.truncate(F.col("text"), 40).alias("short"), F.array_join(T.keywords(F.col("text")), " ").alias("words"))
 
 
 @query("select doc_id id, round(case when n_chars < 200 then 0 else least(100, log10(n_chars / 200.0) * 37) end, 6) ls, round(0.25 * case when n_chars < 200 then 0 else least(100, log10(n_chars / 200.0) * 37) end + 0.3 * case when doc_id % 9 = 0 then 0 else least(100, 30 + (doc_id % 9 - 1) * 15) end + 0.25 * 30 + 0.2 * 10, 6) score from documents")
@@ -111,9 +111,9 @@ def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parts).alias("page", "content")).withColumn("page", (F.col("page") + 1).cast("long"))
 
 
-@query(f"with {PAGES} select doc_id, page, length(content) n from pg")
+@query(f"with {PAGES} select doc_id, page, length(content) n, md5(content) digest from pg")
 def doc14_page_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pages_of(spark, sf_dir).select("doc_id", "page", F.length("content").cast("long").alias("n"))
+    return pages_of(spark, sf_dir).select("doc_id", "page", F.length("content").cast("long").alias("n"), F.md5(F.encode("content", "utf-8")).alias("digest"))
 
 
 @query(f"with {PAGES} select doc_id, md5(string_agg(content, ' ' order by page)) whole, count(*) n_pages, sum(length(content)) * 1.0 / count(*) < 50 poor from pg group by 1")

@@ -75,16 +75,16 @@ def dml1_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.upsert(old, new, "name", ["segment"])
 
 
-EVENTS = "e as (select o_orderkey seq, strftime(o_orderdate, '%Y-%m') as date, case when o_orderkey % 2 = 0 then upper(o_orderpriority) else lower(o_orderpriority) end title, repeat('x', cast(o_orderkey % 9 as int)) description, o_orderstatus category, cast(o_custkey % 5 as int) significance, [o_custkey, o_custkey + 1] document_ids from orders)"
+EVENTS = "e as (select o_orderkey seq, strftime(o_orderdate, '%Y-%m') as date, case when o_orderkey % 2 = 0 then upper(o_orderpriority) else lower(o_orderpriority) end title, repeat('x', cast(o_orderkey % 9 as int)) description, o_orderstatus category, cast(o_custkey % 5 as int) significance, [o_custkey, o_custkey + 1] document_ids, [o_custkey % 7, o_orderkey % 5] person_ids from orders)"
 
 
-@query(f"with {EVENTS}, g as (select date, lower(title) t, arg_min(title, seq) title, max(length(description)) n, arg_max(category, seq) category, max(significance) significance from e group by 1, 2), d as (select date, lower(title) t, array_to_string(list_sort(list(distinct x)), ',') document_ids from (select date, title, unnest(document_ids) x from e) group by 1, 2) select date, title, n, category, significance, document_ids from g join d using (date, t)")
+@query(f"with {EVENTS}, g as (select date, lower(title) t, arg_min(title, seq) title, arg_max(description, (length(description), -seq)) description, arg_max(category, seq) category, max(significance) significance from e group by 1, 2), d as (select date, lower(title) t, array_to_string(list_sort(list(distinct x)), ',') document_ids from (select date, title, unnest(document_ids) x from e) group by 1, 2), p as (select date, lower(title) t, array_to_string(list_sort(list(distinct x)), ',') person_ids from (select date, title, unnest(person_ids) x from e) group by 1, 2) select date, title, description, category, significance, document_ids, person_ids from g join d using (date, t) join p using (date, t)")
 def dml3_merge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     title = F.when(F.col("o_orderkey") % 2 == 0, F.upper("o_orderpriority")).otherwise(F.lower("o_orderpriority"))
-    e = o.select(F.col("o_orderkey").alias("seq"), F.date_format("o_orderdate", "yyyy-MM").alias("date"), title.alias("title"), F.expr("repeat('x', cast(o_orderkey % 9 as int))").alias("description"), F.col("o_orderstatus").alias("category"), (F.col("o_custkey") % 5).cast("int").alias("significance"), F.array("o_custkey", F.col("o_custkey") + 1).alias("document_ids"))
+    e = o.select(F.col("o_orderkey").alias("seq"), F.date_format("o_orderdate", "yyyy-MM").alias("date"), title.alias("title"), F.expr("repeat('x', cast(o_orderkey % 9 as int))").alias("description"), F.col("o_orderstatus").alias("category"), (F.col("o_custkey") % 5).cast("int").alias("significance"), F.array("o_custkey", F.col("o_custkey") + 1).alias("document_ids"), F.array(F.col("o_custkey") % 7, F.col("o_orderkey") % 5).alias("person_ids"))
     m = M.merge_events(e)
-    return m.select("date", "title", F.length("description").cast("long").alias("n"), "category", "significance", F.array_join(F.col("document_ids").cast("array<string>"), ",").alias("document_ids"))
+    return m.select("date", "title", "description", "category", "significance", *(F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("document_ids", "person_ids")))
 
 
 @query(sql("edges", "select min(id) id, least(a, b) person_id_1, greatest(a, b) person_id_2, connection_type, max(strength) strength, len(list_distinct(flatten(list(document_ids)))) n_documents from (select *, case when person_id_1 % 10 = 0 then person_id_1 - 1 else person_id_1 end a, case when person_id_2 % 10 = 0 then person_id_2 - 1 else person_id_2 end b from edges) where a <> b group by 2, 3, 4"))

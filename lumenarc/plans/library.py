@@ -22,10 +22,10 @@ def query(oracle: str):  # noqa: ANN201
     return add
 
 
-@query(sql("docs", f"select page, pg.doc_id document_id, title, data_set, coalesce(file_size_bytes, 1) <> 0 is_viewable, length(content) n from pg join docs on id = pg.doc_id", PAGES))
+@query(sql("docs", f"select page, pg.doc_id document_id, title, data_set, coalesce(file_size_bytes, 1) <> 0 is_viewable, length(content) n, md5(content) digest from pg join docs on id = pg.doc_id", PAGES))
 def jn6_index_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir).select(F.col("id").alias("document_id"), "title", "data_set", (F.coalesce("file_size_bytes", F.lit(1)) != 0).alias("is_viewable"))
-    return pages_of(spark, sf_dir).withColumnRenamed("doc_id", "document_id").join(d, "document_id").select("page", "document_id", "title", "data_set", "is_viewable", F.length("content").cast("long").alias("n"))
+    return pages_of(spark, sf_dir).withColumnRenamed("doc_id", "document_id").join(d, "document_id").select("page", "document_id", "title", "data_set", "is_viewable", F.length("content").cast("long").alias("n"), F.md5(F.encode("content", "utf-8")).alias("digest"))
 
 
 @query('select r_regionkey "rRegionkey", r_name "rName" from region')
