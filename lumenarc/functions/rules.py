@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 Rules = Sequence[tuple[str, str]]
 
 
 def first_label(text: Column, rules: Rules, default: str) -> Column:
-    """DOC-1, DOC-2, DOC-3, DOC-8. The label of the first pattern found (case-insensitive)."""
+    """DOC-1, DOC-2, DOC-3. The label of the first pattern found (case-insensitive)."""
     low = F.lower(text)
     return F.coalesce(*(F.when(low.rlike(p), F.lit(label)) for p, label in rules), F.lit(default))
 
@@ -21,6 +21,31 @@ def last_label(text: Column, rules: Rules, default: str) -> Column:
     return first_label(text, list(reversed(rules)), default)
 
 
+def relation(text: Column, rules: Sequence[tuple[str, str, int]], default: str, strength: int = 1) -> Column:
+    """DOC-7. Struct of connection_type and strength of the last rule (pattern, type, strength) that fits; default and `strength` where none does or the text is null."""
+    low = F.lower(text)
+    told = lambda kind, n: F.struct(F.lit(kind).alias("connection_type"), F.lit(n).alias("strength"))
+    return F.coalesce(*(F.when(low.rlike(p), told(kind, n)) for p, kind, n in reversed(rules)), told(default, strength))
+
+
+def rule_table(rules: DataFrame, most: int = 1000) -> list[tuple[str, str]]:
+    """Rules from a table (priority, pattern, label), in order of priority, ties by pattern. A rule becomes part of the plan, so a table of more than `most` rules is refused; rows without pattern or label are no rules."""
+    rows = rules.filter("pattern is not null and label is not null").orderBy("priority", "pattern").select("pattern", "label").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rules")
+    return [(r["pattern"], r["label"]) for r in rows]
+
+
+def status_of(category: Column) -> Column:
+    """DOC-8. Only the category "victim" tells a status; all else is "named", null included."""
+    return F.when(F.lower(category) == "victim", "victim").otherwise("named")
+
+
+def status_of_role(category: Column, role: Column) -> Column:
+    """DOC-8, the older rule: words anywhere in category and role, "victim" before "convicted" and "defendant"."""
+    return first_label(F.concat_ws(" ", category, role), [("victim", "victim"), ("convicted|defendant", "convicted")], "named")
+
+
 def all_labels(text: Column, rules: Rules) -> Column:
     """DOC-4, PRJ-6. Labels of all patterns found, in rule order."""
     low = F.lower(text)

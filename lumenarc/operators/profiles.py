@@ -26,18 +26,31 @@ def spoken_names(persons: DataFrame) -> DataFrame:
     return every.filter("norm <> ''")
 
 
+def name_hits(names: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(person_id, name, analysis_id, n, mentions): one row for each person that an analysis mentions under any of its names. Ids and counts only: lists of an analysis are joined where they are needed, line by line."""
+    said = mentions.select("analysis_id", "mentions", normalize_name(F.col("name")).alias("norm")).groupBy("norm", "analysis_id").agg(F.count("*").alias("n"), F.sum("mentions").alias("mentions"))
+    return said.join(names, "norm").groupBy("person_id", "analysis_id").agg(F.min("name").alias("name"), F.sum("n").alias("n"), F.sum("mentions").alias("mentions"))
+
+
+def analysis_lines(analyses: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """(analysis_id, kind, line, low, times): the lists of each analysis, cut into lines once, before any person meets them. kinds: column to name of the kind; equal lines of one list are one row with their number. Null lines are dropped."""
+    tagged = lambda c, k: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.struct(F.lit(k).alias("kind"), x.alias("line")))
+    rows = analyses.select("analysis_id", F.explode(F.concat(*(tagged(c, k) for c, k in kinds.items()))).alias("x")).select("analysis_id", "x.*").filter("line is not null")
+    return rows.groupBy("analysis_id", "kind", "line").agg(F.count("*").alias("times")).withColumn("low", F.lower("line"))
+
+
 def person_mentions(persons: DataFrame, mentions: DataFrame, analyses: DataFrame, most_documents: int = 200) -> DataFrame:
     """JN-8, AGG-12. Per person: mentions summed, distinct facts that hold the name, distinct locations of its documents, and the documents with most mentions (most_documents at the most, which is what a page shows)."""
-    names = spoken_names(persons)
-    hits = mentions.withColumn("norm", normalize_name(F.col("name"))).select("norm", "analysis_id", "mentions").join(names, "norm").groupBy("person_id", "analysis_id").agg(F.sum("mentions").alias("mentions"), F.min("name").alias("name"))
-    # Written once: four aggregations read it.
-    with_doc = stored(hits.join(analyses.select("analysis_id", "document_id", "facts", "locations"), "analysis_id"), "hits")
-    total = with_doc.groupBy("person_id").agg(F.sum("mentions").alias("mentions"), F.count_distinct("document_id").alias("n_documents"))
-    facts = with_doc.select("person_id", "name", F.explode("facts").alias("fact")).filter(F.contains(F.lower("fact"), F.lower("name"))).groupBy("person_id").agg(F.sort_array(F.collect_set("fact")).alias("facts"))
-    places = with_doc.select("person_id", F.explode("locations").alias("place")).groupBy("person_id").agg(F.sort_array(F.collect_set("place")).alias("locations"))
-    per_doc = with_doc.groupBy("person_id", "document_id").agg(F.sum("mentions").alias("mentions"))
+    # Written once: two joins read it.
+    hits = stored(name_hits(spoken_names(persons), mentions), "hits")
+    with_doc = hits.join(analyses.select("analysis_id", "document_id"), "analysis_id").groupBy("person_id", "document_id").agg(F.sum("mentions").alias("mentions"))
+    per_doc = stored(with_doc, "per_document")
+    total = per_doc.groupBy("person_id").agg(F.sum("mentions").alias("mentions"), F.count("*").alias("n_documents"))
+    lines = hits.select("person_id", "name", "analysis_id").join(analysis_lines(analyses, {"facts": "fact", "locations": "place"}), "analysis_id").filter((F.col("kind") == "place") | F.contains("low", F.lower("name"))).select("person_id", "kind", "line").distinct()
+    of = lambda kind: F.sort_array(F.collect_list(F.when(F.col("kind") == kind, F.col("line"))))
+    told = lines.groupBy("person_id").agg(*(F.when(F.size(of(k)) > 0, of(k)).alias(c) for c, k in (("facts", "fact"), ("locations", "place"))))
     docs = top_of(per_doc, "person_id", [F.desc("mentions"), F.asc("document_id")], most_documents).groupBy("person_id").agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("mentions")).alias("m"), "document_id"))), lambda x: x["document_id"]).alias("documents"))
-    return total.join(facts, "person_id", "left").join(places, "person_id", "left").join(docs, "person_id", "left")
+    return total.join(told, "person_id", "left").join(docs, "person_id", "left")
 
 
 def top_of(rows: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
@@ -50,21 +63,29 @@ def top_of(rows: DataFrame, key: str, order: list[Column], k: int) -> DataFrame:
 def profiles(persons: DataFrame, mentions: DataFrame, analyses: DataFrame, legal: str, most: int = 10) -> DataFrame:
     """AGG-20, DOC-23. person_id and its sections in order, numbered from 1 without gaps: (number, title, lines). Sections without lines are left out, each holds `most` lines at the most.
 
-    legal: the pattern of facts that have a section of their own, an input."""
+    legal: the pattern of facts that have a section of their own, an input. Where analyses have connections (array of struct<person1, person2, description>), the descriptions of those that name the person at either end are a section."""
     names = spoken_names(persons)
-    said = mentions.select("analysis_id", "role", "context", "mentions", normalize_name(F.col("name")).alias("norm"))
-    hits = stored(said.join(names, "norm").join(analyses, "analysis_id"), "hits")  # eight sections read it
-    line = lambda title, at, df: df.select("person_id", F.lit(at).alias("at"), F.lit(title).alias("title"), F.col("line"), "weight")
-    fact = hits.select("person_id", F.explode("facts").alias("line"), "name").filter(F.contains(F.lower("line"), F.lower("name"))).withColumn("is_legal", F.lower("line").rlike(legal)).groupBy("person_id", "line", "is_legal").agg(F.count("*").alias("weight"))
-    rows = line("Roles", 1, hits.filter("role is not null").groupBy("person_id", F.col("role").alias("line")).agg(F.sum("mentions").alias("weight")))
-    for df in (
-        line("Background", 2, hits.filter("context is not null").groupBy("person_id", F.col("context").alias("line")).agg(F.max(F.length("context")).cast("long").alias("weight"))),
-        line("Key facts", 3, fact.filter("not is_legal")),
-        line("Legal", 4, fact.filter("is_legal")),
-        line("Places", 5, hits.select("person_id", "analysis_id", F.explode("locations").alias("line")).groupBy("person_id", "line").agg(F.count_distinct("analysis_id").alias("weight"))),
-        line("Events", 6, hits.select("person_id", F.explode("events").alias("line")).groupBy("person_id", "line").agg(F.count("*").alias("weight"))),
-        line("Documents", 7, hits.groupBy("person_id", "document_type").agg(F.count_distinct("document_id").alias("weight")).withColumn("line", F.concat_ws(": ", "document_type", F.col("weight").cast("string")))),
-    ):
+    hits = stored(name_hits(names, mentions), "hits")  # four joins read it
+    said = mentions.select("role", "context", "mentions", normalize_name(F.col("name")).alias("norm"), "analysis_id").join(analyses.select("analysis_id"), "analysis_id", "left_semi").groupBy("norm", "role", "context").agg(F.sum("mentions").alias("mentions")).join(names, "norm")
+    said = stored(said, "said")
+    meets = hits.join(analysis_lines(analyses, {"facts": "fact", "locations": "place", "events": "event"}), "analysis_id").filter((F.col("kind") != "fact") | F.contains("low", F.lower("name")))
+    kind = F.when(F.col("kind") != "fact", F.col("kind")).when(F.col("low").rlike(legal), "legal").otherwise("fact")
+    # A place counts once an analysis, facts and events as often as they are told and the person is mentioned.
+    weight = F.when(F.col("kind") == "place", F.lit(1)).otherwise(F.col("n") * F.col("times"))
+    counted = meets.groupBy("person_id", kind.alias("kind"), "line").agg(F.sum(weight).alias("weight"))
+    titles = F.create_map(*(F.lit(x) for k, at, title in (("fact", 3, "Key facts"), ("legal", 4, "Legal"), ("place", 5, "Places"), ("event", 6, "Events")) for x in (k, f"{at}:{title}")))
+    at = F.split(titles[F.col("kind")], ":", 2)
+    line = lambda title, n, df: df.select("person_id", F.lit(n).alias("at"), F.lit(title).alias("title"), "line", "weight")
+    documents = hits.join(analyses.select("analysis_id", "document_id", "document_type"), "analysis_id").select("person_id", "document_type", "document_id").distinct().groupBy("person_id", "document_type").agg(F.count("*").alias("weight"))
+    rows = counted.select("person_id", at[0].cast("int").alias("at"), at[1].alias("title"), "line", "weight")
+    parts = [
+        line("Roles", 1, said.filter("role is not null").groupBy("person_id", F.col("role").alias("line")).agg(F.sum("mentions").alias("weight"))),
+        line("Background", 2, said.filter("context is not null").select("person_id", F.col("context").alias("line")).distinct().withColumn("weight", F.length("line").cast("long"))),
+        line("Documents", 7, documents.withColumn("line", F.concat_ws(": ", "document_type", F.col("weight").cast("string")))),
+    ]
+    if "connections" in analyses.columns:
+        parts.append(line("Connections", 8, connection_lines(names, hits, analyses)))
+    for df in parts:
         rows = rows.unionByName(df)
     ranked = top_of(rows.withColumn("key", F.concat_ws(":", "person_id", "at")), "key", [F.desc("weight"), F.asc("line")], most)
     sections = ranked.groupBy("person_id", "at", "title").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]).alias("lines"))
@@ -72,6 +93,14 @@ def profiles(persons: DataFrame, mentions: DataFrame, analyses: DataFrame, legal
     return whole.select("person_id", F.posexplode("s").alias("at", "s")).select("person_id", (F.col("at") + 1).alias("number"), "s.title", "s.lines")
 
 
+def connection_lines(names: DataFrame, hits: DataFrame, analyses: DataFrame) -> DataFrame:
+    """(person_id, line, weight): descriptions of the connections that name a person at either end, in analyses that mention the person, and how many connections say so. A connection of a person with itself counts once; empty descriptions are none."""
+    told = analyses.select("analysis_id", F.posexplode("connections").alias("pos", "c")).filter("c.description <> ''")
+    ends = told.select("analysis_id", "pos", F.col("c.description").alias("line"), F.explode(F.array_distinct(F.array(normalize_name(F.col("c.person1")), normalize_name(F.col("c.person2"))))).alias("norm"))
+    of = ends.join(names.select("norm", "person_id"), "norm").select("person_id", "analysis_id", "pos", "line").distinct()
+    return of.join(hits.select("person_id", "analysis_id"), ["person_id", "analysis_id"], "left_semi").groupBy("person_id", "line").agg(F.count("*").alias("weight"))
+
+
 def dashboard(mentions: DataFrame, edges: DataFrame, analyses: DataFrame, k: int = 20) -> DataFrame:
     """AGG-13. Tall (section, key, n): the k persons with most mentions, connection types, document types (null counts as "unknown"), totals."""
     tall = lambda section, df, key: df.select(F.lit(section).alias("section"), F.col(key).cast("string").alias("key"), F.col("n").cast("long").alias("n"))
@@ -101,29 +130,33 @@ def enrich(persons: DataFrame, mentions: DataFrame, upgrades: list[str]) -> Data
 
 
 def merged_items(chunks: DataFrame) -> DataFrame:
-    """AGG-19, WIN-4. Per document: entities of all chunks by (name in any case, type) with attributes united, later chunks winning; facts, locations and events once each, at their first place; summaries joined in chunk order.
+    """AGG-19, WIN-4. Per document: entities of all chunks by (name in any case, type) with attributes united, later chunks winning; facts and locations once each in any case, events once each, at their first place; summaries joined in chunk order; where chunks have connections, the first of each unordered pair and type, in order.
 
-    chunks: document_id, chunk, entities array<struct<name,type,attributes map>>, facts, locations, events (arrays), summary."""
+    chunks: document_id, chunk, entities array<struct<name,type,attributes map>>, facts, locations, events (arrays), summary, connections array<struct<person1,person2,type,description>>."""
     e = chunks.select("document_id", "chunk", F.posexplode("entities").alias("pos", "e")).select("document_id", "chunk", "pos", F.lower("e.name").alias("key"), "e.name", "e.type", "e.attributes")
     one = e.groupBy("document_id", "key", "type").agg(F.min_by("name", F.struct("chunk", "pos")).alias("name"), F.min(F.struct("chunk", "pos")).alias("at"))
     values = e.select("document_id", "key", "type", "chunk", "pos", F.explode("attributes").alias("k", "v")).groupBy("document_id", "key", "type", "k").agg(F.max_by("v", F.struct("chunk", "pos")).alias("v"))
     maps = values.groupBy("document_id", "key", "type").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "v")))).alias("attributes"))
     entities = one.join(maps, ["document_id", "key", "type"], "left").groupBy("document_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "name", "type", F.map_entries("attributes").alias("a")))), lambda x: F.struct(x["name"].alias("name"), x["type"].alias("type"), F.map_from_entries(x["a"]).alias("attributes"))).alias("entities"))
 
-    def firsts(c: str) -> DataFrame:
-        rows = chunks.select("document_id", "chunk", F.posexplode(c).alias("pos", "x")).groupBy("document_id", "x").agg(F.min(F.struct("chunk", "pos")).alias("at"))
+    def firsts(c: str, key) -> DataFrame:  # noqa: ANN001
+        at = F.struct("chunk", "pos")
+        rows = chunks.select("document_id", "chunk", F.posexplode(c).alias("pos", "x")).withColumn("key", key(F.col("x"))).groupBy("document_id", "key").agg(F.min(at).alias("at"), F.min_by("x", at).alias("x"))
         return rows.groupBy("document_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda y: y["x"]).alias(c))
 
     out = chunks.groupBy("document_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("chunk", "summary"))), lambda x: x["summary"]), " ").alias("summary"))
-    for df in (entities, *(firsts(c) for c in ("facts", "locations", "events"))):
+    # The ends in either order are one connection; an absent end or type is like an empty one.
+    pair = lambda c: F.struct(F.sort_array(F.array(F.coalesce(c["person1"], F.lit("")), F.coalesce(c["person2"], F.lit("")))).alias("ends"), F.coalesce(c["type"], F.lit("")).alias("type"))
+    keys = {"facts": F.lower, "locations": F.lower, "events": lambda x: x} | ({"connections": pair} if "connections" in chunks.columns else {})
+    for df in (entities, *(firsts(c, k) for c, k in keys.items())):
         out = out.join(df, "document_id", "left")
     return out
 
 
-def edges_from_text(persons: DataFrame, edges: DataFrame, links: DataFrame, kinds, default: str) -> DataFrame:  # noqa: ANN001
-    """GR-5, JN-12. (person_id_1, person_id_2, describer, connection_type, description, document_ids) for pairs not yet linked, where one's description mentions the other: by full name, by a last name of more than three letters that only one person has, or by first and last name apart. Of several describers the lowest id counts.
+def edges_from_text(persons: DataFrame, edges: DataFrame, links: DataFrame, kinds) -> DataFrame:  # noqa: ANN001
+    """GR-5, JN-12. (person_id_1, person_id_2, describer, connection_type, strength, description, document_ids) for pairs not yet linked, where one's description mentions the other: by full name, by a last name of more than three letters that only one person has, or by first and last name apart. Of several describers the lowest id counts.
 
-    kinds: a function from the sentence about the mention to a type (DOC-7). Names are found through words, never by trying all pairs."""
+    kinds: a function from the sentence about the mention to a struct of connection_type and strength (DOC-7: rules.relation). Names are found through words, never by trying all pairs."""
     words = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
     names = persons.select(F.col("id").alias("other"), "name", words(F.col("name")).alias("parts")).filter("size(parts) > 1").select("other", "name", F.get("parts", F.lit(0)).alias("first"), F.element_at("parts", -1).alias("last"))
     only = names.groupBy("last").agg(F.count("*").alias("n")).filter("n = 1").select("last")
@@ -142,9 +175,9 @@ def edges_from_text(persons: DataFrame, edges: DataFrame, links: DataFrame, kind
     chosen = fresh.groupBy("person_id_1", "person_id_2").agg(F.min_by(F.struct("describer", "last"), F.struct("describer", "other")).alias("x")).select("person_id_1", "person_id_2", "x.*")
     one = chosen.join(persons.select(F.col("id").alias("describer"), "description"), "describer")  # texts meet the chosen pairs alone
     sentence = F.get(F.filter(F.split("description", r"\. "), lambda s: F.contains(F.lower(s), F.col("last"))), F.lit(0))
-    about = one.withColumn("description", F.coalesce(sentence, "description")).withColumn("connection_type", kinds(F.col("description")))
+    about = one.withColumn("description", F.coalesce(sentence, "description")).withColumn("kind", kinds(F.col("description")))
     shared = one.select("person_id_1", "person_id_2").join(links.select(F.col("person_id").alias("person_id_1"), "document_id"), "person_id_1").join(links.select(F.col("person_id").alias("person_id_2"), "document_id"), ["person_id_2", "document_id"]).groupBy("person_id_1", "person_id_2").agg(F.sort_array(F.collect_set("document_id")).alias("document_ids"))
-    return about.join(shared, ["person_id_1", "person_id_2"], "left").select("person_id_1", "person_id_2", "describer", F.coalesce("connection_type", F.lit(default)).alias("connection_type"), "description", F.coalesce("document_ids", F.array().cast("array<long>")).alias("document_ids"))
+    return about.join(shared, ["person_id_1", "person_id_2"], "left").select("person_id_1", "person_id_2", "describer", "kind.connection_type", "kind.strength", "description", F.coalesce("document_ids", F.array().cast("array<long>")).alias("document_ids"))
 
 
 def entity_edges(connections: DataFrame, entities: DataFrame, persons: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lumenarc.functions.rules import last_label
+from lumenarc.functions.rules import relation
 from lumenarc.operators import profiles as P
 
 from .bindings import edges, person_documents, sql, table
@@ -30,9 +30,9 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, li, s = (table(spark, sf_dir, t) for t in ("orders", "lineitem", "supplier"))
     w = F.concat(F.lit("merchant "), F.translate(F.substring("s_name", 10, 9), "0123456789", "abcdefghij"))
-    first = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("l_orderkey").alias("analysis_id")).agg(F.min(w).alias("w"))
+    first = li.join(s, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("l_orderkey").alias("analysis_id")).agg(F.min(w).alias("w"), F.max(w).alias("x"))
     fact = F.concat("w", F.when(F.col("o_orderkey") % 3 == 0, " was sued in ").otherwise(" delivered in "), F.substring("o_orderpriority", 3, 20))
-    return o.join(first, F.col("o_orderkey") == F.col("analysis_id")).select("analysis_id", F.col("analysis_id").alias("document_id"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderstatus")).alias("document_type"), F.array(fact, F.lit("nothing of note")).alias("facts"), F.array(F.concat(F.lit("place "), (F.col("o_custkey") % 9).cast("string"))).alias("locations"), F.array(F.concat(F.lit("order of "), F.date_format("o_orderdate", "yyyy"))).alias("events"))
+    return o.join(first, F.col("o_orderkey") == F.col("analysis_id")).select("analysis_id", F.col("analysis_id").alias("document_id"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_orderstatus")).alias("document_type"), F.array(fact, F.lit("nothing of note")).alias("facts"), F.array(F.concat(F.lit("place "), (F.col("o_custkey") % 9).cast("string"))).alias("locations"), F.array(F.concat(F.lit("order of "), F.date_format("o_orderdate", "yyyy"))).alias("events"), F.array(F.struct(F.upper("x").alias("person1"), F.col("w").alias("person2"), F.when(F.col("o_orderkey") % 4 > 0, F.concat(F.lit("shipped with "), F.substring("o_orderpriority", 3, 20))).alias("description"))).alias("connections"))
 
 
 def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MODEL = """su as (select s_suppkey id, 'merchant ' || translate(s_name[10:18], '0123456789', 'abcdefghij') w from supplier),
 me as (select l_orderkey d, w, case when l_linenumber % 2 = 0 then upper(w) else w end as name, case when l_returnflag = 'N' then 'Unknown' else l_returnflag end role, l_linestatus category, 'line ' || l_linenumber context, cast(l_quantity as bigint) mentions, l_suppkey id, case l_linenumber when 1 then 'named' when 2 then 'charged' else 'x' end status from lineitem join su on id = l_suppkey),
-an as (select o_orderkey d, case when o_orderkey % 5 > 0 then o_orderstatus end document_type, mw || case when o_orderkey % 3 = 0 then ' was sued in ' else ' delivered in ' end || substr(o_orderpriority, 3, 20) fact, 'place ' || (o_custkey % 9) place, 'order of ' || strftime(o_orderdate, '%Y') ev from orders join (select l_orderkey k, min(w) mw from lineitem join su on id = l_suppkey group by 1) on k = o_orderkey)"""
+an as (select o_orderkey d, case when o_orderkey % 5 > 0 then o_orderstatus end document_type, mw || case when o_orderkey % 3 = 0 then ' was sued in ' else ' delivered in ' end || substr(o_orderpriority, 3, 20) fact, 'place ' || (o_custkey % 9) place, 'order of ' || strftime(o_orderdate, '%Y') ev, mw, xw, case when o_orderkey % 4 > 0 then 'shipped with ' || substr(o_orderpriority, 3, 20) end tie from orders join (select l_orderkey k, min(w) mw, max(w) xw from lineitem join su on id = l_suppkey group by 1) on k = o_orderkey)"""
 
 
 @query(f"with {MODEL}, t as (select name, cast(sum(mentions) as bigint) mentions, count(distinct d) documents from me group by 1 order by 2 desc, 1 limit 1500), r as (select name, arg_max(role, (n, role)) role from (select name, role, sum(mentions) n from me group by 1, 2) group by 1), c as (select name, arg_max(category, (n, category)) category from (select name, category, sum(mentions) n from me group by 1, 2) group by 1) select name, mentions, documents, role, category from t join r using (name) join c using (name)")
@@ -62,7 +62,8 @@ def jn8_person_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 rows as (select person_id, 1 a, 'Roles' title, role line, sum(mentions) w from h group by 1, 4 union all select person_id, 2, 'Background', context, max(length(context)) from h group by 1, 4
 union all select person_id, 3, 'Key facts', fact, count(*) from h where contains(fact, w) and fact not like '%sued%' group by 1, 4 union all select person_id, 4, 'Legal', fact, count(*) from h where contains(fact, w) and fact like '%sued%' group by 1, 4
 union all select person_id, 5, 'Places', place, count(distinct d) from h group by 1, 4 union all select person_id, 6, 'Events', ev, count(*) from h group by 1, 4
-union all select person_id, 7, 'Documents', concat_ws(': ', document_type, cast(count(distinct d) as varchar)), count(distinct d) from h group by 1, document_type),
+union all select person_id, 7, 'Documents', concat_ws(': ', document_type, cast(count(distinct d) as varchar)), count(distinct d) from h group by 1, document_type
+union all select person_id, 8, 'Connections', tie, count(*) from (select distinct id person_id, d, tie from me join an using (d) where tie is not null and w in (mw, xw)) group by 1, 4),
 r as (select *, row_number() over (partition by person_id, a order by w desc, line) n from rows), s as (select person_id, a, title, string_agg(line, ';' order by n) lines from r where n <= 10 group by 1, 2, 3) select person_id, row_number() over (partition by person_id order by a) as number, title, lines from s""")
 def agg20_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-20, DOC-23."""
@@ -93,7 +94,7 @@ CHUNKS = """ch as (select l_orderkey document_id, l_linenumber chunk, l_partkey
 en as (select document_id, chunk, unnest([0, 1]) pos, q, f, v from ch), ee as (select document_id, chunk, pos, case pos when 0 then case when chunk % 2 = 0 then 'PART ' else 'part ' end || (q % 3) else 'flag' end as name, case pos when 0 then 'part' else 'mark' end typ, case pos when 0 then 'qty' else f end k, cast(cast(v as int) as varchar) val from en)"""
 
 
-@query(f"with {CHUNKS}, o as (select document_id, lower(name) key, typ, arg_min(name, (chunk, pos)) as name, min((chunk, pos)) place from ee group by 1, 2, 3), va as (select document_id, lower(name) key, typ, k, arg_max(val, (chunk, pos)) val from ee group by 1, 2, 3, 4), mp as (select document_id, key, typ, string_agg(k || '=' || val, '&' order by k) a from va group by 1, 2, 3), en2 as (select document_id, string_agg(name || '/' || typ || '/' || a, ';' order by place) entities from o join mp using (document_id, key, typ) group by 1), fa as (select document_id, string_agg(x, ';' order by c) facts from (select document_id, 'supplied by ' || (s % 4) x, min(chunk) c from ch group by 1, 2) group by 1), su as (select document_id, string_agg('c' || chunk, ' ' order by chunk) summary from ch group by 1) select document_id, entities, facts, summary from su join en2 using (document_id) join fa using (document_id)")
+@query(f"with {CHUNKS}, o as (select document_id, lower(name) key, typ, arg_min(name, (chunk, pos)) as name, min((chunk, pos)) place from ee group by 1, 2, 3), va as (select document_id, lower(name) key, typ, k, arg_max(val, (chunk, pos)) val from ee group by 1, 2, 3, 4), mp as (select document_id, key, typ, string_agg(k || '=' || val, '&' order by k) a from va group by 1, 2, 3), en2 as (select document_id, string_agg(name || '/' || typ || '/' || a, ';' order by place) entities from o join mp using (document_id, key, typ) group by 1), fa as (select document_id, string_agg(x, ';' order by c) facts from (select document_id, 'supplied by ' || (s % 4) x, min(chunk) c from ch group by 1, 2) group by 1), su as (select document_id, string_agg('c' || chunk, ' ' order by chunk) summary from ch group by 1), co as (select document_id, string_agg(d, ';' order by c) connections from (select document_id, least(s % 3, q % 3) a, greatest(s % 3, q % 3) b, f, min(chunk) c, arg_min('p' || (s % 3) || '-p' || (q % 3) || ' at ' || chunk, chunk) d from ch group by 1, 2, 3, 4) group by 1) select document_id, entities, facts, summary, connections from su join en2 using (document_id) join fa using (document_id) join co using (document_id)")
 def agg19_merge_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AGG-19, WIN-4."""
     first = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")).alias("x"))
@@ -101,18 +102,20 @@ def agg19_merge_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = F.struct(F.concat(F.when(F.col("l_linenumber") % 2 == 0, "PART ").otherwise("part "), (F.col("x.l_partkey") % 3).cast("string")).alias("name"), F.lit("part").alias("type"), F.create_map(F.lit("qty"), v).alias("attributes"))
     flag = F.struct(F.lit("flag").alias("name"), F.lit("mark").alias("type"), F.create_map(F.col("x.l_returnflag"), v).alias("attributes"))
     none = F.array().cast("array<string>")
-    chunks = first.select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("chunk"), F.array(part, flag).alias("entities"), F.array(F.concat(F.lit("supplied by "), (F.col("x.l_suppkey") % 4).cast("string"))).alias("facts"), none.alias("locations"), none.alias("events"), F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("summary"))
+    one, two = (F.concat(F.lit("p"), (F.col(c) % 3).cast("string")) for c in ("x.l_suppkey", "x.l_partkey"))
+    tie = F.struct(one.alias("person1"), two.alias("person2"), F.col("x.l_returnflag").alias("type"), F.concat(one, F.lit("-"), two, F.lit(" at "), F.col("l_linenumber").cast("string")).alias("description"))
+    chunks = first.select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("chunk"), F.array(part, flag).alias("entities"), F.array(F.concat(F.lit("supplied by "), (F.col("x.l_suppkey") % 4).cast("string"))).alias("facts"), none.alias("locations"), none.alias("events"), F.concat(F.lit("c"), F.col("l_linenumber").cast("string")).alias("summary"), F.array(tie).alias("connections"))
     m = P.merged_items(chunks)
     entity = lambda e: F.concat_ws("/", e["name"], e["type"], F.array_join(F.transform(F.array_sort(F.map_entries(e["attributes"])), lambda x: F.concat_ws("=", x["key"], x["value"])), "&"))
-    return m.select("document_id", F.array_join(F.transform("entities", entity), ";").alias("entities"), F.array_join("facts", ";").alias("facts"), "summary")
+    return m.select("document_id", F.array_join(F.transform("entities", entity), ";").alias("entities"), F.array_join("facts", ";").alias("facts"), "summary", F.array_join(F.transform("connections", lambda c: c["description"]), ";").alias("connections"))
 
 
-KINDS = [("sued|court", "legal"), ("dined|met", "social"), ("paid|sold", "business")]
+KINDS = [("sued|court", "legal", 2), ("dined|met", "social", 1), ("paid|sold", "business", 3)]
 #: Customers describe each other by number words; every eighth has a description.
 SAID = "cp as (select c_custkey id, 'ann' || chr(97 + cast(c_custkey % 26 as int)) f, 'lee' || translate(cast(c_custkey // 2 as varchar), '0123456789', 'abcdefghij') l, c_nationkey k from customer), pe as (select id, upper(f[1]) || f[2:] || ' ' || upper(l[1]) || l[2:] as name, f, l, k from cp), de as (select a.id, a.name, a.f, a.l, case when a.id % 4 <> 0 then null when a.id % 8 = 0 then 'A quiet life. Once ' || case a.k % 4 when 0 then 'sued ' when 1 then 'dined with ' when 2 then 'paid ' else 'saw ' end || b.name || ' there. The end' else 'Knew ' || b.l || ' and wrote about it' end description from pe a left join pe b on b.id = (a.id * 7 + 3) % (select count(*) from pe))"
 
 
-@query(f"with {SAID}, w as (select id, description, list_filter(string_split_regex(lower(description), '[^a-z0-9]+'), lambda x: x <> '') ws from de where description is not null), al as (select l, count(*) n from de group by 1), hit as (select w.id d, de.id o, de.l, w.description from w, de join al using (l) where w.id <> de.id and list_contains(ws, de.l) and ((n = 1 and length(de.l) > 3) or list_contains(ws, de.f) or contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || de.f || ' ' || de.l || ' '))), pr as (select least(d, o) a, greatest(d, o) b, d, o, l, description from hit), ok as (select * from pr where not exists (select 1 from orders where o_custkey = a and o_orderkey % 50 = b % 50)), one as (select *, row_number() over (partition by a, b order by d, o) n from ok), se as (select *, coalesce(list_filter(string_split(description, '. '), lambda s: contains(lower(s), l))[1], description) s from one where n = 1) select a person_id_1, b person_id_2, d describer, case when regexp_matches(lower(s), 'paid|sold') then 'business' when regexp_matches(lower(s), 'dined|met') then 'social' when regexp_matches(lower(s), 'sued|court') then 'legal' else 'associated' end connection_type, s description from se")
+@query(f"with {SAID}, w as (select id, description, list_filter(string_split_regex(lower(description), '[^a-z0-9]+'), lambda x: x <> '') ws from de where description is not null), al as (select l, count(*) n from de group by 1), hit as (select w.id d, de.id o, de.l, w.description from w, de join al using (l) where w.id <> de.id and list_contains(ws, de.l) and ((n = 1 and length(de.l) > 3) or list_contains(ws, de.f) or contains(' ' || array_to_string(ws, ' ') || ' ', ' ' || de.f || ' ' || de.l || ' '))), pr as (select least(d, o) a, greatest(d, o) b, d, o, l, description from hit), ok as (select * from pr where not exists (select 1 from orders where o_custkey = a and o_orderkey % 50 = b % 50)), one as (select *, row_number() over (partition by a, b order by d, o) n from ok), se as (select *, coalesce(list_filter(string_split(description, '. '), lambda s: contains(lower(s), l))[1], description) s from one where n = 1) select a person_id_1, b person_id_2, d describer, case when regexp_matches(lower(s), 'paid|sold') then 'business' when regexp_matches(lower(s), 'dined|met') then 'social' when regexp_matches(lower(s), 'sued|court') then 'legal' else 'associated' end connection_type, case when regexp_matches(lower(s), 'paid|sold') then 3 when regexp_matches(lower(s), 'dined|met') then 1 when regexp_matches(lower(s), 'sued|court') then 2 else 1 end strength, s description from se")
 def gr5_edges_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """GR-5, JN-12, DOC-7."""
     c = table(spark, sf_dir, "customer")
@@ -127,7 +130,7 @@ def gr5_edges_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("a"), (F.col("o_orderkey") % 50).alias("m")).distinct()
     linked = who.select(F.col("id").alias("b"), (F.col("id") % 50).alias("m")).join(o, "m").filter("a < b").select(F.col("a").alias("person_id_1"), F.col("b").alias("person_id_2"))
     links = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("person_id"), F.col("o_orderkey").alias("document_id"))
-    return P.edges_from_text(who, linked, links, lambda d: last_label(d, KINDS, "associated"), "associated").drop("document_ids")
+    return P.edges_from_text(who, linked, links, lambda d: relation(d, KINDS, "associated")).drop("document_ids")
 
 
 @query("with c as (select l_orderkey a, case when l_linenumber % 3 = 0 then upper(p_name) else p_name end s, l_linenumber % 2 = 0 sp, s_name t, l_linenumber % 4 = 1 te, l_returnflag ct, p2 from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey join (select p_partkey k2, p_name p2 from part) on k2 = (l_partkey * 3 + 1) % (select count(*) from part)), e as (select lower(p_name) low, min(p_partkey) e from part group by 1) select distinct e.e entity_id, 'person' kind, s_suppkey target_id, ct connection_type from c join e on e.low = lower(s) join supplier on s_name = t where not te union select distinct x.e, 'entity', y.e, ct from c join e x on x.low = lower(s) join e y on y.low = p2 where te and x.e <> y.e")
