@@ -165,6 +165,11 @@ def reply_json(text: Column, schema: str) -> Column:
     return F.coalesce(F.when(bare.startswith("{"), F.from_json(bare, schema)), F.from_json(F.nullif(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), F.lit("")), schema))
 
 
+def named(items: Column, least: int) -> Column:
+    """JSN-1. The structs of an array whose field name has at least so many characters; a null array is empty."""
+    return F.filter(F.coalesce(items, F.array()), lambda x: F.coalesce(F.length(x["name"]), F.lit(0)) >= least)
+
+
 def merge_maps(left: Column, right: Column) -> Column:
     """JSN-3. Right side wins, whatever the session's policy for repeated keys."""
     return F.map_zip_with(left, right, lambda k, a, b: F.coalesce(b, a))

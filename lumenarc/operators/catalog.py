@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -155,6 +157,12 @@ def distinct_by_size(files: DataFrame) -> DataFrame:
     return one.withColumn("_n", n).withColumn("stored_name", F.when(F.col("_n") == 1, F.col("name")).otherwise(F.concat("name", F.lit("-"), F.col("_n").cast("string")))).drop("_n")
 
 
+def without_placeholders(files: DataFrame, sizes: Mapping[str, Sequence[int]]) -> DataFrame:
+    """DOC-18. files without those whose exact size is a placeholder's in their data set. sizes: data set to the sizes of its placeholders; a null data set or size is no placeholder's."""
+    held = [(F.col("data_set") == name) & F.col("size").isin(*of) for name, of in sorted(sizes.items()) if of]
+    return files.filter(~F.coalesce(reduce(Column.__or__, held), F.lit(False))) if held else files
+
+
 def page_kind(page_type: Column, document_type: Column, default: str = "unclassified") -> Column:
     """DOC-21. A page's type; where it is other or missing, its document's, else the default."""
     return F.coalesce(F.nullif(page_type, F.lit("other")), document_type, F.lit(default))

@@ -181,8 +181,8 @@ def regrouped(found: DataFrame, pages: DataFrame, k: int, most: int = 100) -> Da
     return lists.select("document_id", "best", F.transform("p", lambda x: x["page"]).alias("pages"))
 
 
-def contexts(questions: DataFrame, index: Index, pages: DataFrame, persons: DataFrame, edges: DataFrame, links: DataFrame, most: dict[str, int], cap: int = 20_000) -> DataFrame:
-    """FTS-16. Per question (question_id, text): one text of sections (persons with connections and documents, then page snippets) cut at cap characters, and the documents cited, each once.
+def contexts(questions: DataFrame, index: Index, pages: DataFrame, persons: DataFrame, edges: DataFrame, links: DataFrame, most: dict[str, int], cap: int = 20_000, analyses: DataFrame | None = None) -> DataFrame:
+    """FTS-16. Per question (question_id, text): one text of sections (analysed documents where given, then persons with connections and documents, then page snippets) cut at cap characters, and the documents cited, each once.
 
     Keywords of all questions meet the postings in one join; pages are ranked within each question. pages: page_id, document_id, text."""
     from pyspark.sql import Window
@@ -205,6 +205,28 @@ def contexts(questions: DataFrame, index: Index, pages: DataFrame, persons: Data
     papers = inner(links.join(asked, "person_id", "left_semi"), [F.asc("document_id")], most["documents"]).groupBy("person_id").agg(F.sort_array(F.collect_list("document_id")).alias("papers"))
     told = people.join(near, "person_id", "left").join(papers, "person_id", "left").withColumn("line", F.concat(F.lit("Person "), F.col("name"), F.lit(" knows "), F.coalesce(F.array_join("near", " "), F.lit("")), F.lit(" in "), F.coalesce(F.array_join(F.col("papers").cast("array<string>"), " "), F.lit(""))))
     lines = told.select("question_id", F.lit(0).alias("part"), "rank", "line").unionByName(shown.select("question_id", F.lit(1).alias("part"), "rank", F.concat(F.lit("Page "), F.col("page_id").cast("string"), F.lit(": "), "snippet").alias("line")))
+    if analyses is not None:
+        lines = lines.unionByName(analysis_sections(words, analyses, most["analyses"]).withColumn("part", F.lit(-1)))
     text = lines.groupBy("question_id").agg(F.substring(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "rank", "line"))), lambda x: x["line"]), "\n"), 1, cap).alias("context"))
     cited = shown.select("question_id", "document_id").unionByName(told.select("question_id", F.explode("papers").alias("document_id"))).groupBy("question_id").agg(F.sort_array(F.collect_set("document_id")).alias("cited"))
     return questions.select("question_id").join(text, "question_id", "left").join(cited, "question_id", "left").select("question_id", F.coalesce("context", F.lit("")).alias("context"), F.coalesce("cited", F.array().cast("array<long>")).alias("cited"))
+
+
+def analysis_sections(words: DataFrame, analyses: DataFrame, most: int) -> DataFrame:
+    """FTS-16. (question_id, rank, line): the first `most` analyses, by id, in whose summary, type, data set or file name a word of the question stands, inside other words too; each as a section of what it holds.
+
+    words: question_id, term; analyses: analysis_id, file_name, document_type, data_set, summary, facts, persons array<struct<name, role>>, events array<struct<date, title>>. Words meet texts through rare grams; of each word's finds only its first `most` can be among a question's first, so only they go on. Analyses without anything to tell are passed over."""
+    from .containment import contained
+    from .profiles import top_of
+
+    filled = lambda c: F.coalesce(F.size(c), F.lit(0)) > 0
+    listed = lambda head, c, item: F.when(filled(c), F.concat(F.lit(f"{head}:\n"), F.array_join(F.transform(c, lambda x: F.concat(F.lit("- "), item(x))), "\n")))
+    people = F.when(filled("persons"), F.concat(F.lit("Persons mentioned: "), F.array_join(F.transform("persons", lambda p: F.concat(p["name"], F.lit(" ("), F.coalesce(p["role"], F.lit("mentioned")), F.lit(")"))), ", ")))
+    summary = F.concat(F.lit("Summary: "), F.nullif("summary", F.lit("")))
+    parts = F.concat_ws("\n", summary, listed("Key facts", "facts", lambda x: x), people, listed("Events", "events", lambda e: F.concat(F.coalesce(F.concat(e["date"], F.lit(": ")), F.lit("")), e["title"])))
+    head = F.concat(F.lit("Analysis "), F.coalesce("file_name", F.lit("unknown")), F.lit(" ("), F.coalesce("document_type", F.lit("document")), F.lit(")"))
+    told = analyses.select("analysis_id", F.lower(F.concat_ws(" ", "summary", "document_type", "data_set", "file_name")).alias("text"), F.concat_ws("\n", head, parts).alias("line"), parts.alias("parts")).filter("parts <> ''")
+    met = contained(words.select(F.col("term").alias("needle_id"), F.col("term").alias("needle")).distinct(), told.select(F.col("analysis_id").alias("text_id"), "text"))
+    of_word = top_of(met, "needle_id", [F.asc("text_id")], most).select(F.col("needle_id").alias("term"), F.col("text_id").alias("analysis_id"))
+    chosen = top_of(words.join(of_word, "term").select("question_id", "analysis_id").distinct(), "question_id", [F.asc("analysis_id")], most)
+    return chosen.join(told.select("analysis_id", "line"), "analysis_id").select("question_id", "rank", "line")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lumenarc.functions import rules as R, text as T
 from lumenarc.operators import papers as D
+from lumenarc.operators.containment import running_before
 from lumenarc.operators.profiles import top_of
 
 from .bindings import documents, edges, person_documents, persons, sql, table, timeline
@@ -72,10 +73,7 @@ def doc17_longer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("with r as (select doc_id, n_chars, coalesce(sum(n_chars) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) b from documents) select doc_id, case when n_chars < 500 or b >= 20000 then 0 when n_chars < 3000 then 1 else 2 end tier from r")
 def doc20_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    before = F.sum("n_chars").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1))
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.coalesce(before, F.lit(0)).alias("b"))
+    d = running_before(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", "doc_id", "n_chars", "b")
     return d.select("doc_id", D.analysis_tier(F.col("n_chars"), F.col("b"), 20000, 500, 3000).alias("tier"))
 
 
@@ -200,12 +198,13 @@ def snk5_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.graph_rows(nodes, edges(spark, sf_dir))
 
 
-@query(sql("edges persons timeline", """select 'People/' || replace(name, '#', '-') || '.md' path, md5('---' || chr(10) || 'type: person' || chr(10) || 'name: "' || name || '"' || chr(10) || 'category: "' || category || '"' || chr(10) || '---' || chr(10) || '# ' || name || chr(10) || coalesce(near, '')) content from persons left join (select me, string_agg('- [[' || note || ']]', chr(10) order by note) near from (select distinct me, note from ends join nt using (pid)) group by 1) on me = id
+@query(sql("edges persons timeline docs", """select 'People/' || replace(name, '#', '-') || '.md' path, md5('---' || chr(10) || 'type: person' || chr(10) || 'name: "' || name || '"' || chr(10) || 'category: "' || category || '"' || chr(10) || '---' || chr(10) || '# ' || name || chr(10) || coalesce(near, '') || case when dl.me is null then '' else chr(10) || '## Related documents' || chr(10) || papers || case when n > 50 then chr(10) || '- and ' || (n - 50) || ' more' else '' end end) content from persons left join (select me, max(n) n, string_agg('- [[' || title || ']]', chr(10) order by id) papers from (select person_id me, docs.id, title, count(*) over (partition by person_id) n, row_number() over (partition by person_id order by docs.id) k from links join docs on docs.id = document_id) where k <= 50 group by 1) dl on dl.me = id left join (select me, string_agg('- [[' || note || ']]', chr(10) order by note) near from (select distinct me, note from ends join nt using (pid)) group by 1) pn on pn.me = id
 union all select 'Events/' || case when date is null then '' else date || ' ' end || category || ' ' || id || '.md', md5('---' || chr(10) || 'type: event' || chr(10) || 'date: "' || coalesce(date, '') || '"' || chr(10) || '---' || chr(10) || '# ' || category || chr(10) || coalesce(who, '')) from timeline left join (select eid, string_agg('- [[' || note || ']]', chr(10) order by note) who from (select distinct eid, note from (select id eid, unnest(person_ids) pid from timeline) join nt using (pid)) group by 1) on eid = id
+union all select 'Documents/' || title || '.md', md5('---' || chr(10) || 'type: document' || chr(10) || 'title: "' || title || '"' || chr(10) || 'kind: "' || document_type || '"' || chr(10) || 'set: "' || data_set || '"' || chr(10) || '---' || chr(10) || '# ' || title || chr(10) || coalesce(who, '')) from docs left join (select document_id, string_agg('- [[' || note || ']]', chr(10) order by note) who from (select distinct document_id, note from links join nt on pid = person_id) group by 1) on document_id = id
 union all select 'Connections/' || a.note || ' - ' || b.note || ' ' || id || '.md', md5('---' || chr(10) || 'type: connection' || chr(10) || 'kind: "' || connection_type || '"' || chr(10) || '---' || chr(10) || '[[' || a.note || ']] and [[' || b.note || ']]' || chr(10) || description) from edges join nt a on a.pid = person_id_1 join nt b on b.pid = person_id_2""", "nt as (select id pid, replace(name, '#', '-') note from persons), ends as (select person_id_1 me, person_id_2 pid from edges union all select person_id_2, person_id_1 from edges)"))
 def snk8_vault(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = timeline(spark, sf_dir).withColumnRenamed("category", "title")
-    return D.vault_notes(persons(spark, sf_dir), t, edges(spark, sf_dir)).select("path", F.md5(F.encode("content", "utf-8")).alias("content"))
+    return D.vault_notes(persons(spark, sf_dir), t, edges(spark, sf_dir), documents(spark, sf_dir), person_documents(spark, sf_dir)).select("path", F.md5(F.encode("content", "utf-8")).alias("content"))
 
 
 @query(sql("timeline", "select id, date from timeline where date >= '1995' and significance >= 3"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import activity, archive, english, entities, files, graphs, identities, library, papers, profiles, retrieval, searches, streams
+from . import activity, archive, english, entities, files, graphs, identities, library, papers, profiles, retrieval, rulesets, searches, streams
 
 QUERIES, ORACLE = {}, {}
-for module in (activity, archive, english, entities, files, graphs, identities, library, papers, profiles, retrieval, searches, streams):
+for module in (activity, archive, english, entities, files, graphs, identities, library, papers, profiles, retrieval, rulesets, searches, streams):
     QUERIES |= module.QUERIES
     ORACLE |= module.ORACLE
