@@ -33,10 +33,10 @@ def name_hits(names: DataFrame, mentions: DataFrame) -> DataFrame:
 
 
 def analysis_lines(analyses: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """(analysis_id, kind, line, low, times): the lists of each analysis, cut into lines once, before any person meets them. kinds: column to name of the kind; equal lines of one list are one row with their number. Null lines are dropped."""
-    tagged = lambda c, k: F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x: F.struct(F.lit(k).alias("kind"), x.alias("line")))
+    """(analysis_id, kind, line, low): the lists of each analysis, cut into lines once, before any person meets them. kinds: column to name of the kind; equal places of one analysis are one row. Null lines are dropped. No shuffle."""
+    tagged = lambda c, k: F.transform(F.coalesce(F.array_distinct(c) if k == "place" else F.col(c), F.array().cast("array<string>")), lambda x: F.struct(F.lit(k).alias("kind"), x.alias("line")))
     rows = analyses.select("analysis_id", F.explode(F.concat(*(tagged(c, k) for c, k in kinds.items()))).alias("x")).select("analysis_id", "x.*").filter("line is not null")
-    return rows.groupBy("analysis_id", "kind", "line").agg(F.count("*").alias("times")).withColumn("low", F.lower("line"))
+    return rows.withColumn("low", F.lower("line"))
 
 
 def person_mentions(persons: DataFrame, mentions: DataFrame, analyses: DataFrame, most_documents: int = 200) -> DataFrame:
@@ -71,7 +71,7 @@ def profiles(persons: DataFrame, mentions: DataFrame, analyses: DataFrame, legal
     meets = hits.join(analysis_lines(analyses, {"facts": "fact", "locations": "place", "events": "event"}), "analysis_id").filter((F.col("kind") != "fact") | F.contains("low", F.lower("name")))
     kind = F.when(F.col("kind") != "fact", F.col("kind")).when(F.col("low").rlike(legal), "legal").otherwise("fact")
     # A place counts once an analysis, facts and events as often as they are told and the person is mentioned.
-    weight = F.when(F.col("kind") == "place", F.lit(1)).otherwise(F.col("n") * F.col("times"))
+    weight = F.when(F.col("kind") == "place", F.lit(1)).otherwise(F.col("n"))
     counted = meets.groupBy("person_id", kind.alias("kind"), "line").agg(F.sum(weight).alias("weight"))
     titles = F.create_map(*(F.lit(x) for k, at, title in (("fact", 3, "Key facts"), ("legal", 4, "Legal"), ("place", 5, "Places"), ("event", 6, "Events")) for x in (k, f"{at}:{title}")))
     at = F.split(titles[F.col("kind")], ":", 2)
