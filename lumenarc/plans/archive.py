@@ -107,7 +107,7 @@ PAGES = "pg as (select doc_id, row_number() over (partition by doc_id order by i
 
 def pages_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DOC-14. Pages of a text: parts of 20 characters or more at the delimiter, numbered anew."""
-    parts = F.filter(F.transform(F.split("text", "\n"), F.trim), lambda s: F.length(s) >= 20)
+    parts = F.filter(F.transform(F.split("text", "\n"), lambda s: T.trim_spaces(s)), lambda s: F.length(s) >= 20)
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parts).alias("page", "content")).withColumn("page", (F.col("page") + 1).cast("long"))
 
 

@@ -191,3 +191,18 @@ def test_chunks_quality_gate_and_children(spark):
     parents = spark.createDataFrame([(1,), (1,), (3,), (None,)], "k int")
     assert sorted(r.v for r in C.replace_children(old, parents, new, ["k"]).collect()) == ["c", "e", "z"]
     assert C.replace_children(old, parents.limit(0), new.limit(0), ["k"]).count() == 5
+
+
+@pytest.fixture(scope="module")
+def edge_pages(spark, tmp_path_factory):
+    """Documents whose lines end in the digit of their own place, or in spaces of other kinds."""
+    path = tmp_path_factory.mktemp("sf")
+    spark.createDataFrame([(1, "0 the first line ends in a 0\n1 the second one in a 1\n   spaces around this one　 \nshort"), (2, None)], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_pages_keep_the_digits_at_their_ends(spark, edge_pages):
+    from lumenarc.plans.archive import pages_of
+
+    got = [(r.page, r.content) for r in pages_of(spark, edge_pages).orderBy("doc_id", "page").collect()]
+    assert got == [(1, "0 the first line ends in a 0"), (2, "1 the second one in a 1"), (3, "spaces around this one")]
