@@ -64,7 +64,7 @@ def with_contexts(found: DataFrame, docs: DataFrame, around: int = 80) -> DataFr
     # The gap before the name's first word belongs to what is around it.
     begin = F.col("lead") + F.length(F.regexp_extract(F.substr(F.col("text"), F.col("lead") + 1, F.col("stop") - F.col("lead")), "^[^A-Za-z0-9]*", 0))
     p = placed.withColumn("begin", begin)
-    before = F.regexp_extract(F.substr(F.col("text"), F.greatest(F.col("begin") - around, F.lit(0)) + 1, F.least(F.col("begin"), F.lit(around))), r"[^\n\r]*$", 0)
+    before = F.regexp_extract(F.substr(F.col("text"), F.greatest(F.col("begin") - around, F.lit(0)) + 1, F.least(F.col("begin"), F.lit(around))), r"[^\n\r]*\z", 0)  # $ would also match before a last line break
     after = F.regexp_extract(F.substr(F.col("text"), F.col("stop") + 1, F.lit(around)), r"^[^\n\r]*", 0)
     name = F.substr(F.col("text"), F.col("begin") + 1, F.col("stop") - F.col("begin"))
     return p.select("id", "name", "mentions", F.trim(F.concat(before, name, after)).alias("context"))

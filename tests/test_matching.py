@@ -64,3 +64,9 @@ def test_selected_value(spark, share):
         assert C.value_at(d.filter("v is null"), "v", share).count() == 0
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_a_name_at_the_start_of_a_line_has_no_context_before_it(spark):
+    d = spark.createDataFrame([(1, "earlier line\nAnn Lee came\nlater"), (2, "x\r\n Ann Lee"), (3, "one\n\nAnn Lee")], "id long, text string")
+    k = spark.createDataFrame([("ann lee",)], "name string")
+    assert sorted((r.id, r.context) for r in D.with_contexts(D.mentions(d, k), d).collect()) == [(1, "Ann Lee came"), (2, "Ann Lee"), (3, "Ann Lee")]
