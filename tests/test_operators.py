@@ -206,3 +206,9 @@ def test_pages_keep_the_digits_at_their_ends(spark, edge_pages):
 
     got = [(r.page, r.content) for r in pages_of(spark, edge_pages).orderBy("doc_id", "page").collect()]
     assert got == [(1, "0 the first line ends in a 0"), (2, "1 the second one in a 1"), (3, "spaces around this one")]
+
+
+def test_chunks_keep_the_digits_at_the_ends_of_pages(spark, edge_pages):
+    from lumenarc.plans.library import doc15_chunks
+
+    assert [(r.doc_id, r.chunk, r.n) for r in doc15_chunks(spark, edge_pages).collect()] == [(1, 1, 28 + 1 + 23 + 1 + 22)]
