@@ -143,11 +143,11 @@ def new_links(found: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
     return found.select(*keys).distinct().join(old.select(*keys), keys, "left_anti")
 
 
-def import_files(files: DataFrame, docs: DataFrame) -> DataFrame:
-    """DML-13. files (url, local_path) against docs (url, local_path): action new, fill (the path was missing) or none."""
-    d = docs.select("url", F.col("local_path").alias("_old"), F.lit(True).alias("_there"))
+def import_files(files: DataFrame, docs: DataFrame, key: str = "url") -> DataFrame:
+    """DML-13. files (url, local_path) against docs (url, local_path): action new, fill (the path was missing) or none. key: the column of both that tells files apart, if several have one url."""
+    d = docs.select(key, F.col("local_path").alias("_old"), F.lit(True).alias("_there"))
     action = F.when(F.col("_there").isNull(), "new").when(F.col("_old").isNull(), "fill").otherwise("none")
-    return files.join(d, "url", "left").select("url", F.coalesce("_old", "local_path").alias("local_path"), action.alias("action"))
+    return files.join(d, key, "left").select("url", F.coalesce("_old", "local_path").alias("local_path"), action.alias("action"))
 
 
 def distinct_by_size(files: DataFrame) -> DataFrame:

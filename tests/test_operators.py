@@ -212,3 +212,12 @@ def test_chunks_keep_the_digits_at_the_ends_of_pages(spark, edge_pages):
     from lumenarc.plans.library import doc15_chunks
 
     assert [(r.doc_id, r.chunk, r.n) for r in doc15_chunks(spark, edge_pages).collect()] == [(1, 1, 28 + 1 + 23 + 1 + 22)]
+
+
+def test_pages_of_one_url_are_imported_one_by_one(spark, tmp_path):
+    from lumenarc.plans.library import dml13_import_files
+
+    spark.createDataFrame([(1, "http://a/"), (2, "http://a/"), (3, "http://a/"), (4, None)], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(1, "de", 2000), (2, "de", 5), (3, "en", 5), (4, "fr", 5)], "doc_id long, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.local_path, r.action) for r in dml13_import_files(spark, str(tmp_path)).collect())
+    assert got == [("files/2", "fill"), ("files/3", "new"), ("files/4", "fill"), ("texts/1", "none")]
