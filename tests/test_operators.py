@@ -221,3 +221,14 @@ def test_pages_of_one_url_are_imported_one_by_one(spark, tmp_path):
     spark.createDataFrame([(1, "de", 2000), (2, "de", 5), (3, "en", 5), (4, "fr", 5)], "doc_id long, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r.local_path, r.action) for r in dml13_import_files(spark, str(tmp_path)).collect())
     assert got == [("files/2", "fill"), ("files/3", "new"), ("files/4", "fill"), ("texts/1", "none")]
+
+
+def test_linked_pairs_can_be_looked_up(spark):
+    who = spark.createDataFrame([(1, "Ann Leea", "Paid Bob Leeb. Met Cat Leec."), (2, "Bob Leeb", None), (3, "Cat Leec", "Knew Leea")], "id long, name string, description string")
+    edges = spark.createDataFrame([(2, 1)], "person_id_1 long, person_id_2 long")
+    links = spark.createDataFrame([(1, 7), (3, 7)], "person_id long, document_id long")
+    kinds = lambda d: F.struct(F.lit("x").alias("connection_type"), F.length(d).alias("strength"))
+    asked = []
+    found = P.edges_from_text(who, lambda pairs: asked.append(sorted(map(tuple, pairs.collect()))) or pairs.filter("person_id_1 = 1 and person_id_2 = 2"), links, kinds).collect()
+    assert asked == [[(1, 2), (1, 3)]]
+    assert found == P.edges_from_text(who, edges, links, kinds).collect() and [(r.person_id_1, r.person_id_2, r.describer, r.document_ids) for r in found] == [(1, 3, 1, [7])]
