@@ -251,10 +251,10 @@ def most_connected(groups: DataFrame, links: DataFrame) -> DataFrame:
     return g.join(best, "group").filter("id <> canonical_id").select(F.col("id").alias("dup_id"), "canonical_id")
 
 
-def single_words(persons: DataFrame, evidence: DataFrame, gender: DataFrame | None = None, protected: DataFrame | None = None) -> DataFrame:
+def single_words(persons: DataFrame, evidence: DataFrame, gender: DataFrame | None = None, protected: DataFrame | None = None, rare: int = 64, tried: int = 256) -> DataFrame:
     """ER-8. (dup_id, canonical_id) for persons of one word: the full name with that first or last word which shares most evidence, if that scores 4 and is the only one or twice the next. A document shared counts two, a connection one.
 
-    Both sides are joined on word and piece of evidence, so only pairs that share some ever exist. persons: id, name; evidence: (id, kind, key) with kind "document" or "connection"; gender: (title, first) pairs that exclude each other, an input; protected: names that stay."""
+    Both sides are joined on word and piece of evidence, so only pairs that share some ever exist; and before that, words that can have no clear winner go (see undecided), which bounds those that common evidence makes. persons: id, name; evidence: (id, kind, key) with kind "document" or "connection"; gender: (title, first) pairs that exclude each other, an input; protected: names that stay."""
     n = persons.select("id", normalize_name(F.col("name")).alias("norm"), F.lower("name").alias("raw")).filter("norm <> ''").withColumn("parts", F.split("norm", " "))
     one = n.filter(F.size("parts") == 1).select(F.col("id").alias("dup_id"), F.col("norm").alias("word"), F.regexp_extract("raw", r"^(mr|mrs|ms|miss)[. ]", 1).alias("title"), "raw")
     if protected is not None:
@@ -262,17 +262,39 @@ def single_words(persons: DataFrame, evidence: DataFrame, gender: DataFrame | No
     full = n.filter(F.size("parts") > 1).select("id", F.get("parts", F.lit(0)).alias("first"), F.explode(F.array_distinct(F.array(F.get("parts", F.lit(0)), F.element_at("parts", -1)))).alias("word"))
     # Names whose word the other side lacks go before the evidence is joined.
     e = stored(evidence.distinct(), "evidence")
-    mine = one.drop("raw").join(full.select("word").distinct(), "word", "left_semi").join(e.withColumnRenamed("id", "dup_id"), "dup_id")
-    theirs = full.join(one.select("word").distinct(), "word", "left_semi").join(e, "id").withColumn("w", F.when(F.col("kind") == "document", 2).otherwise(1))
-    met = mine.join(theirs, ["word", "kind", "key"])
-    if gender is not None:
-        met = met.join(gender.distinct(), ["title", "first"], "left_anti")
+    mine = stored(one.drop("raw").join(full.select("word").distinct(), "word", "left_semi").join(e.withColumnRenamed("id", "dup_id"), "dup_id"), "mine")
+    theirs = stored(full.join(one.select("word").distinct(), "word", "left_semi").join(e, "id").withColumn("w", F.when(F.col("kind") == "document", 2).otherwise(1)), "theirs")
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        met = left.join(right, ["word", "kind", "key"])
+        return met if gender is None else met.join(gender.distinct(), ["title", "first"], "left_anti")
+
+    met = meet(mine.join(undecided(mine, theirs, meet, rare, tried), "dup_id", "left_semi"), theirs)
     shared = stored(met.groupBy("dup_id", "id").agg(F.sum("w").alias("score")), "shared")
     best = shared.groupBy("dup_id").agg(F.max(F.struct(F.col("score"), (-F.col("id")).alias("low"))).alias("b")).select("dup_id", (-F.col("b.low")).alias("canonical_id"), F.col("b.score").alias("score")).filter("score >= 4")
     rival = shared.join(best.select("dup_id", "canonical_id"), "dup_id").filter("id <> canonical_id").groupBy("dup_id").agg(F.max("score").alias("next"))
     return best.join(rival, "dup_id", "left").filter(F.coalesce("next", F.lit(0)) * 2 <= F.col("score")).select("dup_id", "canonical_id", "score")
 
 
+def undecided(mine: DataFrame, theirs: DataFrame, meet: Callable[[DataFrame, DataFrame], DataFrame], rare: int, tried: int) -> DataFrame:
+    """(dup_id): the single words whose best full name may score twice the next, by bounds that take no pair of all with all.
+
+    No score exceeds the weights of a word's common evidence and the best score by rare evidence, that of at most `rare` names, which is counted in full. The next score is at least the second best
+    among the `tried` names of that word with most evidence. A word whose bound is below twice that has no winner."""
+    from .profiles import top_of
+
+    at = ["word", "kind", "key"]
+    often = theirs.groupBy(*at, "id").agg(F.sum("w").alias("w")).groupBy(*at).agg(F.count("*").alias("n"), F.max("w").alias("most"))
+    held = mine.join(often, at)
+    common = held.filter(F.col("n") > rare).groupBy("dup_id").agg(F.sum("most").alias("common"))
+    by_rare = meet(held.filter(F.col("n") <= rare), theirs).groupBy("dup_id", "id").agg(F.sum("w").alias("s")).groupBy("dup_id").agg(F.max("s").alias("rare"))
+    rich = top_of(theirs.groupBy("word", "id").agg(F.sum("w").alias("all")), "word", [F.desc("all"), F.asc("id")], tried).select("word", "id")
+    scores = meet(mine, theirs.join(rich, ["word", "id"], "left_semi")).groupBy("dup_id", "id").agg(F.sum("w").alias("s"))
+    second = scores.groupBy("dup_id").agg(F.get(F.sort_array(F.collect_list("s"), False), F.lit(1)).alias("next"))  # `tried` numbers at most a word
+    bounds = mine.select("dup_id").distinct().join(common, "dup_id", "left").join(by_rare, "dup_id", "left").join(second, "dup_id", "left")
+    return stored(bounds.filter(F.coalesce("common", F.lit(0)) + F.coalesce("rare", F.lit(0)) >= 2 * F.coalesce("next", F.lit(0))).select("dup_id"), "undecided")
+
+
 def bare_surnames(persons: DataFrame, protected: DataFrame) -> DataFrame:
     """ER-9. (id, action, canonical_id) for names of one word once titles are gone: "merge" into the only full name with that last word, else "delete"; protected names stay."""
     n = persons.join(protected.select(F.lower("name").alias("low")).distinct(), F.lower(persons["name"]) == F.col("low"), "left_anti").select("id", normalize_name(F.col("name")).alias("norm"))

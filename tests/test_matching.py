@@ -70,3 +70,24 @@ def test_a_name_at_the_start_of_a_line_has_no_context_before_it(spark):
     d = spark.createDataFrame([(1, "earlier line\nAnn Lee came\nlater"), (2, "x\r\n Ann Lee"), (3, "one\n\nAnn Lee")], "id long, text string")
     k = spark.createDataFrame([("ann lee",)], "name string")
     assert sorted((r.id, r.context) for r in D.with_contexts(D.mentions(d, k), d).collect()) == [(1, "Ann Lee came"), (2, "Ann Lee"), (3, "Ann Lee")]
+
+
+def test_single_words_with_common_evidence(spark):
+    """Against counting every pair, with bounds so small that most words are settled by them."""
+    from lumenarc.operators import identity as I
+
+    rng = random.Random(5)
+    words = ["w" + c for c in "abcdefghijklmnopqrst"]
+    names = {i: f"{rng.choice(words)} {rng.choice(words)}" if i % 3 else rng.choice(words) for i in range(300)}
+    evidence = {i: {(kind, rng.randrange(12 if kind == "document" else 60)) for kind in ("document", "connection") for _ in range(rng.randrange(6))} for i in names}
+    want = set()
+    for d, w in names.items():
+        if " " not in w:
+            scores = sorted(((sum(2 if k == "document" else 1 for k, _ in evidence[d] & evidence[f]), -f) for f, n in names.items() if " " in n and w in (n.split()[0], n.split()[-1])), reverse=True)
+            if scores[0][0] >= 4 and scores[1][0] * 2 <= scores[0][0]:
+                want.add((d, -scores[0][1], scores[0][0]))
+    p = spark.createDataFrame(list(names.items()), "id long, name string")
+    e = spark.createDataFrame([(i, *x) for i, found in evidence.items() for x in found], "id long, kind string, key long")
+    assert want
+    for rare, tried in ((2, 8), (64, 256), (0, 1)):
+        assert {tuple(r) for r in I.single_words(p, e, rare=rare, tried=tried).collect()} == want
