@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Common words that are no search terms, in natural order.
@@ -74,3 +77,63 @@ def stems(words: DataFrame, word: str = "term", stem: str = "stem") -> DataFrame
     last_e = (at >= F.col("p2")) | ((at >= F.col("p1")) & ~_cut(w, 1).rlike(SHORT))
     d = then(d, F.when((ends("e") & last_e) | (ends("ll") & (at >= F.col("p2"))), _cut(w, 1)).otherwise(w))
     return d.select(*keep, F.coalesce("fixed", F.lower(w)).alias(stem))
+
+
+def _climb(w: str, rules: list[tuple[str, str, int, str]], p: tuple[int, int]) -> str:
+    for suffix, to, region, before in rules:
+        if w.endswith(suffix):
+            left = w[: len(w) - len(suffix)]
+            return left + to if len(left) >= p[region - 1] and (not before or re.search(before + "$", left)) else w
+    return w
+
+
+_LADDERS = [sorted(step, key=lambda r: -len(r[0])) for step in (STEP_2, STEP_3, STEP_4)]
+
+
+def stem_of(word: str) -> str:
+    """The stem that stems() gives, of one word of a-z and 0-9, for use inside tasks (tested to be equal)."""
+    if word in OWN or len(word) < 3:
+        return OWN.get(word, word)
+    region = lambda x: len(m[1]) if (m := re.match(REGION, x)) else len(x)
+    w = re.sub("([aeiouy])y", r"\1Y", re.sub("^y", "Y", word))
+    p1 = len(m[1]) if (m := re.match(BEGIN, w)) else region(w)
+    p2 = p1 + region(w[p1:])
+    if w.endswith("sses"):
+        w = w[:-2]
+    elif w.endswith(("ied", "ies")):
+        w = w[:-2] if len(w) > 4 else w[:-1]
+    elif w.endswith("s") and not w.endswith(("us", "ss")) and re.search("[aeiouy].+$", w[:-1]):
+        w = w[:-1]
+    if w in STAY:
+        return w
+    if w.endswith("eedly"):
+        w = w[:-3] if len(w) - 5 >= p1 else w
+    elif w.endswith("eed"):
+        w = w[:-1] if len(w) - 3 >= p1 else w
+    elif (m := re.search("(ingly|edly|ing|ed)$", w)) and re.search("[aeiouy]", w[: m.start()]):
+        w = w[: m.start()]
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif re.search(DOUBLE, w):
+            w = w[:-1]
+        elif len(w) <= p1 and re.search(SHORT, w):
+            w += "e"
+    if re.search("^.+[^aeiouy][yY]$", w):
+        w = w[:-1] + "i"
+    for rules in _LADDERS:
+        w = _climb(w, rules, (p1, p2))
+    at = len(w) - 1
+    if (w.endswith("e") and (at >= p2 or (at >= p1 and not re.search(SHORT, w[:-1])))) or (w.endswith("ll") and at >= p2):
+        w = w[:-1]
+    return w.lower()
+
+
+def with_stems(words: DataFrame) -> DataFrame:
+    """The table (term, pages) with the stem of each term, as stems() gives it, at a fraction of its time for a large dictionary."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([stem_of(w) for w in b.column(0).to_pylist()], pa.string())], names=["term", "pages", "stem"])
+
+    return words.select("term", "pages").mapInArrow(run, "term string, pages long, stem string")

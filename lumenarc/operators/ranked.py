@@ -1,8 +1,8 @@
 """Ranked search over an English index with blocks: FTS-1, FTS-4, FTS-5 and FTS-8 with all their parts.
 
-The index is a few tables. Postings are (stem, block, page_id, s, at): a block is a range of page ids, s the BM25 score of the stem in the page, at
-its places. They are stored in ranges of (stem, block), so a frequent stem fills many files and a query reads those of its stems and blocks. For
-each stem and block there is the greatest score: the sum over a query's stems bounds every page of the block, and blocks below the k-th best score
+The index is a few tables. Postings are (stem, block, page_id, share, at): a block is a range of page ids, share the BM25 score of the stem in the page
+without its inverse frequency, which a query multiplies with, at its places. Stems are gathered page by page, so each posting is shuffled once. They are stored in ranges of (stem, block), so a frequent stem fills many files and a query reads those of its stems and blocks. For
+each stem and block there is the greatest share: the sum over a query's stems bounds every page of the block, and blocks below the k-th best score
 found so far hold none of the k best. The dictionary has each term with its stem, and by segments of
 it, of which two edits leave one whole, so a misspelling is looked up by equality.
 """
@@ -13,24 +13,25 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lumenarc.functions.english import STOP_WORDS, stems
+from lumenarc.functions.english import STOP_WORDS, stem_of, with_stems
 from lumenarc.functions.near import INDEX, PROBE, near_keys
-from lumenarc.sources.stored import kept, new_path, stored_by
+from lumenarc.sources.stored import kept, new_path, stored, stored_by
 
-from .search import B, K1, parse_query, terms_of
+from .search import B, K1, gathered, parse_query, some_repeat, terms_of
 
 EDITS = 2
 
 
 @dataclass
 class EnglishIndex:
-    """postings: stem, block, page_id, s, at; blocks: stem, block, most, n; dictionary: term, stem, pages; segments: key, term, pages."""
+    """postings: stem, block, page_id, share, at; blocks: stem, block, most, n; dictionary: term, stem, pages; segments: key, term, pages; pages: how many there are."""
 
     spark: SparkSession
     postings: DataFrame
     blocks: DataFrame
     dictionary: DataFrame
     segments: DataFrame
+    pages: float
     plans: dict = field(default_factory=dict)
 
     @classmethod
@@ -39,34 +40,38 @@ class EnglishIndex:
         spark, stops = pages.sparkSession, STOP_WORDS if stops is None else stops
 
         def write() -> list[str]:
-            words = pages.select(F.col(id_name).cast("long").alias("page_id"), terms_of(F.coalesce(text_name, F.lit(""))).alias("words")).filter("page_id is not null")
-            rows = words.select("page_id", F.posexplode("words").alias("at", "term")).filter(~F.col("term").isin(stops))
-            raw = stored_by(rows.groupBy("term", "page_id").agg(F.sort_array(F.collect_list("at")).alias("at")), new_path(spark, "terms"))
-            paths = [new_path(spark, t) for t in ("postings", "blocks", "dictionary", "segments")]
-            dictionary = stored_by(stems(raw.groupBy("term").agg(F.count("*").alias("pages"))), paths[2], "stem", "term")
-            sizes = raw.groupBy("page_id").agg(F.sum(F.size("at")).alias("n_words"))
-            per_page = raw.join(dictionary.select("term", "stem"), "term").groupBy("stem", "page_id").agg(F.sort_array(F.flatten(F.collect_list("at"))).alias("at"))
-            about = words.agg(F.count("*").alias("n"), F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
-            mean = sizes.agg(F.sum("n_words").alias("m")).first()["m"] or 0
+            ids = pages.select(F.col(id_name).cast("long").alias("page_id"), F.col(text_name).alias("text")).filter("page_id is not null")
+            about = ids.agg(F.count("*").alias("n"), F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
             n, low, high = about["n"], about["low"] or 0, about["high"] or 0
             width = max(1, -(-(high - low + 1) * block_pages // max(n, 1)))
-            df = per_page.groupBy("stem").agg(F.count("*").alias("df"))
-            idf = F.log(1 + (F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-            tf = F.size("at") * (K1 + 1) / (F.size("at") + K1 * (1 - B + B * F.col("n_words") / F.lit(max(mean, 1) / max(n, 1))))
-            scored = per_page.join(df, "stem").join(sizes, "page_id").select("stem", F.floor((F.col("page_id") - low) / width).alias("block"), "page_id", (idf * tf).alias("s"), "at")
-            postings = stored_by(scored, paths[0], "stem", "block", "page_id")
-            stored_by(postings.groupBy("stem", "block").agg(F.max("s").alias("most"), F.count("*").alias("n")), paths[1], "stem", "block")
-            stored_by(dictionary.select("term", "pages", F.explode(near_keys("", F.lit(""), F.col("term"), EDITS, 1, INDEX)).alias("k")).select("k.key", "term", "pages"), paths[3], "key", "term")
-            return paths
-
-        paths = kept(pages, f"{k}:{','.join(stops)}:{block_pages}", write) if k else write()
-        return cls(spark, *(spark.read.parquet(p) for p in paths))
+            raw = stored(gathered(ids, True, stem_of, stops), "gathered")
+            mean = max(raw.agg(F.sum("tf").alias("m")).first()["m"] or 0, 1) / max(n, 1)
+            if some_repeat(ids, "page_id"):
+                sizes = raw.groupBy("page_id").agg(F.sum("tf").alias("n_words"))
+                raw = raw.groupBy("page_id", "term").agg(F.sum("tf").alias("tf"), F.sort_array(F.flatten(F.collect_list("at"))).alias("at")).join(sizes, "page_id")
+            paths = [new_path(spark, t) for t in ("postings", "blocks", "dictionary", "segments")]
+            tf = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_words") / F.lit(mean)))
+            postings = stored_by(raw.select(F.col("term").alias("stem"), F.floor((F.col("page_id") - low) / width).alias("block"), "page_id", tf.alias("share"), "at"), paths[0], "stem", "block", "page_id")
+            stored_by(postings.groupBy("stem", "block").agg(F.max("share").alias("most"), F.count("*").alias("n")), paths[1], "stem", "block")
+            said = ids.select("page_id", F.explode(F.array_distinct(terms_of(F.coalesce("text", F.lit(""))))).alias("term")).filter(~F.col("term").isin(stops))
+            said = said.distinct() if some_repeat(ids, "page_id") else said
+            dictionary = stored_by(stored(with_stems(said.groupBy("term").agg(F.count("*").alias("pages"))), "terms"), paths[2], "stem", "term")
+            keys = stored(dictionary.select("term", "pages", F.explode(near_keys("", F.lit(""), F.col("term"), EDITS, 1, INDEX)).alias("k")).select("k.key", "term", "pages"), "keys")
+            stored_by(keys, paths[3], "key", "term")
+            return [*paths, repr(float(n))]
+
+        *paths, n = kept(pages, f"{k}:{','.join(stops)}:{block_pages}", write) if k else write()
+        return cls(spark, *(spark.read.parquet(p) for p in paths), float(n))
+
+    def weights(self, wanted: list[str]) -> Column:
+        """What a stem's share of a page is multiplied by: the inverse frequency of each of a query's stems, a few numbers."""
+        found = self.blocks.filter(F.col("stem").isin(wanted)).groupBy("stem").agg(F.sum("n").alias("df"))
+        rows = found.select("stem", F.log(1 + (F.lit(self.pages) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("w")).collect()
+        return F.element_at(F.create_map(*(F.lit(x) for r in rows for x in (r["stem"], r["w"]))), F.col("stem")) if rows else F.lit(0.0)
 
     def stems_of(self, words: list[str]) -> dict[str, str]:
         """Stems of a query's words; a word is never a stop word here, since those have no postings."""
-        if not words:
-            return {}
-        return {r.term: r.stem for r in stems(self.spark.range(1).select(F.explode(F.array(*map(F.lit, words))).alias("term"))).collect()}
+        return {w: stem_of(w) for w in words}
 
     def surface(self, wanted: list[str]) -> dict[str, str]:
         """term -> stem for the terms of the dictionary with these stems: the endings of a query's words."""
@@ -94,7 +99,7 @@ class EnglishIndex:
     def bounds(self, clauses: list[list[str]]) -> DataFrame:
         """(block, bound, n): blocks that hold all stems of a clause, what no page there can exceed, and the postings there."""
         wanted = sorted({t for c in clauses for t in c})
-        rows = self.blocks.filter(F.col("stem").isin(wanted)).groupBy("block").agg(F.sum("most").alias("bound"), F.sum("n").alias("n"), F.collect_set("stem").alias("has"))
+        rows = self.blocks.filter(F.col("stem").isin(wanted)).groupBy("block").agg(F.sum(F.col("most") * self.weights(wanted)).alias("bound"), F.sum("n").alias("n"), F.collect_set("stem").alias("has"))
         return rows.filter(_fits(clauses)).drop("has")
 
     def pages_in(self, blocks: DataFrame | list[int] | None, clauses: list[list[str]], phrases: list, minus: list[str]) -> DataFrame:
@@ -106,8 +111,9 @@ class EnglishIndex:
                 return own
             return own.filter(F.col("block").isin(blocks)) if isinstance(blocks, list) else own.join(blocks.select("block"), "block", "left_semi")
 
-        hits = read(sorted({t for c in clauses for t in c}))
-        found = hits.groupBy("page_id").agg(F.round(F.sum("s"), 6).alias("score"), F.collect_set("stem").alias("has")).filter(_fits(clauses)).drop("has")
+        wanted = sorted({t for c in clauses for t in c})
+        hits = read(wanted)
+        found = hits.groupBy("page_id").agg(F.round(F.sum(self.weights(wanted) * F.col("share")), 6).alias("score"), F.collect_set("stem").alias("has")).filter(_fits(clauses)).drop("has")
         for p in phrases:
             order = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for i, t in p)))
             begins = read(sorted({t for _, t in p})).select("page_id", "stem", "at", order.alias("o")).filter("o.t = stem").select("page_id", F.explode("at").alias("x"), "o.i")
@@ -121,7 +127,7 @@ class EnglishIndex:
         The blocks of the greatest bounds are scored first; of the others only those whose bound reaches the k-th score found there."""
         clauses, phrases, minus = self.plan(query)
         if not clauses:
-            return self.postings.limit(0).select("page_id", F.col("s").alias("score")), {"read": 0, "all": 0}
+            return self.postings.limit(0).select("page_id", F.col("share").alias("score")), {"read": 0, "all": 0}
         every = self.bounds(clauses)
         start = every.orderBy(F.desc("bound"), "block").limit(first).collect()  # a few rows
         order = [F.desc("score"), F.asc("page_id")]

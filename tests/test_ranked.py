@@ -125,3 +125,31 @@ def test_an_index_is_found_again_until_its_table_changes(spark, tmp_path):
     spark.createDataFrame([(2, "new lantern")], "id long, text string").write.mode("append").parquet(path)
     c = R.EnglishIndex.build(spark.read.parquet(path), "id", "text", k="t")
     assert c.postings.inputFiles() != a.postings.inputFiles() and c.best("lantern", 5)[0].count() == 2
+
+
+def test_stems_inside_tasks_equal_the_columns(spark):
+    from lumenarc.functions.english import stem_of, with_stems
+
+    rng = random.Random(7)
+    ends = "ational fulness ization biliti lessli ogi li alize ative ful ement ion ing ingly ed edly eed eedly sses ies ied us s y e ll er bl tt".split()
+    words = {x.split(":")[0] for x in STEMS} | {"".join(rng.choices("abceilosty", k=rng.randrange(6))) + "".join(rng.choices(ends, k=rng.randrange(1, 3))) for _ in range(3000)} | {"a", "2001", "x" * 5000 + "ing"}
+    d = spark.createDataFrame([(w, 1) for w in words], "term string, pages long")
+    want = {r.term: r.stem for r in stems(d).collect()}
+    assert {w: stem_of(w) for w in words} == want == {r.term: r.stem for r in with_stems(d).collect()}
+
+
+def test_words_are_gathered_in_their_pages(spark):
+    """No word of a text is shuffled by itself: an index is one range shuffle of postings; pages with equal ids are one page."""
+    from lumenarc.operators.search import Index, gathered
+
+    d = spark.createDataFrame([(1, "A b, a"), (2, None), (3, "-"), (4, "b B"), (4, "c b")], "page_id long, text string")
+    rows = gathered(d, True)
+    assert not re.search(r"Exchange|Generate|Explode", rows._jdf.queryExecution().executedPlan().toString())
+    got = sorted((r.page_id, r.n_words, r.term, r.tf, r["at"]) for r in rows.collect())
+    assert got == [(1, 3, "a", 2, [0, 2]), (1, 3, "b", 1, [1]), (4, 2, "b", 1, [1]), (4, 2, "b", 2, [0, 1]), (4, 2, "c", 1, [0])]
+    plain_ = Index.build(d, "page_id", "text", True)
+    assert (plain_.pages, plain_.mean_words) == (5.0, 7 / 5)
+    assert sorted((r.page_id, r.term, r.tf, r["at"]) for r in plain_.postings.collect()) == [(1, "a", 2, [0, 2]), (1, "b", 1, [1]), (4, "b", 3, [0, 1, 1]), (4, "c", 1, [0])]
+    english = R.EnglishIndex.build(d, "page_id", "text", stops=["a"])
+    assert sorted((r.page_id, r.stem, r["at"]) for r in english.postings.collect()) == [(1, "b", [1]), (4, "b", [0, 1, 1]), (4, "c", [0])]
+    assert sorted((r.term, r.pages) for r in english.dictionary.collect()) == [("b", 2), ("c", 1)]
