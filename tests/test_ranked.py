@@ -153,3 +153,30 @@ def test_words_are_gathered_in_their_pages(spark):
     english = R.EnglishIndex.build(d, "page_id", "text", stops=["a"])
     assert sorted((r.page_id, r.stem, r["at"]) for r in english.postings.collect()) == [(1, "b", [1]), (4, "b", [0, 1, 1]), (4, "c", [0])]
     assert sorted((r.term, r.pages) for r in english.dictionary.collect()) == [("b", 2), ("c", 1)]
+
+
+def test_best_of_blocks_holds_the_best_pages(spark):
+    """Few rows leave each block, however many pages share a word with a question, and the best of all are among them, ties by id."""
+    from lumenarc.operators import search as S
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [(i, " ".join(rng.choices(words, weights=[1 / (j + 1) for j in range(60)], k=rng.randrange(3, 40)))) for i in range(700)]
+    texts += [(i, texts[i % 5][1]) for i in range(700, 900)] + [(900, None), (5, "w1 w59 w59")]  # copies, and an id of two rows
+    index = S.Index.build(spark.createDataFrame(texts, "page_id long, text string"), "page_id", "text")
+    asked = {q: rng.sample(words, rng.randrange(1, 20)) + ["nowhere"] for q in range(40)}
+    told = spark.createDataFrame([(q, t) for q, ts in asked.items() for t in ts], "question_id long, term string")
+    found = S.best_of_blocks(told, index, 4, fewest=100, widest=100)
+    rows = found.collect()
+    assert len(rows) <= 40 * 4 * 10
+    plain_ = index.scores(dict.fromkeys(words, 1.0)).groupBy("page_id", "term").agg(F.sum("s").alias("s")).collect()
+    by = {}
+    for r in plain_:
+        by.setdefault(r.term, []).append((r.page_id, r.s))
+    for q, ts in asked.items():
+        sums = {}
+        for t in ts:
+            for i, s in by.get(t, []):
+                sums[i] = sums.get(i, 0.0) + s
+        want = sorted((-round(s, 6), i) for i, s in sums.items())[:4]
+        assert sorted((-round(r.score, 6), r.page_id) for r in rows if r.question_id == q)[:4] == want
