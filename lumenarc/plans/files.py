@@ -38,7 +38,8 @@ def src2_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.concat(F.lit("https://files.example.org/"), F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey"))), F.when(F.col("l_linenumber") % 2 == 0, ".pdf").otherwise(".jpg"))
     rows = li.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).select("s_name", "s_suppkey", "l_orderkey", F.struct(F.concat(F.lit("p"), F.concat_ws("-", F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string"))).alias("title"), url.alias("url"), F.when(F.col("l_linenumber") == 1, "").otherwise(F.col("l_returnflag")).alias("type")).alias("f"))
     sets = rows.groupBy("s_suppkey", F.col("s_name").alias("name"), F.concat(F.lit("2024-01-"), (F.lit(10) + F.col("s_suppkey") % 10).cast("string")).alias("publicationDate")).agg(F.collect_list("f").alias("files"))
-    path = text_files(sets.select(F.to_json(F.struct(F.array(F.struct("name", "publicationDate", "files")).alias("dataSets"))).alias("value"), (F.col("s_suppkey") % 1000).alias("part")), "catalog", "part")
+    lines = sets.select(F.to_json(F.struct(F.array(F.struct("name", "publicationDate", "files")).alias("dataSets"))).alias("value"), (F.col("s_suppkey") % 1000).alias("part"))
+    path = text_files(lines.repartition("part"), "catalog", "part")  # one file a folder, however many tasks there are
     known = rows.filter("l_orderkey % 5 = 0").select(F.col("f.url").alias("source_url"))
     return R.catalog_files(spark, path, known, lines=True).withColumn("tags", F.array_join("tags", ","))
 

@@ -232,3 +232,20 @@ def test_linked_pairs_can_be_looked_up(spark):
     found = P.edges_from_text(who, lambda pairs: asked.append(sorted(map(tuple, pairs.collect()))) or pairs.filter("person_id_1 = 1 and person_id_2 = 2"), links, kinds).collect()
     assert asked == [[(1, 2), (1, 3)]]
     assert found == P.edges_from_text(who, edges, links, kinds).collect() and [(r.person_id_1, r.person_id_2, r.describer, r.document_ids) for r in found] == [(1, 3, 1, [7])]
+
+
+def test_catalog_has_one_file_a_folder(spark, tmp_path, monkeypatch):
+    """SRC-2. Data sets of one folder come from many tasks; they are written as one file."""
+    from lumenarc.plans import files
+
+    monkeypatch.setattr(files, "new_path", lambda s, tag: str(tmp_path / tag))
+    lines = [(i, 1, 7, 1000 * i + 3, "N") for i in range(1, 40)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string").write.parquet(str(tmp_path / "sf/lineitem.parquet"))
+    spark.createDataFrame([(x[3], f"s{x[3]}") for x in lines], "s_suppkey long, s_name string").write.parquet(str(tmp_path / "sf/supplier.parquet"))
+    held = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert files.src2_catalog(spark, str(tmp_path / "sf")).count() == sum(x[0] % 5 > 0 for x in lines)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held)
+    assert len(list((tmp_path / "catalog").glob("part=3/part-*"))) == 1
