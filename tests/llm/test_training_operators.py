@@ -158,6 +158,22 @@ def test_brown_with_a_rare_end(spark):
     assert r.n_known == 8 and r.base_score == pytest.approx(sum(np.log10((c + 0.5) / (n + 0.5 * (v + 1))) * c for c in (4, 2, 1, 1)))
 
 
+def test_brown_scores_do_not_depend_on_the_words_held(spark):
+    """Core words beyond those that the tasks hold meet the texts in joins, and all scores stay. Before, the least count of a core word rose with the corpus."""
+    rng = np.random.default_rng(21)
+    rows = [(i, " ".join(f"w{int(x) % 300}{'abc'[int(x) % 3]}" for x in rng.zipf(1.3, rng.integers(0, 80)))) for i in range(120)] + [(900, "never seen w3a w1b"), (901, None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    training = F.coalesce(F.col("doc_id") < 90, F.lit(False))
+    scores = []
+    for held in (10**6, 40, 1):
+        options = {"least": 2, "seeds": 10, "groups": 8, "classes": 6, "held": held}
+        assert (brown.train(d, training, **options)[2].n_core > 100) == (held > 300)
+        scores.append({r.doc_id: [r.score, r.base_score, r.n_known, r.n_tokens] for r in brown.score(d, training, **options).collect()})
+    assert len(scores[0]) == len(rows)
+    for other in scores[1:]:
+        assert all(other[i] == pytest.approx(scores[0][i], rel=1e-9) for i in scores[0])
+
+
 def test_refit_finds_the_classes_of_rare_words(spark):
     """Words of two kinds alternate; only some are seeds, and refitting puts the others with their kind."""
     rng = np.random.default_rng(12)
