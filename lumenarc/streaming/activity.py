@@ -7,6 +7,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lumenarc.sources.stored import stored
+
 
 def dedup_gap_stream(log: DataFrame, keys: list[str], ts: str, gap_seconds: float) -> DataFrame:
     """STM-1, STM-2 as a stream: keys and times of the rows accepted, a row being accepted iff no accepted row of its key lies less than the gap before it. State: one time a key.
@@ -56,24 +58,39 @@ def daily_counts(log: DataFrame, keys: list[str], ts: str, late: str = "1 day")
     return w.select(*keys, F.to_date("window.start").alias("day"), "n")
 
 
-def ingest(known: DataFrame, path: str) -> Callable[[DataFrame, int], None]:
-    """STM-4. What foreachBatch runs on a stream of mentions (document_id, name, role, n): sums per name and co-mentioned pairs, appended under the batch's number, so a batch that is run again replaces itself. known: the documents whose mentions count."""
+def pairs_of(said: DataFrame, task_pairs: int = 1_000_000) -> DataFrame:
+    """(name_1, name_2, documents): names of one document in pairs, each in order, and how many documents say both. said: document_id and name.
+
+    The names of a document are gathered and paired in their row, one name at a time; a document names few persons. Pairs are counted in tasks of about task_pairs each, however many there are: nearly all may be distinct, and Spark's own number of tasks doesn't follow them."""
+    one = stored(said.filter("document_id is not null and name is not null").groupBy("document_id").agg(F.sort_array(F.collect_set("name")).alias("names")).select("names"), "names")
+    size = F.size("names").cast("long")
+    n = one.agg(F.sum(size * (size - 1) / 2).alias("n")).first().n or 0
+    first = one.select("names", F.posexplode("names").alias("i", "name_1")).filter(F.col("i") < F.size("names") - 1)
+    pairs = first.select("name_1", F.explode(F.slice("names", F.col("i") + 2, F.size("names") - 1 - F.col("i"))).alias("name_2"))
+    return pairs.repartition(int(n // task_pairs) + 8, "name_1", "name_2").groupBy("name_1", "name_2").agg(F.count("*").alias("documents"))
+
+
+def ingest(known: DataFrame, path: str, kept: tuple[str, ...] = ("people", "pairs")) -> Callable[[DataFrame, int], None]:
+    """STM-4. What foreachBatch runs on a stream of mentions (document_id, name, role, n): sums per name and co-mentioned pairs, appended under the batch's number, so a batch that is run again replaces itself. known: the documents whose mentions count. kept: which of the two are written."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        rows = rows.join(known, "document_id", "left_semi")
-        people = rows.groupBy(F.lower("name").alias("name"), "role").agg(F.sum("n").alias("mentions"), F.count_distinct("document_id").alias("documents"))
-        people.write.mode("overwrite").parquet(f"{path}/people/batch={number}")
-        docs = rows.select("document_id", F.lower("name").alias("name")).distinct()
-        pairs = docs.alias("a").join(docs.alias("b"), (F.col("a.document_id") == F.col("b.document_id")) & (F.col("a.name") < F.col("b.name")))  # a document names few persons
-        pairs.groupBy(F.col("a.name").alias("name_1"), F.col("b.name").alias("name_2")).agg(F.count("*").alias("documents")).write.mode("overwrite").parquet(f"{path}/pairs/batch={number}")
+        rows = rows.join(known, "document_id", "left_semi").withColumn("name", F.lower("name"))
+        if "people" in kept:
+            people = rows.groupBy("name", "role").agg(F.sum("n").alias("mentions"), F.count_distinct("document_id").alias("documents"))
+            people.write.mode("overwrite").parquet(f"{path}/people/batch={number}")
+        if "pairs" in kept:
+            pairs_of(rows.select("document_id", "name")).write.mode("overwrite").parquet(f"{path}/pairs/batch={number}")
 
     return batch
 
 
-def ingested(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """STM-4. Persons (name, mentions, documents, role with most mentions) and pairs, over all batches. A document comes whole in one batch."""
-    p = spark.read.parquet(f"{path}/people")
-    role = p.groupBy("name", "role").agg(F.sum("mentions").alias("m")).groupBy("name").agg(F.max_by("role", F.struct("m", "role")).alias("role"))
-    people = p.groupBy("name").agg(F.sum("mentions").alias("mentions")).join(role, "name")
-    pairs = spark.read.parquet(f"{path}/pairs").groupBy("name_1", "name_2").agg(F.sum("documents").alias("documents"))
-    return people, pairs
+def ingested_people(spark: SparkSession, path: str) -> DataFrame:
+    """STM-4. Persons (name, mentions, role with most mentions) over all batches. A document comes whole in one batch."""
+    p = spark.read.parquet(f"{path}/people").filter("name is not null").groupBy("name", "role").agg(F.sum("mentions").alias("m"))
+    return p.groupBy("name").agg(F.sum("m").alias("mentions"), F.max_by("role", F.struct("m", "role")).alias("role"))
+
+
+def ingested_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """STM-4. Pairs of names and their documents over all batches."""
+    rows = spark.read.parquet(f"{path}/pairs")
+    return rows.repartition(rows.count() // 1_000_000 + 8, "name_1", "name_2").groupBy("name_1", "name_2").agg(F.sum("documents").alias("documents"))

@@ -12,6 +12,10 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lumenarc.sources.stored import stored
+
+from .activity import pairs_of
+
 
 class KeyedTable:
     """path: folder in the shared store; keys: columns; rules: for each other column how an old value and one of the batch (columns old, new) become one."""
@@ -80,34 +84,49 @@ EVENTS = {"title": lambda o, n: F.coalesce(o, n), "description": longest, "categ
 class Ingest:
     """What foreachBatch runs on a stream of analyses: one row for each document with arrays of structs mentions (name, role, n) and events (seq, date, title, description, category, significance).
 
-    known: the documents that count. A document comes in one batch; its rows are whole, so persons, edges and events of a batch are aggregated before they meet the tables."""
+    known: the documents that count. A document comes in one batch; its rows are whole, so persons, edges and events of a batch are aggregated before they meet the tables.
+    kept: the tables that are kept up to date; each depends on the batches alone, so a reader of one needs no other."""
 
-    def __init__(self, spark: SparkSession, path: str, known: DataFrame, compact: int = 8) -> None:
-        self.known = known
+    def __init__(self, spark: SparkSession, path: str, known: DataFrame, compact: int = 8, kept: tuple[str, ...] = ("persons", "edges", "events")) -> None:
+        self.known, self.kept = known, kept
         self.persons = KeyedTable(spark, f"{path}/persons", ["name"], PERSONS, compact)
         self.edges = KeyedTable(spark, f"{path}/edges", ["name_1", "name_2"], EDGES, compact)
         self.events = KeyedTable(spark, f"{path}/events", ["date", "key"], EVENTS, compact)
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        rows = batch.join(self.known.distinct(), "document_id", "left_semi")
+        # Written once: every table reads the batch, some twice.
+        rows = stored(batch.join(self.known.distinct(), "document_id", "left_semi"), "batch")
         said = rows.select("document_id", F.explode("mentions").alias("m")).select("document_id", F.lower(F.trim("m.name")).alias("name"), "m.role", "m.n").filter("name <> ''")
-        roles = said.groupBy("name", "role").agg(F.sum("n").alias("n")).groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct(F.coalesce("role", F.lit("")), "n"))).alias("roles"))
-        people = said.groupBy("name").agg(F.sum("n").alias("mentions"), F.count_distinct("document_id").alias("documents")).join(roles, "name")
-        self.persons.merge(people, number)
-        docs = said.select("document_id", "name").distinct()
-        a, b = docs.withColumnRenamed("name", "name_1"), docs.withColumnRenamed("name", "name_2")
-        pairs = a.join(b, "document_id").filter("name_1 < name_2").groupBy("name_1", "name_2").agg(F.count("*").alias("documents"))  # a document names few persons
+        for table in self.kept:
+            {"persons": self._persons, "edges": self._edges, "events": self._events}[table](rows, said, number)
+
+    def _persons(self, rows: DataFrame, said: DataFrame, number: int) -> None:
+        roles = said.groupBy("name", "role").agg(F.sum("n").alias("n")).groupBy("name").agg(F.sum("n").alias("mentions"), F.map_from_entries(F.collect_list(F.struct(F.coalesce("role", F.lit("")), "n"))).alias("roles"))
+        # A document is one row, so its names are told apart within it.
+        per = said.select("document_id", "name").distinct().groupBy(F.col("name").alias("_name")).agg(F.count("*").alias("documents"))
+        self.persons.merge(roles.join(per, F.col("name") == F.col("_name")).drop("_name"), number)
+
+    def _edges(self, rows: DataFrame, said: DataFrame, number: int) -> None:
+        pairs = pairs_of(said.select("document_id", "name"))
         self.edges.merge(pairs.withColumn("strength", F.least(F.lit(5).cast("bigint"), F.col("documents"))), number)
+
+    def _events(self, rows: DataFrame, said: DataFrame, number: int) -> None:
         told = rows.select("document_id", F.explode("events").alias("e")).select("document_id", "e.*").withColumn("key", F.lower("title"))
         per = told.groupBy("date", "key").agg(F.min_by("title", "seq").alias("title"), F.max_by("description", F.struct(F.length("description"), -F.col("seq"))).alias("description"), F.max_by("category", F.when(F.col("category").isNotNull(), F.col("seq"))).alias("category"), F.max("significance").alias("significance"), F.sort_array(F.collect_set("document_id")).alias("document_ids"))
-        who = told.join(docs, "document_id").groupBy("date", "key").agg(F.sort_array(F.collect_set("name")).alias("person_names"))
+        # Names are told apart before they are gathered: many documents of an event say the same ones.
+        who = told.select("document_id", "date", "key").join(said.select("document_id", "name"), "document_id").select("date", "key", "name").distinct().groupBy("date", "key").agg(F.sort_array(F.collect_list("name")).alias("person_names"))
         none = F.array().cast("array<string>")
         on = F.col("date").eqNullSafe(F.col("_date")) & F.col("key").eqNullSafe(F.col("_key"))
         full = per.join(who.select(F.col("date").alias("_date"), F.col("key").alias("_key"), "person_names"), on, "left").drop("_date", "_key")
         self.events.merge(full.withColumn("person_names", F.coalesce("person_names", none)), number)
 
-    def tables(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """persons (name, mentions, documents, role said most), edges and events as they are now."""
-        p = self.persons.state()
+    def table(self, name: str) -> DataFrame:
+        """persons (name, mentions, documents, role said most), edges or events as they are now."""
+        if name != "persons":
+            return {"edges": self.edges, "events": self.events}[name].state()
         best = F.array_max(F.transform(F.map_entries("roles"), lambda e: F.struct(e["value"].alias("n"), e["key"].alias("role"))))
-        return p.select("name", "mentions", "documents", best["role"].alias("role")), self.edges.state(), self.events.state()
+        return self.persons.state().select("name", "mentions", "documents", best["role"].alias("role"))
+
+    def tables(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """persons, edges and events."""
+        return self.table("persons"), self.table("edges"), self.table("events")
