@@ -69,13 +69,15 @@ def fingerprints(docs: DataFrame, width: int = 3, id_name: str = "doc_id", text_
 def _pairs(side: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs a < b of one bucket that differ in at most MAX_BITS bits. Buckets hold BUCKET rows at most."""
     x, y = side.select(*keys, F.col("fp").alias("a")), side.select(*keys, F.col("fp").alias("b"))
-    return x.join(y, keys).filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)).select("a", "b")
+    return x.join(y.hint("merge"), keys).filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS)).select("a", "b")
 
 
 def _split(side: DataFrame, keys: list[str], most: int) -> tuple[DataFrame, DataFrame]:
-    """The rows of buckets with 2 to most rows, and those of larger ones."""
+    """The rows of buckets with 2 to most rows, and those of larger ones.
+
+    The join is merged on purpose: Spark takes what explode gives for no larger than the table before it, so it would broadcast 64 rows for each fingerprint."""
     sizes = side.groupBy(*keys).agg(F.count("*").alias("bucket_n")).filter("bucket_n > 1")
-    joined = side.join(sizes, keys)
+    joined = side.join(sizes.hint("merge"), keys)
     return joined.filter(F.col("bucket_n") <= most).drop("bucket_n"), joined.filter(F.col("bucket_n") > most).drop("bucket_n")
 
 

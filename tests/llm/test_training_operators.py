@@ -553,6 +553,13 @@ def test_simhash_links_equal_brute_force(spark):
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
 
 
+def test_simhash_buckets_are_merged_not_broadcast(spark):
+    """Spark sizes the 64 variants of a fingerprint like one row, so a table of buckets must not be a broadcast side, however small it seems."""
+    links = simhash.links(spark.createDataFrame([(v,) for v in range(0, 4000, 7)], "fp long"))
+    joins = [line for line in links._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line and "kind" in line]
+    assert joins and not [line for line in joins if "Broadcast" in line]
+
+
 def test_simhash_components(spark, texts):
     got = {r.doc_id: r for r in QUERIES["op10_simhash"](spark, SF).collect()}
     for k in list(texts)[:40]:
