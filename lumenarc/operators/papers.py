@@ -10,6 +10,7 @@ from lumenarc.functions.rules import Rules, first_label, media_type
 from lumenarc.functions.text import MONTHS, file_name
 from lumenarc.operators.dictionary import mentions, with_contexts
 from lumenarc.operators.profiles import top_of
+from lumenarc.sources.stored import stored
 
 # MIME types by file extension.
 MIME = {"pdf": "application/pdf", "doc": "application/msword", "txt": "text/plain", "html": "text/html", "htm": "text/html", "jpg": "image/jpeg", "jpeg": "image/jpeg", "png": "image/png", "gif": "image/gif", "mp4": "video/mp4", "mov": "video/quicktime", "mp3": "audio/mpeg", "wav": "audio/wav", "csv": "text/csv", "json": "application/json", "xml": "application/xml"}
@@ -164,17 +165,21 @@ def graph_rows(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def vault_notes(persons: DataFrame, events: DataFrame, edges: DataFrame, docs: DataFrame | None = None, links: DataFrame | None = None, most_documents: int = 50) -> DataFrame:
     """SNK-8. (path, content): a Markdown note for each person, event, connection and, where docs and links (person_id, document_id) are given, document, with front matter and links to related notes; a person's note then names its first most_documents documents and how many more there are. docs: id, title, document_type, data_set; persons: id, name, category; events: id, date, title, person_ids; edges: id, person_id_1, person_id_2, connection_type, description."""
-    names = persons.select(F.col("id").alias("pid"), file_name(F.col("name")).alias("note"))
+    names = stored(persons.select(F.col("id").alias("pid"), file_name(F.col("name")).alias("note")), "names")  # five joins read it; by its size Spark sends it to the tasks where it can
     quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     front = lambda *pairs: F.concat_ws("\n", F.lit("---"), *(F.concat(F.lit(f"{k}: "), v) for k, v in pairs), F.lit("---"))
     link = lambda c: F.concat(F.lit("[["), c, F.lit("]]"))
     bullets = lambda a: F.array_join(F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda x: F.concat(F.lit("- "), link(x))), "\n")
-    ends = edges.select(F.col("person_id_1").alias("me"), F.col("person_id_2").alias("pid")).unionByName(edges.select(F.col("person_id_2").alias("me"), F.col("person_id_1").alias("pid")))
-    near = ends.join(names, "pid").groupBy("me").agg(F.sort_array(F.collect_set("note")).alias("near"))
+    # Written once, with the names of both ends: people and connections read it. Ends without a person stay apart from those whose name is null.
+    end = lambda k, to: names.select(F.col("pid").alias(f"person_id_{k}"), F.col("note").alias(to), F.lit(True).alias(f"has_{to}"))
+    ties = stored(edges.select("id", "person_id_1", "person_id_2", "connection_type", "description").join(end(1, "a"), "person_id_1", "left").join(end(2, "b"), "person_id_2", "left"), "ties")
+    ends = ties.filter("has_b").select(F.col("person_id_1").alias("me"), F.col("b").alias("note")).unionByName(ties.filter("has_a").select(F.col("person_id_2").alias("me"), F.col("a").alias("note")))
+    near = ends.groupBy("me").agg(F.sort_array(F.collect_set("note")).alias("near"))
     lines = bullets(F.col("near"))
     people_of = persons.join(near, F.col("id") == F.col("me"), "left")
     if docs is not None and links is not None:
-        titles = links.select("person_id", "document_id").distinct().join(docs.select(F.col("id").alias("document_id"), file_name(F.col("title")).alias("title")), "document_id")
+        # Written once: links to other documents go no further.
+        titles = stored(links.select("person_id", "document_id").distinct().join(docs.select(F.col("id").alias("document_id"), file_name(F.col("title")).alias("title")), "document_id"), "titles")
         n = titles.groupBy("person_id").agg(F.count("*").alias("n_papers"))
         first = top_of(titles, "person_id", [F.asc("document_id")], most_documents).groupBy("person_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"]).alias("papers")).join(n, "person_id")
         people_of = people_of.join(first, F.col("id") == F.col("person_id"), "left")
@@ -183,11 +188,11 @@ def vault_notes(persons: DataFrame, events: DataFrame, edges: DataFrame, docs: D
     person = people_of.select(F.concat(F.lit("People/"), file_name(F.col("name")), F.lit(".md")).alias("path"), F.concat_ws("\n", front(("type", F.lit("person")), ("name", quoted("name")), ("category", quoted("category"))), F.concat(F.lit("# "), F.col("name")), lines).alias("content"))
     people = events.select(F.col("id").alias("eid"), F.explode("person_ids").alias("pid")).join(names, "pid").groupBy("eid").agg(F.sort_array(F.collect_set("note")).alias("who"))
     event = events.join(people, F.col("id") == F.col("eid"), "left").select(F.concat(F.lit("Events/"), file_name(F.concat_ws(" ", "date", "title", F.col("id").cast("string"))), F.lit(".md")).alias("path"), F.concat_ws("\n", front(("type", F.lit("event")), ("date", quoted("date"))), F.concat(F.lit("# "), F.col("title")), bullets(F.col("who"))).alias("content"))
-    e = edges.join(names.select(F.col("pid").alias("person_id_1"), F.col("note").alias("a")), "person_id_1").join(names.select(F.col("pid").alias("person_id_2"), F.col("note").alias("b")), "person_id_2")
+    e = ties.filter("has_a and has_b")
     tie = e.select(F.concat(F.lit("Connections/"), file_name(F.concat_ws(" - ", "a", "b")), F.lit(" "), F.col("id").cast("string"), F.lit(".md")).alias("path"), F.concat_ws("\n", front(("type", F.lit("connection")), ("kind", quoted("connection_type"))), F.concat_ws(" and ", link(F.col("a")), link(F.col("b"))), F.col("description")).alias("content"))
     notes = [person, event, tie]
     if docs is not None and links is not None:
-        named = links.select(F.col("person_id").alias("pid"), F.col("document_id").alias("did")).join(names, "pid").groupBy("did").agg(F.sort_array(F.collect_set("note")).alias("who"))
+        named = titles.select(F.col("person_id").alias("pid"), F.col("document_id").alias("did")).join(names, "pid").groupBy("did").agg(F.sort_array(F.collect_set("note")).alias("who"))
         notes.append(docs.join(named, F.col("id") == F.col("did"), "left").select(F.concat(F.lit("Documents/"), file_name(F.col("title")), F.lit(".md")).alias("path"), F.concat_ws("\n", front(("type", F.lit("document")), ("title", quoted("title")), ("kind", quoted("document_type")), ("set", quoted("data_set"))), F.concat(F.lit("# "), F.col("title")), bullets(F.col("who"))).alias("content")))
     return reduce(DataFrame.unionByName, notes)
 

@@ -129,6 +129,29 @@ def test_notes_of_documents(spark):
     assert got["People/Cy Dorn.md"].endswith("- [[paper 00]]")
 
 
+def test_pairs_of_documents_shuffle_links_once_a_side_and_no_lists(spark):
+    """The distinct links are dealt by document, so neither side of the pairs is shuffled again; lists of documents are gathered only where they are read."""
+    from lumenarc.plans import bindings
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = bindings.edges(spark, "/root/testdata/sf0.001").select("id", "description")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert plan.count("Exchange ") == 3 and "collect_set" not in plan
+
+
+def test_notes_of_ends_without_a_person(spark):
+    """A connection needs both persons for its note; the one who is there still names nobody missing. A null name is a person."""
+    persons = spark.createDataFrame([(1, "Ana"), (2, None), (3, "Cy")], "id long, name string").withColumn("category", F.lit("x"))
+    events = spark.createDataFrame([], "id long, date string, title string, person_ids array<long>")
+    edges = spark.createDataFrame([(10, 1, 3, "kin", "d"), (11, 1, 9, "kin", "d"), (12, 9, 3, "kin", "d"), (13, 2, 3, "kin", "d")], "id long, person_id_1 long, person_id_2 long, connection_type string, description string")
+    got = [(r.path, r.content) for r in D.vault_notes(persons, events, edges).collect()]
+    assert sorted(p for p, _ in got if p and p.startswith("Connections/")) == ["Connections/Ana - Cy 10.md", "Connections/Cy 13.md"]
+    assert dict(got)["People/Ana.md"].endswith("# Ana\n- [[Cy]]") and dict(got)["People/Cy.md"].endswith("# Cy\n- [[Ana]]")
+
+
 def test_analysis_sections(spark):
     words = spark.createDataFrame([(1, "harbor"), (1, "x"), (2, "ledger"), (3, "absent")], "question_id long, term string")
     schema = "analysis_id long, file_name string, document_type string, data_set string, summary string, facts array<string>, persons array<struct<name string, role string>>, events array<struct<date string, title string>>"
