@@ -180,3 +180,13 @@ def test_best_of_blocks_holds_the_best_pages(spark):
                 sums[i] = sums.get(i, 0.0) + s
         want = sorted((-round(s, 6), i) for i, s in sums.items())[:4]
         assert sorted((-round(r.score, 6), r.page_id) for r in rows if r.question_id == q)[:4] == want
+
+
+def test_questions_go_to_blocks_as_one_string(spark):
+    """A question passes by every block, so its row is a string of words and frequencies and no list of structs."""
+    from lumenarc.operators import search as S
+
+    index = S.Index.build(spark.createDataFrame([(1, "a b"), (2, "b c")], "page_id long, text string"), "page_id", "text")
+    found = S.best_of_blocks(spark.createDataFrame([(7, "b"), (7, "c")], "question_id long, term string"), index, 4)
+    assert "collect_list(struct" not in found._jdf.queryExecution().executedPlan().toString().replace("named_struct", "struct")
+    assert [(r.question_id, r.page_id) for r in found.orderBy("score", ascending=False).collect()] == [(7, 2), (7, 1)]
